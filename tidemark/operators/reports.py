@@ -352,11 +352,11 @@ def monthly_return_pivot(daily: DataFrame, ret: str = "ret", ts: str = "ts") ->
 
 
 def execution_venues(fills: DataFrame) -> DataFrame:
-    """Distinct venues, maker share and volume-weighted price of each order."""
+    """Distinct venues, maker share and volume-weighted price (notional summed in cents) of each order."""
     return fills.groupBy("order_id").agg(
         F.count_distinct("venue").alias("venues"),
         F.avg(F.col("is_maker").cast("double")).alias("maker_ratio"),
-        (F.sum("notional") / F.sum("quantity")).alias("vwap"),
+        (F.sum(F.round(F.col("notional") * 100)) / F.sum("quantity") / 100).alias("vwap"),
     )
 
 
