@@ -422,9 +422,8 @@ def regime_scores(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
             }
         )
         d = d.withColumn("_strength", F.abs(F.col("_up") * 2 - 1))
-        d = d.withColumn(
-            "_volrank", fr.full(F.count_if(F.lit(True)), 100, "_vol") * 0 + percent_of_frame(fr, "_vol", 100)
-        )
+        enough = F.count("_vol").over(fr.back(100)) >= 100
+        d = d.withColumn("_volrank", F.when(enough, percent_of_frame(fr, "_vol", 100)))
 
         def pts(cond, w):
             return F.when(cond, w).otherwise(0.0)

@@ -6,5 +6,5 @@ import pkgutil
 
 def load_all() -> None:
     for module in pkgutil.iter_modules(__path__):
-        if module.name != "registry":
+        if module.name.endswith("_queries"):
             importlib.import_module(f"{__name__}.{module.name}")

@@ -672,12 +672,12 @@ def _(spark, sf):
        x AS (SELECT key, symbol, greatest(0, 100 - CASE WHEN no_signal THEN 50 ELSE 0 END - CASE WHEN no_exec THEN 30 ELSE 0 END - CASE WHEN symbol_diff THEN 20 ELSE 0 END
          - CASE WHEN side_diff THEN 30 ELSE 0 END - CASE WHEN bps>50 THEN least(20,(bps-50)/10) ELSE 0 END
          - CASE WHEN secs>60 THEN least(15,(secs-60)/60) ELSE 0 END - CASE WHEN qd>0.1 THEN 10 ELSE 0 END) AS score FROM j)
-       SELECT key, symbol, round(score,6) AS score, CASE WHEN score>=95 THEN 'excellent' WHEN score>=85 THEN 'good' WHEN score>=70 THEN 'fair' ELSE 'poor' END AS level FROM x""",
+       SELECT key, symbol, round(score,8) AS score, CASE WHEN score>=95 THEN 'excellent' WHEN score>=85 THEN 'good' WHEN score>=70 THEN 'fair' ELSE 'poor' END AS level FROM x""",
 )
 def _(spark, sf):
     from tidemark.operators.reconcile import reconcile_score
 
-    return rounded(reconcile_score(*chain(spark, sf)))
+    return rounded(reconcile_score(*chain(spark, sf)), 8)
 
 
 @query(
