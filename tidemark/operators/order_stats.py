@@ -88,7 +88,7 @@ def exact_quantiles(
 
     aggs = []
     for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
+        pos = F.round(F.lit(float(p)) * (F.col("_total") - 1), 9)  # 0.7 * 660 must be 462
         lo, hi = F.floor(pos), F.ceil(pos)
         aggs += [
             F.max(F.when(holds(lo), F.col(VALUE))).alias(f"_lo_{name}"),
