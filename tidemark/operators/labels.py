@@ -47,16 +47,20 @@ def first_offset(prices: Column, test, none: int) -> Column:
     return F.when(pos > 0, pos).otherwise(F.lit(none)).cast("int")
 
 
+def reaches(change: float):
+    """Test of a price against close * (1 + change), upward for gains and downward for losses."""
+    level = F.col("close") * (1 + change)
+    if change >= 0:
+        return lambda x: x >= level
+    return lambda x: x <= level
+
+
 def time_to_target(df: DataFrame, targets: dict[str, float], horizon: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Rows until the first close at or beyond each target (negative = fall), else the horizon."""
 
     def build(d, fr):
         d = d.withColumn("_next", F.collect_list("close").over(fr.span(1, horizon)))
-        cols = {}
-        for name, t in targets.items():
-            level = F.col("close") * (1 + t)
-            test = (lambda x, level=level: x >= level) if t >= 0 else (lambda x, level=level: x <= level)
-            cols[name] = first_offset(F.col("_next"), test, horizon)
+        cols = {name: first_offset(F.col("_next"), reaches(t), horizon) for name, t in targets.items()}
         return d.withColumns(cols).drop("_next")
 
     return framed(df, build, before=0, after=horizon, keys=keys)

@@ -164,7 +164,7 @@ def regimes_ma_vol(df: DataFrame, fast: int = 20, slow: int = 50, q: float = 0.7
 
     d = framed(df, build, before=max(slow, fast + 1), keys=keys)
     d = join_stats(d, exact_quantiles(d, F.col("vol"), {"_q": q}, keys), keys)
-    up, high = F.col("_f") > F.col("_s"), F.col("vol") > F.col("_q")
+    up, high = F.col("_f") > F.col("_s"), F.col("vol") > F.col("_q") * (1 + 1e-12)  # equal up to rounding is not above
     regime = F.when(
         F.col("_s").isNotNull() & F.col("vol").isNotNull(),
         F.concat(F.when(up, "up").otherwise("down"), F.when(high, "_volatile").otherwise("_calm")),

@@ -182,7 +182,7 @@ REGIME = f"""x AS (SELECT symbol, ts, close, {pct('close')} AS ret FROM bars),
         v AS (SELECT *, {mean('close', 20)} AS f, {mean('close', 50)} AS s, {std('ret', 20)} AS vol FROM x),
         q AS (SELECT symbol, quantile_cont(vol,0.7) AS q FROM v GROUP BY 1),
         g AS (SELECT v.symbol, v.ts, v.vol, CASE WHEN s IS NOT NULL AND vol IS NOT NULL THEN CASE WHEN f>s THEN 'up' ELSE 'down' END ||
-          CASE WHEN vol>q.q THEN '_volatile' ELSE '_calm' END END AS regime FROM v JOIN q ON v.symbol=q.symbol)"""
+          CASE WHEN vol>q.q*(1+1e-12::DOUBLE) THEN '_volatile' ELSE '_calm' END END AS regime FROM v JOIN q ON v.symbol=q.symbol)"""
 
 
 @query(
