@@ -224,13 +224,13 @@ def _(spark, sf):
     """WITH m AS (SELECT symbol, arg_max(price,(ts,event_id)) AS mark FROM ticks GROUP BY 1),
        j AS (SELECT p.key, p.symbol, e.ts IS NULL AS is_open, (coalesce(e.price,m.mark)-p.price)*CASE WHEN p.side='SELL' THEN -1 ELSE 1 END AS d, p.qty, p.price, (epoch_us(e.ts)-epoch_us(p.ts))/6e7 AS holding_minutes
          FROM positions p LEFT JOIN executions e ON p.key=e.key JOIN m ON p.symbol=m.symbol)
-       SELECT key, symbol, is_open, round(d*qty,6) AS pnl, round(d*100/price,6) AS pnl_pct, round(holding_minutes,7) AS holding_minutes FROM j""",
+       SELECT key, symbol, is_open, round(d*qty,6) AS pnl, round(d*100/price,6) AS pnl_pct, round(holding_minutes,8) AS holding_minutes FROM j""",
 )
 def _(spark, sf):
     _, p, e = chain(spark, sf)
     marks = ticks(spark, sf).groupBy("symbol").agg(F.max_by("price", F.struct("ts", "event_id")).alias("mark"))
     d = K.mark_positions(p, e, marks)
-    return rounded(d.select("key", "symbol", "is_open", "pnl", "pnl_pct", "holding_minutes"), holding_minutes=7)
+    return rounded(d.select("key", "symbol", "is_open", "pnl", "pnl_pct", "holding_minutes"), holding_minutes=8)
 
 
 @query(
