@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.core import div, epoch_s, epoch_us, finite, ladder
 from tidemark.operators.frames import CHUNK, framed, islands, prefix
 from tidemark.operators.order_stats import exact_quantiles, join_stats
+from tidemark.session import settle
 from tidemark.sources.scan import as_ts
 
 PRICES = ("open", "high", "low", "close")
@@ -94,13 +95,14 @@ def price_outliers(df: DataFrame, window: int = 20, z_limit: float = 4.0, jump:
         z = (F.col("close") - fr.mean("close", window)) / F.when(fr.std("close", window) > 0, fr.std("close", window))
         return d.withColumn("z", z)
 
-    d = framed(df, build, before=window, keys=keys)
+    d = settle(framed(df, build, before=window, keys=keys).select(*keys, "ts", "ret", "z"))  # read five times
     stats = d.groupBy(*keys).agg(F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s"))
     q = exact_quantiles(d, F.abs("ret"), {"_q99": 0.99}, keys)
-    med = exact_quantiles(d, F.col("ret"), {"_med": 0.5}, keys)
-    d = join_stats(join_stats(join_stats(d, stats, keys), q, keys), med, keys)
-    mad = exact_quantiles(d, F.abs(F.col("ret") - F.col("_med")), {"_mad": 0.5}, keys)
-    d = join_stats(d, mad, keys)
+    med = settle(exact_quantiles(d, F.col("ret"), {"_med": 0.5}, keys))
+    centred = F.abs(F.col("ret") - F.col("_med"))
+    mad = exact_quantiles(join_stats(d, med, keys), centred, {"_mad": 0.5}, keys)
+    for s in (stats, q, med, mad):
+        d = join_stats(d, s, keys)
     robust = F.abs(F.col("ret") - F.col("_med")) / F.when(F.col("_mad") > 0, F.col("_mad") * 1.4826)
     flags = {
         "jump": F.abs("ret") > jump,

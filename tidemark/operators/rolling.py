@@ -11,6 +11,7 @@ from tidemark.functions.core import EPS, div
 from tidemark.operators.frames import CHUNK, framed, islands, prefix
 from tidemark.operators.indicators import percent_of_frame
 from tidemark.operators.order_stats import exact_quantiles, join_stats
+from tidemark.session import settle
 
 KEYS = ("symbol",)
 
@@ -162,7 +163,7 @@ def regimes_ma_vol(df: DataFrame, fast: int = 20, slow: int = 50, q: float = 0.7
         d = d.withColumns({"_f": fr.mean("close", fast), "_s": fr.mean("close", slow), "_ret": fr.pct("close")})
         return d.withColumn("vol", fr.std("_ret", fast))
 
-    d = framed(df, build, before=max(slow, fast + 1), keys=keys)
+    d = settle(framed(df, build, before=max(slow, fast + 1), keys=keys))  # read for the quantile and for the rows
     d = join_stats(d, exact_quantiles(d, F.col("vol"), {"_q": q}, keys), keys)
     up, high = F.col("_f") > F.col("_s"), F.col("vol") > F.col("_q") * (1 + 1e-12)  # equal up to rounding is not above
     regime = F.when(

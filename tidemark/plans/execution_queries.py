@@ -112,11 +112,11 @@ def _(spark, sf):
 @query(
     "cost_breakdown",
     """WITH c AS (SELECT *, coalesce(fees/nullif(notional,0),0)*10000 AS cb, greatest(5,abs(slippage_bps)*0.3) AS sb, least(10,duration_seconds/360) AS tb FROM execs)
-       SELECT symbol, hour_ts, round(cb,5) AS commission_bps, round(sb,5) AS spread_bps, round(impact_bps,5) AS impact_bps, round(tb,8) AS timing_bps, round(cb+sb+impact_bps+tb,5) AS total_bps, round((cb+sb+impact_bps+tb)/10000*notional,4) AS total_cost FROM c""",
+       SELECT symbol, hour_ts, round(cb,5) AS commission_bps, round(sb,5) AS spread_bps, round(impact_bps,5) AS impact_bps, round(tb,9) AS timing_bps, round(cb+sb+impact_bps+tb,5) AS total_bps, round((cb+sb+impact_bps+tb)/10000*notional,4) AS total_cost FROM c""",
 )
 def _(spark, sf):
     d = X.cost_breakdown(execs(spark, sf))
-    return rounded(d.select(*BY, "commission_bps", "spread_bps", "impact_bps", "timing_bps", "total_bps", "total_cost"), 5, timing_bps=8, total_cost=4)
+    return rounded(d.select(*BY, "commission_bps", "spread_bps", "impact_bps", "timing_bps", "total_bps", "total_cost"), 5, timing_bps=9, total_cost=4)
 
 
 @query(
@@ -202,12 +202,12 @@ def _(spark, sf):
 
 @query(
     "violations",
-    """SELECT symbol, hour_ts, 'high_slippage' AS type, CASE WHEN abs(slippage_bps)>100 THEN 'high' ELSE 'medium' END AS severity, round(abs(slippage_bps),5) AS value, 50.0::DOUBLE AS "limit" FROM execs WHERE abs(slippage_bps)>50
-       UNION ALL SELECT symbol, hour_ts, 'execution_timeout', 'medium', round(duration_seconds,5), 300.0 FROM execs WHERE duration_seconds>300
-       UNION ALL SELECT symbol, hour_ts, 'low_fill_rate', CASE WHEN fill_rate>0.7 THEN 'medium' ELSE 'high' END, round(fill_rate,5), 0.9 FROM execs WHERE fill_rate<0.9""",
+    """SELECT symbol, hour_ts, 'high_slippage' AS type, CASE WHEN abs(slippage_bps)>100 THEN 'high' ELSE 'medium' END AS severity, round(abs(slippage_bps),6) AS value, 50.0::DOUBLE AS "limit" FROM execs WHERE abs(slippage_bps)>50
+       UNION ALL SELECT symbol, hour_ts, 'execution_timeout', 'medium', round(duration_seconds,6), 300.0 FROM execs WHERE duration_seconds>300
+       UNION ALL SELECT symbol, hour_ts, 'low_fill_rate', CASE WHEN fill_rate>0.7 THEN 'medium' ELSE 'high' END, round(fill_rate,6), 0.9 FROM execs WHERE fill_rate<0.9""",
 )
 def _(spark, sf):
-    return rounded(X.violations(execs(spark, sf), BY), 5)
+    return rounded(X.violations(execs(spark, sf), BY))
 
 
 @query(

@@ -100,6 +100,22 @@ def _needed(text: str, seen: list[str]) -> list[str]:
     return seen
 
 
+def plain_zero(text: str) -> str:
+    """Add 0 to every rounded value: DuckDB keeps the sign of a zero, Spark's round does not."""
+    out, start = [], 0
+    for m in re.finditer(r"(?<![\w.])round\(", text):
+        if m.start() < start:
+            continue
+        depth, i = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[i], 0)
+            i += 1
+        inner = plain_zero(text[m.end() : i - 1])
+        out.append(f"{text[start : m.start()]}(round({inner})+0.0::DOUBLE)")
+        start = i
+    return "".join(out) + text[start:]
+
+
 def full_sql(text: str) -> str:
     """Put the shared parts a query names in front of it as common table expressions."""
     text = text.strip()
@@ -120,7 +136,7 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = full_sql(sql)
+            ORACLE[name] = plain_zero(full_sql(sql))
         return fn
 
     return add

@@ -58,3 +58,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("errorifexists").parquet(path)
         _written[slot] = path
     return spark.read.parquet(_written[slot])
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a costly intermediate that is read several times and go on from the written table.
+
+    Parquet rather than a checkpoint of rows, so later reads still prune columns.
+    """
+    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
