@@ -123,6 +123,8 @@ def full_sql(text: str) -> str:
     if not names:
         return text
     head = ",\n".join(f"{n} AS ({PARTS[n][1]})" for n in names)
+    if text[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head},\n{text[15:]}"
     if text[:5].upper() == "WITH ":
         return f"WITH {head},\n{text[5:]}"
     return f"WITH {head}\n{text}"
