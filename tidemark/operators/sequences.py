@@ -89,7 +89,7 @@ def space_out(signals: DataFrame, seconds: float, keys: Sequence[str] = (), ts:
 
     The same walk as ``non_overlapping`` with intervals of fixed length.
     """
-    d = signals.withColumn("_until", F.col(ts) + F.expr(f"interval {seconds} seconds"))
+    d = signals.withColumn("_until", F.col(ts) + F.expr(f"interval {int(seconds * 1_000_000)} microseconds"))
     if not keys:
         d = d.withColumn("_all", F.lit(0))
     return non_overlapping(d, list(keys) or ["_all"], ts, "_until", chunk_seconds, tie).drop("_until", "_all")

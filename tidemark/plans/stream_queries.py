@@ -183,7 +183,19 @@ def _(spark, sf):
     return A.violation_spells(m, 60.0, 1800.0, order=("ts", "event_id"), chunk=time_chunk("ts", 3600))
 
 
-@query("alert_duration_cooldown")
+_COOL = """WITH RECURSIVE a AS (SELECT event_type AS name, ts, event_id, value, value>60 AS above, value>60 IS DISTINCT FROM lag(value>60) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS new FROM events),
+       i AS (SELECT *, sum(new::INT) OVER (PARTITION BY name ORDER BY ts, event_id) AS island FROM a), e AS (SELECT name, ts, value FROM (SELECT *, min(ts) OVER (PARTITION BY name, island) AS since FROM i WHERE above) WHERE epoch_us(ts)-epoch_us(since) >= 600000000),
+       n AS (SELECT e.name, e.ts, e.value, y.ts AS nx FROM e ASOF LEFT JOIN (SELECT name, ts FROM e) y ON e.name=y.name AND e.ts + INTERVAL 1 HOUR <= y.ts),
+       p AS (SELECT n.* FROM n JOIN (SELECT name, min(ts) AS ts FROM e GROUP BY 1) f ON n.name=f.name AND n.ts=f.ts UNION ALL SELECT n.* FROM p JOIN n ON p.name=n.name AND p.nx=n.ts) SELECT name, ts, value FROM p"""
+
+
+@query("alert_cooldown_batch", _COOL)
+def _(spark, sf):
+    m = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("name"), "value")
+    return A.spell_alerts(m, 60.0, 600.0, 3600.0, order=("ts", "event_id"), chunk=time_chunk("ts", 3600)).select("name", "ts", "value")
+
+
+@query("alert_duration_cooldown", _COOL)
 def _(spark, sf):
     s = event_stream(spark, sf).select(F.col("event_type").alias("name"), "ts", "value")
     path, _ = run_available(A.cooldown_alerts(s, 60.0, 600.0, 3600.0))

@@ -53,7 +53,7 @@ COOLDOWN_SCHEMA = "name STRING, ts TIMESTAMP, value DOUBLE"
 
 
 def cooldown_step(rows, since, last, limit: float, duration: float, cooldown: float):
-    """Walk rows in time order: raise when above the limit for ``duration`` seconds and not within ``cooldown`` of the last alert.
+    """Walk rows in time order: raise when above the limit for ``duration`` and not within ``cooldown`` of the last alert.
 
     Returns the alerts and the state (start of the violation, last alert time).
     """
@@ -73,8 +73,11 @@ def cooldown_step(rows, since, last, limit: float, duration: float, cooldown: fl
 def cooldown_alerts(metrics: DataFrame, limit: float, duration: float, cooldown: float, key: str = "name") -> DataFrame:
     """Stateful alerts per key on a stream with ``key``, ``ts``, ``value``.
 
-    The state of a key is two numbers. Rows of one batch are taken in time order;
-    a row older than the state's last time is late and dropped.
+    The state of a key is three numbers. Rows of one batch are taken in time order;
+    a row older than the state's last time is late and dropped. The rows a key has in
+    one batch are held together, so set the source's rate limit
+    (``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``); over a whole table use
+    ``spell_alerts``, which has no such group.
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -83,20 +86,34 @@ def cooldown_alerts(metrics: DataFrame, limit: float, duration: float, cooldown:
         if not parts:
             return
         d = pd.concat(parts).sort_values("ts")
-        secs = d["ts"].astype("datetime64[us]").astype("int64") / 1e6
-        rows = [(t, v) for t, v in zip(secs, d["value"]) if seen is None or t >= seen]
-        raised, since, last = cooldown_step(rows, since, last, limit, duration, cooldown)
+        stamps = d["ts"].dt.tz_localize(None) if d["ts"].dt.tz is not None else d["ts"]
+        micros = stamps.astype("datetime64[us]").astype("int64")
+        rows = [(int(t), v) for t, v in zip(micros, d["value"]) if seen is None or t >= seen]
+        raised, since, last = cooldown_step(rows, since, last, limit, duration * 1e6, cooldown * 1e6)
         if rows:
             seen = rows[-1][0]
         state.update((since, last, seen))
-        out = pd.DataFrame(raised, columns=["secs", "value"])
-        yield pd.DataFrame({"name": [k[0]] * len(out), "ts": pd.to_datetime(out["secs"], unit="s"), "value": out["value"]})
+        out = pd.DataFrame(raised, columns=["us", "value"])
+        stamps = pd.to_datetime(out["us"].astype("int64"), unit="us").astype("datetime64[us]")
+        yield pd.DataFrame({"name": [k[0]] * len(out), "ts": stamps, "value": out["value"].astype("float64")})
 
     return metrics.groupBy(key).applyInPandasWithState(
-        step, COOLDOWN_SCHEMA, "since DOUBLE, last DOUBLE, seen DOUBLE", "append", GroupStateTimeout.NoTimeout
+        step, COOLDOWN_SCHEMA, "since BIGINT, last BIGINT, seen BIGINT", "append", GroupStateTimeout.NoTimeout
     )
 
 
+def spell_alerts(metrics: DataFrame, limit: float, duration: float, cooldown: float, keys: Sequence[str] = ("name",), order: Sequence[str] = ("ts",), chunk: Column | None = None) -> DataFrame:
+    """Batch form of ``cooldown_alerts``: rows at least ``duration`` seconds into a spell, spaced by the cooldown."""
+    from tidemark.operators.frames import CHUNK, islands, prefix
+    from tidemark.operators.sequences import space_out
+
+    d = islands(metrics.withColumn("_above", F.col("value") > limit), "_above", keys, order, chunk, keep_chunk=True)
+    d = prefix(d.where("_above"), {"_since": ("min", F.col(order[0]))}, [*keys, "island"], order).drop(CHUNK)
+    held = (F.unix_micros(F.col(order[0]).cast("timestamp")) - F.unix_micros(F.col("_since").cast("timestamp"))) / 1e6
+    ready = d.where(held >= duration).select(*metrics.columns)
+    return space_out(ready, cooldown, keys, order[0], tie=order[1:])
+
+
 def violation_spells(metrics: DataFrame, limit: float, duration: float, keys: Sequence[str] = ("name",), order: Sequence[str] = ("ts",), chunk: Column | None = None) -> DataFrame:
     """Batch form of the duration rule: spells above the limit that last at least ``duration`` seconds."""
     from tidemark.operators.frames import islands
