@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.candles import bps, execution_flags
 from tidemark.functions.core import div, epoch_us, ladder, time_chunk
-from tidemark.operators.frames import CHUNK, prefix
+from tidemark.operators.frames import CHUNK, prefix, stored_chunk
 from tidemark.operators.reports import grouping_counts
 from tidemark.operators.temporal_joins import interval_join
 
@@ -91,9 +91,10 @@ def ladder_scores(executions: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def next_tick(ticks: DataFrame, keys: Sequence[str] = ("symbol",), chunk_seconds: int = 3600) -> DataFrame:
     """Add the time of the key's next tick."""
+    # backwards in time; stored slices run the other way then
+    cut = -F.col(CHUNK) if CHUNK in ticks.columns else -time_chunk("ts", chunk_seconds)
     d = ticks.withColumn("_neg", -epoch_us("ts"))
-    d = prefix(d, {"next_ts": ("last", F.col("ts"))}, keys, ["_neg"], -time_chunk("ts", chunk_seconds), upto=-1)
-    return d.drop("_neg", CHUNK)
+    return prefix(d, {"next_ts": ("last", F.col("ts"))}, keys, ["_neg"], cut, upto=-1).drop("_neg", CHUNK)
 
 
 def twap(executions: DataFrame, ticks: DataFrame, by: Sequence[str], start: str = "start_ts", end: str = "end_ts") -> DataFrame:
@@ -101,7 +102,7 @@ def twap(executions: DataFrame, ticks: DataFrame, by: Sequence[str], start: str
 
     A tick's duration runs to the symbol's next tick and is cut at the interval's end, so no window per execution is needed.
     """
-    t = next_tick(ticks.select("symbol", "ts", "price")).select("symbol", "ts", "price", "next_ts")
+    t = next_tick(ticks.select("symbol", "ts", "price", *stored_chunk(ticks))).select("symbol", "ts", "price", "next_ts")
     d = interval_join(executions.select(*by, start, end), t, start, end)
     held = (F.least(epoch_us(F.coalesce("next_ts", F.col(end))), epoch_us(end)) - epoch_us("ts")).cast("double")
     out = d.withColumn("_w", held).groupBy(*by).agg(

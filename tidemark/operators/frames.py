@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import col, time_chunk
+from tidemark.session import settle
 
 CHUNK = "_chunk"
 ROW = "_rn"
@@ -36,6 +37,33 @@ BAR_CHUNK = 30 * DAY  # bars are unique per (symbol, ts): at most 43,200 one-min
 BLOCK_ROWS = 50_000
 
 
+MAX_CHUNKS = 50_000
+
+
+def stored_chunk(df: DataFrame) -> list[str]:
+    """The slice column if the table carries one, for select lists."""
+    return [CHUNK] if CHUNK in df.columns else []
+
+
+def tidy(out: DataFrame, source: DataFrame) -> DataFrame:
+    """Drop the slice column unless the source table came with one."""
+    return out if CHUNK in source.columns else out.drop(CHUNK)
+
+
+def balanced_chunks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = 1_000_000, max_chunks: int = MAX_CHUNKS
+) -> DataFrame:
+    """Cut the rows, sorted by keys and order, into slices of about ``rows`` rows and write them down.
+
+    For ticks, fills and other tables where one symbol or one hour may hold a large part
+    of all rows: the cuts follow the data, so neither makes a large slice as
+    long as ``order`` tells rows apart. The slice number is stored with the rows, because
+    a second run of the range sampling could cut elsewhere.
+    """
+    n = max(1, min(max_chunks, -(-df.count() // rows)))
+    return settle(df.repartitionByRange(n, *keys, *order).withColumn(CHUNK, F.spark_partition_id().cast("bigint")))
+
+
 def _partial(kind: str, x: Column, order: Sequence[str]) -> Column:
     if kind == "last":
         return F.max_by(x, F.when(x.isNotNull(), F.struct(*order)))
@@ -79,13 +107,15 @@ def prefix(
     ``aggs`` maps an output name to ``(kind, value)`` with kind one of sum,
     count, max, min, last, first; null values are skipped. ``upto=0`` includes the
     current row, ``-1`` stops before it. ``chunk`` must not decrease along
-    ``order``; it defaults to 30-day slices of the first order column. A chunk
-    column left by an earlier call is reused, so several calls share one
-    shuffle.
+    ``order``. Without it a chunk column already there (from ``balanced_chunks``
+    or an earlier call) is reused, so several calls share one shuffle; failing
+    that, 30-day slices of the first order column are used, which suits bars.
     """
     keys, order = list(keys), list(order)
-    if CHUNK not in df.columns:
-        df = df.withColumn(CHUNK, time_chunk(order[0], BAR_CHUNK) if chunk is None else chunk)
+    if chunk is not None:
+        df = df.withColumn(CHUNK, chunk)
+    elif CHUNK not in df.columns:
+        df = df.withColumn(CHUNK, time_chunk(order[0], BAR_CHUNK))
     parts = df.groupBy(*keys, CHUNK).agg(
         *[_partial(kind, x, order).alias(f"_p_{out}") for out, (kind, x) in aggs.items()]
     )
@@ -113,7 +143,7 @@ def with_row_number(
     out: str = ROW,
 ) -> DataFrame:
     """Number the rows of each key from 1 in ``order`` (a total order)."""
-    return prefix(df, {out: ("count", F.lit(1))}, keys, order, chunk).drop(CHUNK)
+    return tidy(prefix(df, {out: ("count", F.lit(1))}, keys, order, chunk), df)
 
 
 class Frames:
@@ -276,8 +306,9 @@ def islands(
     keep_chunk: bool = False,
 ) -> DataFrame:
     """Number the runs of equal ``state`` along the order of each key from 1."""
+    source = df
     df = df.withColumn("_s", F.struct(col(state).alias("v")))
     df = prefix(df, {"_prev": ("last", F.col("_s"))}, keys, order, chunk, upto=-1)
     df = df.withColumn("_new", F.when(F.col("_s").eqNullSafe(F.col("_prev")), 0).otherwise(1))
     df = prefix(df, {out: ("sum", F.col("_new"))}, keys, order).drop("_s", "_prev", "_new")
-    return df if keep_chunk else df.drop(CHUNK)
+    return df if keep_chunk else tidy(df, source)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import div, epoch_s, epoch_us, finite, ladder
-from tidemark.operators.frames import CHUNK, framed, islands, prefix
+from tidemark.operators.frames import CHUNK, framed, islands, prefix, stored_chunk, tidy
 from tidemark.operators.order_stats import exact_quantiles, join_stats
 from tidemark.session import settle
 from tidemark.sources.scan import as_ts
@@ -18,7 +18,7 @@ PRICES = ("open", "high", "low", "close")
 
 def with_gap(df: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
     """Add the previous timestamp and the seconds since it."""
-    d = prefix(df, {"prev_ts": ("last", F.col(ts))}, keys, [ts], upto=-1).drop(CHUNK)
+    d = tidy(prefix(df, {"prev_ts": ("last", F.col(ts))}, keys, [ts], upto=-1), df)
     return d.withColumn("gap", (epoch_us(ts) - epoch_us("prev_ts")) / 1e6)
 
 
@@ -166,7 +166,7 @@ def freshness(df: DataFrame, as_of: str, keys: Sequence[str] = ("symbol",), hori
 
 def longest_runs(df: DataFrame, x: str = "close", keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Length of the longest run of an unchanged value."""
-    runs = islands(df.select(*keys, "ts", x), x, keys).groupBy(*keys, "island").agg(F.count(F.lit(1)).alias("n"))
+    runs = islands(df.select(*keys, "ts", x, *stored_chunk(df)), x, keys).groupBy(*keys, "island").agg(F.count(F.lit(1)).alias("n"))
     return runs.groupBy(*keys).agg(F.max("n").alias("longest_run"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.candles import normal_cdf
 from tidemark.functions.core import col, div, ladder, sample_kurtosis, sample_skewness
-from tidemark.operators.frames import framed
+from tidemark.operators.frames import framed, stored_chunk
 from tidemark.operators.joins import pair_moments
 from tidemark.operators.order_stats import exact_order_statistic, exact_quantiles, join_stats
 from tidemark.operators.portfolio import symmetric
@@ -47,7 +47,7 @@ def backtest_metrics(
     )
     var = exact_quantiles(trades, x, {"var_5": 0.05}, by)
     tail = join_stats(trades, var, by).where(x <= F.col("var_5")).groupBy(*by).agg(F.avg(x).alias("cvar_5"))
-    eq = running_totals(trades.select(*by, *order, ret), {"_eq": x}, by, order, chunk)
+    eq = running_totals(trades.select(*by, *order, ret, *stored_chunk(trades)), {"_eq": x}, by, order, chunk)
     dd = drawdowns(eq, "_eq", by, order, floor_zero=True, chunk=chunk).groupBy(*by).agg(F.min("drawdown").alias("max_drawdown"))
     d = base
     for s in (var, tail, dd):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import EPS, div
-from tidemark.operators.frames import CHUNK, framed, islands, prefix
+from tidemark.operators.frames import CHUNK, framed, islands, prefix, tidy
 from tidemark.operators.indicators import percent_of_frame
 from tidemark.operators.order_stats import exact_quantiles, join_stats
 from tidemark.session import settle
@@ -119,12 +119,12 @@ def forward_values(df: DataFrame, x: str, leads: Sequence[int], keys: Sequence[s
 
 
 def running_totals(df: DataFrame, aggs: dict[str, Column], keys: Sequence[str] = KEYS, order: Sequence[str] = ("ts",), chunk: Column | None = None) -> DataFrame:
-    return prefix(df, {k: ("sum", v) for k, v in aggs.items()}, keys, order, chunk).drop(CHUNK)
+    return tidy(prefix(df, {k: ("sum", v) for k, v in aggs.items()}, keys, order, chunk), df)
 
 
 def drawdowns(df: DataFrame, x: str, keys: Sequence[str] = KEYS, order: Sequence[str] = ("ts",), floor_zero: bool = False, chunk: Column | None = None) -> DataFrame:
     """Running peak and distance below it, absolute and relative; ``floor_zero`` starts the peak at 0."""
-    d = prefix(df, {"peak": ("max", F.col(x))}, keys, order, chunk).drop(CHUNK)
+    d = tidy(prefix(df, {"peak": ("max", F.col(x))}, keys, order, chunk), df)
     if floor_zero:
         d = d.withColumn("peak", F.greatest(F.lit(0.0), "peak"))
     return d.withColumns({"drawdown": F.col(x) - F.col("peak"), "drawdown_pct": div(F.col(x) - F.col("peak"), "peak")})
@@ -153,7 +153,7 @@ def drawdown_episodes(df: DataFrame, x: str, keys: Sequence[str] = KEYS, order:
 def runs(df: DataFrame, state: str | Column, keys: Sequence[str] = KEYS, order: Sequence[str] = ("ts",), chunk: Column | None = None) -> DataFrame:
     """Run number and position in the run for every row."""
     d = islands(df, state, keys, order, chunk, keep_chunk=True)
-    return prefix(d, {"run_position": ("count", F.lit(1))}, [*keys, "island"], order).drop(CHUNK)
+    return tidy(prefix(d, {"run_position": ("count", F.lit(1))}, [*keys, "island"], order), df)
 
 
 def regimes_ma_vol(df: DataFrame, fast: int = 20, slow: int = 50, q: float = 0.7, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -9,9 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import epoch_us, time_chunk
-from tidemark.operators.frames import CHUNK
-from tidemark.session import settle
+from tidemark.functions.core import epoch_us
+from tidemark.operators.frames import CHUNK, balanced_chunks
 
 NEVER = -(2**62)
 
@@ -32,22 +31,22 @@ def non_overlapping(
     keys: Sequence[str] = ("symbol",),
     start: str = "ts",
     end: str = "exit_ts",
-    chunk_seconds: int = 30 * 86_400,
     tie: Sequence[str] = (),
+    rows: int = 1_000_000,
 ) -> DataFrame:
     """Keep the first interval of each key, then always the next that starts at or after the last kept end.
 
-    Which intervals a time slice keeps depends only on when the last interval kept
+    The sorted intervals are cut into slices of about ``rows`` rows, whatever the size of a key.
+    Which intervals a slice keeps depends only on when the last interval kept
     before it ends. Pass one finds, per slice, the end it hands on for every
     such value; the value is constant between a few steps, since chains meet. The
     steps of all slices are followed in order per key (a few rows per slice).
     Pass two walks each slice once from its known start.
     """
     keys = list(keys)
-    d = settle(
-        intervals.withColumns({"_s": epoch_us(start), "_e": epoch_us(end), CHUNK: time_chunk(start, chunk_seconds)})
-    )
     order = ["_s", *tie]
+    d = intervals.withColumns({"_s": epoch_us(start), "_e": epoch_us(end)})
+    d = balanced_chunks(d, keys, order, rows)
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema if f.name in keys)
 
     def steps(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -70,8 +69,9 @@ def non_overlapping(
         return out.assign(**{k: pdf[k].iloc[0] for k in keys})
 
     entry = table.groupBy(*keys).applyInPandas(follow, f"{CHUNK} BIGINT, _busy BIGINT, {key_schema}")
-    cols = intervals.columns
-    out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in intervals.schema)
+    kept = [f for f in intervals.schema if f.name != CHUNK]
+    cols = [f.name for f in kept]
+    out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -84,7 +84,7 @@ def non_overlapping(
     return d.join(entry, [*keys, CHUNK]).groupBy(*keys, CHUNK).applyInPandas(walk, out_schema)
 
 
-def space_out(signals: DataFrame, seconds: float, keys: Sequence[str] = (), ts: str = "ts", chunk_seconds: int = 30 * 86_400, tie: Sequence[str] = ()) -> DataFrame:
+def space_out(signals: DataFrame, seconds: float, keys: Sequence[str] = (), ts: str = "ts", tie: Sequence[str] = (), rows: int = 1_000_000) -> DataFrame:
     """Sequential spacing: keep a signal only if the last kept one is at least ``seconds`` older.
 
     The same walk as ``non_overlapping`` with intervals of fixed length.
@@ -92,4 +92,4 @@ def space_out(signals: DataFrame, seconds: float, keys: Sequence[str] = (), ts:
     d = signals.withColumn("_until", F.col(ts) + F.expr(f"interval {int(seconds * 1_000_000)} microseconds"))
     if not keys:
         d = d.withColumn("_all", F.lit(0))
-    return non_overlapping(d, list(keys) or ["_all"], ts, "_until", chunk_seconds, tie).drop("_until", "_all")
+    return non_overlapping(d, list(keys) or ["_all"], ts, "_until", tie, rows).drop("_until", "_all")

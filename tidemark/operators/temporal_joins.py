@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import epoch_us, time_chunk
-from tidemark.operators.frames import CHUNK, DAY, prefix
+from tidemark.operators.frames import DAY, balanced_chunks, prefix
 
 
 def asof_join(
@@ -20,7 +20,7 @@ def asof_join(
     right_ts: str = "ts",
     direction: str = "backward",
     strict: bool = False,
-    chunk_seconds: int = DAY,
+    chunk_seconds: int | None = DAY,
     tie: Sequence[str] = (),
     keep_ts: str | None = None,
 ) -> DataFrame:
@@ -30,8 +30,9 @@ def asof_join(
     leaves out equal timestamps. ``tie`` orders right rows of equal time. Both
     sides are stacked and the right row is carried along the stack; the carry
     is done per time slice and handed on from slice to slice, so neither side
-    of a hot key is held in one task. ``keep_ts`` names a column that receives the
-    matched right timestamp.
+    of a hot key is held in one task. ``chunk_seconds=None`` cuts the stack into slices of
+    equal size instead (one more write), for tables where a single day may be
+    very large. ``keep_ts`` names a column that receives the matched right timestamp.
     """
     keys = list(keys)
     payload = F.struct(F.col(right_ts).alias("_rts"), *[F.col(c) for c in cols])
@@ -47,7 +48,6 @@ def asof_join(
         F.lit(side_right).alias("_side"),
         tie_key.alias("_tie"),
         payload.alias("_right"),
-        (time_chunk(right_ts, chunk_seconds) * sign).alias(CHUNK),
     )
     l = left.select(
         *keys,
@@ -55,10 +55,18 @@ def asof_join(
         F.lit(side_left).alias("_side"),
         F.lit(None).cast(r.schema["_tie"].dataType).alias("_tie"),
         F.struct(*left.columns).alias("_left"),
-        (time_chunk(ts, chunk_seconds) * sign).alias(CHUNK),
     )
     both = l.unionByName(r, allowMissingColumns=True)
-    carried = prefix(both, {"_hit": ("last", F.col("_right"))}, keys, ["_t", "_side", "_tie"], F.col(CHUNK))
+    order = ["_t", "_side", "_tie"]
+    if chunk_seconds is None:
+        # equal stamps may be many: the row's own hash tells them apart for the cuts
+        both = both.withColumn("_h", F.xxhash64("_left", "_right"))
+        order.append("_h")
+        both = balanced_chunks(both, keys, order)
+        cut = None
+    else:
+        cut = F.floor(F.col("_t") / F.lit(chunk_seconds * 1_000_000))
+    carried = prefix(both, {"_hit": ("last", F.col("_right"))}, keys, order, cut)
     out = carried.where(F.col("_left").isNotNull()).select(
         "_left.*",
         *[F.col(f"_hit.{c}").alias(c) for c in cols],
@@ -75,7 +83,7 @@ def nearest_join(
     keys: Sequence[str] = ("symbol",),
     ts: str = "ts",
     right_ts: str = "ts",
-    chunk_seconds: int = DAY,
+    chunk_seconds: int | None = DAY,
 ) -> DataFrame:
     """Attach ``cols`` of the right row closest in time, either side, if nearer than the tolerance.
 
@@ -139,7 +147,3 @@ def bucket_floor_join(
         *[F.col(c).alias(c + suffix) for c in cols],
     )
     return df.withColumn("_bucket", floor_ts("ts", seconds)).join(h, [*keys, "_bucket"], "left").drop("_bucket")
-
-
-def window_last(keys: Sequence[str], order: Column) -> Window:
-    return Window.partitionBy(*keys).orderBy(order.desc())

@@ -51,10 +51,13 @@ def expanding_folds(df: DataFrame, folds: int, gap_hours: float, keys: Sequence[
 
 
 def walk_forward(trades: DataFrame, start: str, train_days: int, test_days: int, step_days: int, windows: int, ret: str = "pnl_pct", ts: str = "ts") -> DataFrame:
-    """Train and test figures of each window and the decay between them; ``windows`` bounds how often a row is listed."""
+    """Train and test figures of each window and the decay between them; a row is listed only for windows that cover it."""
     at = as_ts(start)
     day = 86_400
-    d = trades.withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
+    past = (epoch_s(ts) - epoch_s(at)) / day
+    last = F.least(F.floor(past / step_days), F.lit(windows - 1))
+    first = F.greatest(F.floor((past - (train_days + test_days)) / step_days) + 1, F.lit(0))
+    d = trades.withColumn("window", F.explode(F.when(first <= last, F.sequence(first, last)))).withColumn("window", F.col("window").cast("int"))
     t = epoch_s(ts) - epoch_s(at) - F.col("window") * (step_days * day)
     role = F.when((t >= 0) & (t < train_days * day), "train").when((t >= train_days * day) & (t < (train_days + test_days) * day), "test")
     d = d.withColumn("role", role).where(F.col("role").isNotNull())
@@ -453,7 +456,7 @@ def suppress_recent(signals: DataFrame, history: DataFrame, hours: float, keys:
     """Signals without an earlier one in ``history`` of the same key within the last hours."""
     from tidemark.operators.temporal_joins import asof_join
 
-    d = asof_join(signals, history.select(*keys, F.col(ts).alias("_hts")), [], keys, ts, "_hts", strict=True, keep_ts="_last")
+    d = asof_join(signals, history.select(*keys, F.col(ts).alias("_hts")), [], keys, ts, "_hts", strict=True, keep_ts="_last", chunk_seconds=None)
     gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_last").cast("timestamp"))) / 3.6e9
     return d.where(F.col("_last").isNull() | (gap >= hours)).drop("_last")
 

@@ -247,7 +247,7 @@ def _(spark, sf):
     odd = F.pmod("event_id", F.lit(2)) == 1
     prices = t.where(~odd).select("event_id", "symbol", "ts", "price")
     volumes = t.where(odd).select("symbol", "ts", F.col("qty").alias("volume"))
-    return J.nearest_join(prices, volumes, ["volume"], 300).drop("ts")
+    return J.nearest_join(prices, volumes, ["volume"], 300, chunk_seconds=None).drop("ts")
 
 
 @query(

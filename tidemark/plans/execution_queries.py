@@ -152,7 +152,7 @@ def vwap_table(spark, sf, e):
     t = ticks(spark, sf)
     odd = F.pmod("event_id", F.lit(2)) == 1
     prices = t.where(~odd).select("event_id", "symbol", "ts", "price")
-    near = nearest_join(prices, t.where(odd).select("symbol", "ts", F.col("qty").alias("volume")), ["volume"], 300)
+    near = nearest_join(prices, t.where(odd).select("symbol", "ts", F.col("qty").alias("volume")), ["volume"], 300, chunk_seconds=None)
     return X.vwap(e, near, BY, X.twap(e, t, BY))
 
 

@@ -87,10 +87,8 @@ def _(spark, sf):
        round(avg(abs(price-pp)),6) AS avg_move FROM l GROUP BY 1""",
 )
 def _(spark, sf):
-    from tidemark.functions.core import time_chunk
-
     d = prefix(
-        ticks(spark, sf), {"_pp": ("last", F.col("price"))}, ["symbol"], ["ts", "event_id"], time_chunk("ts", 3600), -1
+        ticks(spark, sf), {"_pp": ("last", F.col("price"))}, ["symbol"], ["ts", "event_id"], upto=-1
     )
     return rounded(
         d.groupBy("symbol").agg(
@@ -259,10 +257,8 @@ def _(spark, sf):
        round((max(value)-min(value))/(max(floor(epoch(ts)))-min(floor(epoch(ts)))),8) AS rate FROM c GROUP BY 1""",
 )
 def _(spark, sf):
-    from tidemark.functions.core import time_chunk
-
     t = ticks(spark, sf).withColumnRenamed("symbol", "name")
-    c = prefix(t, {"value": ("sum", F.col("qty"))}, ["name"], ["ts", "event_id"], time_chunk("ts", 3600))
+    c = prefix(t, {"value": ("sum", F.col("qty"))}, ["name"], ["ts", "event_id"])
     return rounded(R.counter_rate(c, order=["ts", "event_id"]), 8)
 
 

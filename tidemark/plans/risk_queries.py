@@ -14,7 +14,7 @@ from tidemark.plans.feature_queries import _TR
 from tidemark.plans.registry import part, query
 from tidemark.plans.report_queries import BOOK, position_book, rounded
 from tidemark.plans.sqltext import ewm, full, lag, mean, over, pct, std
-from tidemark.plans.window_queries import REGIME, b1, hour_chunk
+from tidemark.plans.window_queries import REGIME, b1
 from tidemark.sources.standins import bars, chain, round_trips, ticks, trades
 
 part("book", ("ticks",), BOOK)
@@ -58,7 +58,7 @@ _DD = """c AS (SELECT symbol, ts, trade_id, sum(pnl_pct) OVER (PARTITION BY symb
         round(total/abs(max_drawdown),6) AS calmar, round(m/(s/sqrt(trades)),6) AS t_stat FROM b JOIN v ON b.symbol=v.symbol JOIN t ON b.symbol=t.symbol JOIN dd ON b.symbol=dd.symbol""",
 )
 def _(spark, sf):
-    return rounded(K.backtest_metrics(round_trips(spark, sf), chunk=hour_chunk()))
+    return rounded(K.backtest_metrics(round_trips(spark, sf)))
 
 
 @query(
@@ -71,7 +71,7 @@ def _(spark, sf):
        round(coalesce(sum(pnl) FILTER (ts > TIMESTAMP '2024-01-24'),0),6) AS pnl_24h, round(any_value(consistency),6) AS consistency FROM r JOIN g ON r.symbol=g.symbol GROUP BY 1""",
 )
 def _(spark, sf):
-    return rounded(K.live_performance(round_trips(spark, sf), "2024-01-25", chunk=hour_chunk()))
+    return rounded(K.live_performance(round_trips(spark, sf), "2024-01-25"))
 
 
 @query(
@@ -82,7 +82,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     g = regimes_ma_vol(b1(spark, sf)).select("symbol", (F.col("ts") + F.expr("interval 1 hour")).alias("kts"), "regime")
-    d = asof_join(round_trips(spark, sf), g, ["regime"], right_ts="kts")
+    d = asof_join(round_trips(spark, sf), g, ["regime"], right_ts="kts", chunk_seconds=None)
     return rounded(K.performance_by(d, ["regime"]))
 
 

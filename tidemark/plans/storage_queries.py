@@ -64,7 +64,7 @@ def _(spark, sf):
 
 
 @query(
-    "serving_tables",
+    "serving_tables_ddl",
     """SELECT strftime(o_orderdate,'%Y-%m') AS month, count(*) AS orders, round(sum(o_totalprice),2) AS value FROM orders GROUP BY 1""",
 )
 def _(spark, sf):

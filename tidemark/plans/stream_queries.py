@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import time_chunk
 from tidemark.operators import quality as Q
+from tidemark.operators.frames import CHUNK, balanced_chunks
 from tidemark.operators.plugins import apply_blocks, run_detectors, run_strategies
 from tidemark.operators.sequences import non_overlapping, space_out
 from tidemark.plans.registry import query
@@ -34,6 +34,12 @@ def ntz(df, *cols):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
 
 
+def metric_rows(spark, sf):
+    """Metric rows cut into slices of equal size."""
+    m = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("name"), "value")
+    return balanced_chunks(m, ["name"], ["ts", "event_id"])
+
+
 def raw_ticks(s):
     return s.select(
         F.col("event_type").alias("symbol"), "ts", "event_id", F.col("value").alias("price"),
@@ -138,6 +144,50 @@ def _(spark, sf):
     return out.unionByName(bad.select(F.lit("quarantine").alias("table"), F.lit(None).cast("string").alias("symbol"), "rows", F.lit(None).cast("double").alias("quantity")))
 
 
+@query(
+    "event_source",
+    """SELECT event_type AS symbol, count(*) AS parsed, round(sum(value),6) AS total FROM events WHERE event_id % 50 <> 49 GROUP BY 1""",
+)
+def _(spark, sf):
+    raw = event_stream(spark, sf).select(report_json().alias("value"))
+    good = E.parse_events(raw).where(~F.col("bad"))
+    path, _ = run_available(good.select("event.symbol", F.element_at("event.fills", 1)["price"].cast("double").alias("value")))
+    d = spark.read.parquet(f"{path}/data").groupBy("symbol")
+    return rounded(d.agg(F.count(F.lit(1)).alias("parsed"), F.sum("value").alias("total")))
+
+
+@query("event_handler_hook", "SELECT event_type AS kind, count(*) AS rows FROM events WHERE event_type IN ('purchase','signup') GROUP BY 1")
+def _(spark, sf):
+    path = fresh_path(spark)
+
+    def save(batch, batch_id):
+        batch.write.mode("append").parquet(f"{path}/handled/b{batch_id}")
+
+    run_available(event_stream(spark, sf), "append", E.route({"purchase": save, "signup": save}, "event_type"), path)
+    return spark.read.parquet(f"{path}/handled/*").groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("topic_lag_stats", "SELECT count(*) AS input_rows, 1::BIGINT AS batches_with_rows FROM events")
+def _(spark, sf):
+    from tidemark.streaming.run import progress_table
+
+    _, q = run_available(event_stream(spark, sf).select("event_id"))
+    p = progress_table(spark, q)
+    return p.agg(F.sum("input_rows").alias("input_rows"), F.count_if(F.col("input_rows") > 0).alias("batches_with_rows"))
+
+
+@query(
+    "anomaly_detector_plugin",
+    """SELECT l_orderkey, l_partkey, 'large_fill' AS detector FROM lineitem WHERE l_quantity>=49 UNION ALL SELECT l_orderkey, l_partkey, 'high_tax' FROM lineitem WHERE l_tax>=0.08 AND l_discount<=0.01""",
+)
+def _(spark, sf):
+    detectors = {
+        "large_fill": lambda d: d.where("l_quantity >= 49"),
+        "high_tax": lambda d: d.where("l_tax >= 0.08 AND l_discount <= 0.01"),
+    }
+    return run_detectors(table(spark, sf, "lineitem"), detectors, ["l_orderkey", "l_partkey"])
+
+
 @query("late_and_dedup", "SELECT event_type, count(*) AS events, round(sum(value),6) AS total FROM events GROUP BY 1")
 def _(spark, sf):
     s = event_stream(spark, sf)
@@ -168,8 +218,8 @@ def _(spark, sf):
        SELECT event_id, name, round(q,6) AS limit_pct, round(s,6) AS limit_sigma, value>q AS above_pct, value>s AS above_sigma FROM w WHERE n>=20 AND (value>q OR value>s)""",
 )
 def _(spark, sf):
-    m = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("name"), "value")
-    d = A.dynamic_thresholds(m, order=("ts", "event_id"), chunk=time_chunk("ts", 3600))
+    m = metric_rows(spark, sf)
+    d = A.dynamic_thresholds(m, order=("ts", "event_id"))
     return rounded(d.select("event_id", "name", "limit_pct", "limit_sigma", "above_pct", "above_sigma"))
 
 
@@ -179,8 +229,8 @@ def _(spark, sf):
        SELECT name, island, min(ts) AS start_ts, max(ts) AS end_ts, max(value) AS peak, count(*) AS rows FROM i WHERE above GROUP BY 1,2 HAVING epoch_us(max(ts))-epoch_us(min(ts)) >= 1800000000""",
 )
 def _(spark, sf):
-    m = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("name"), "value")
-    return A.violation_spells(m, 60.0, 1800.0, order=("ts", "event_id"), chunk=time_chunk("ts", 3600))
+    m = metric_rows(spark, sf)
+    return A.violation_spells(m, 60.0, 1800.0, order=("ts", "event_id"))
 
 
 _COOL = """WITH RECURSIVE a AS (SELECT event_type AS name, ts, event_id, value, value>60 AS above, value>60 IS DISTINCT FROM lag(value>60) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS new FROM events),
@@ -191,8 +241,8 @@ _COOL = """WITH RECURSIVE a AS (SELECT event_type AS name, ts, event_id, value,
 
 @query("alert_cooldown_batch", _COOL)
 def _(spark, sf):
-    m = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("name"), "value")
-    return A.spell_alerts(m, 60.0, 600.0, 3600.0, order=("ts", "event_id"), chunk=time_chunk("ts", 3600)).select("name", "ts", "value")
+    m = metric_rows(spark, sf)
+    return A.spell_alerts(m, 60.0, 600.0, 3600.0, order=("ts", "event_id")).select("name", "ts", "value")
 
 
 @query("alert_duration_cooldown", _COOL)
@@ -248,8 +298,8 @@ def _(spark, sf):
        SELECT event_id, symbol, round(price/p9-1,8) AS momentum, round(slope,6) AS slope, round(qty/nullif(q4,0)-1,6) AS depth_change, CASE WHEN price/p9-1>0.001 THEN 'up' WHEN price/p9-1 < -0.001 THEN 'down' WHEN p9 IS NOT NULL THEN 'flat' END AS direction FROM s""",
 )
 def _(spark, sf):
-    t = ticks(spark, sf).select("event_id", "symbol", "ts", F.col("price").alias("mid"), F.col("qty").alias("depth"))
-    d = B.book_flow(t, order=("ts", "event_id"), chunk=time_chunk("ts", 3600))
+    t = ticks(spark, sf).select("event_id", "symbol", "ts", F.col("price").alias("mid"), F.col("qty").alias("depth"), CHUNK)
+    d = B.book_flow(t, order=("ts", "event_id"))
     return rounded(d.select("event_id", "symbol", "momentum", "slope", "depth_change", "direction"), momentum=8)
 
 
@@ -298,7 +348,7 @@ def _(spark, sf):
     b = bars(spark, sf, 900).where("close < open")
     mins = (F.pmod("trades", F.lit(4)) * 60 + 30).cast("int")
     d = b.select("symbol", "ts", (F.col("ts") + F.make_dt_interval(mins=mins)).alias("exit_ts"))
-    return non_overlapping(d, chunk_seconds=3 * 86_400)
+    return non_overlapping(d, rows=500)
 
 
 @query(
@@ -308,7 +358,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     d = round_trips(spark, sf).where("confidence >= 0.5").select("symbol", "ts", "trade_id")
-    return space_out(d, 7200, ["symbol"], chunk_seconds=5 * 86_400)
+    return space_out(d, 7200, ["symbol"], tie=["trade_id"])
 
 
 @query(

@@ -9,7 +9,7 @@ from tidemark.operators.signals import feature_set
 from tidemark.plans.registry import part, query
 from tidemark.plans.report_queries import rounded
 from tidemark.plans.sqltext import lead, mean, pct, std
-from tidemark.plans.window_queries import b1, hour_chunk
+from tidemark.plans.window_queries import b1
 from tidemark.session import materialize
 from tidemark.sources.scan import as_ts
 from tidemark.sources.standins import round_trips, table
@@ -31,9 +31,12 @@ def features(spark, sf):
     """Feature table with a forward return and a binary label, written once per application."""
     from tidemark.operators.labels import future_returns
 
-    d = future_returns(feature_set(b1(spark, sf, *BAR)).select("symbol", "ts", "close", *FEATURES), [12])
-    d = d.withColumn("future", F.col("ret_12")).withColumn("label", (F.col("ret_12") > 0).cast("int")).drop("ret_12")
-    return materialize(d, f"features:{sf}")
+
+    def make():
+        d = future_returns(feature_set(b1(spark, sf, *BAR)).select("symbol", "ts", "close", *FEATURES), [12])
+        return d.withColumn("future", F.col("ret_12")).withColumn("label", (F.col("ret_12") > 0).cast("int")).drop("ret_12")
+
+    return materialize(spark, f"features:{sf}", make)
 
 
 @query(
@@ -42,7 +45,7 @@ def features(spark, sf):
        SELECT trade_id, symbol, CASE WHEN i <= floor(n*6/10) THEN 'train' WHEN i <= floor(n*8/10) THEN 'validation' ELSE 'test' END AS split FROM n""",
 )
 def _(spark, sf):
-    d = V.time_split(round_trips(spark, sf), order=("ts", "trade_id"), chunk=hour_chunk())
+    d = V.time_split(round_trips(spark, sf), order=("ts", "trade_id"))
     return d.select("trade_id", "symbol", "split")
 
 
@@ -281,7 +284,7 @@ def _(spark, sf):
        CASE WHEN w1-w3>0.15 OR h1-h3>0.5 THEN 'severe' WHEN w1-w3>0.05 OR h1-h3>0.2 THEN 'moderate' ELSE 'ok' END AS level FROM a""",
 )
 def _(spark, sf):
-    d = V.time_split(round_trips(spark, sf), order=("ts", "trade_id"), chunk=hour_chunk())
+    d = V.time_split(round_trips(spark, sf), order=("ts", "trade_id"))
     return rounded(V.split_decay(d, keys=["symbol"]))
 
 

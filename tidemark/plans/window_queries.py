@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import time_chunk
 from tidemark.operators import indicators as I
 from tidemark.operators import rolling as W
 from tidemark.operators.frames import CHUNK, add_ewm, ewm_reach, framed
@@ -16,10 +15,6 @@ from tidemark.sources.standins import bars, round_trips
 TS_ID = ("ts", "trade_id")
 
 
-def hour_chunk():
-    return time_chunk("ts", 3600)
-
-
 def b1(spark, sf, *cols):
     return bars(spark, sf).select("symbol", "ts", *(cols or ("close",)))
 
@@ -119,7 +114,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     t = round_trips(spark, sf)
-    d = W.running_totals(t, {"cum_pnl": F.col("pnl"), "cum_minutes": F.col("holding_minutes")}, order=TS_ID, chunk=hour_chunk())
+    d = W.running_totals(t, {"cum_pnl": F.col("pnl"), "cum_minutes": F.col("holding_minutes")}, order=TS_ID)
     return rounded(d.select("trade_id", "symbol", "cum_pnl", "cum_minutes"))
 
 
@@ -128,8 +123,8 @@ _CUM = """c AS (SELECT symbol, ts, trade_id, sum(pnl) OVER (PARTITION BY symbol
 
 
 def equity(spark, sf):
-    t = round_trips(spark, sf).select("symbol", "ts", "trade_id", "pnl")
-    return W.running_totals(t, {"equity": F.col("pnl")}, order=TS_ID, chunk=hour_chunk())
+    t = round_trips(spark, sf).select("symbol", "ts", "trade_id", "pnl", CHUNK)
+    return W.running_totals(t, {"equity": F.col("pnl")}, order=TS_ID)
 
 
 @query(
@@ -139,8 +134,8 @@ def equity(spark, sf):
         round((equity-peak)/nullif(peak,0),6) AS drawdown_pct FROM q""",
 )
 def _(spark, sf):
-    d = W.drawdowns(equity(spark, sf), "equity", order=TS_ID, floor_zero=True, chunk=hour_chunk())
-    return rounded(d.drop("ts", "pnl"))
+    d = W.drawdowns(equity(spark, sf), "equity", order=TS_ID, floor_zero=True)
+    return rounded(d.drop("ts", "pnl", CHUNK))
 
 
 @query(
@@ -150,7 +145,7 @@ def _(spark, sf):
         max(ts) < (SELECT max(ts) FROM round_trips r WHERE r.symbol=e.symbol) AS recovered FROM e WHERE equity<peak GROUP BY 1,2""",
 )
 def _(spark, sf):
-    return rounded(W.drawdown_episodes(equity(spark, sf), "equity", order=TS_ID, chunk=hour_chunk()))
+    return rounded(W.drawdown_episodes(equity(spark, sf), "equity", order=TS_ID))
 
 
 @query(
@@ -160,8 +155,8 @@ def _(spark, sf):
        SELECT trade_id, symbol, win, island, row_number() OVER (PARTITION BY symbol, island ORDER BY ts, trade_id) AS run_position FROM i""",
 )
 def _(spark, sf):
-    t = round_trips(spark, sf).select("trade_id", "symbol", "ts", (F.col("pnl") > 0).alias("win"))
-    return W.runs(t, "win", order=TS_ID, chunk=hour_chunk()).drop("ts")
+    t = round_trips(spark, sf).select("trade_id", "symbol", "ts", (F.col("pnl") > 0).alias("win"), CHUNK)
+    return W.runs(t, "win", order=TS_ID).drop("ts", CHUNK)
 
 
 @query(
@@ -173,8 +168,8 @@ def _(spark, sf):
 def _(spark, sf):
     from tidemark.operators.frames import islands
 
-    t = round_trips(spark, sf).select("trade_id", "symbol", "ts", (F.col("pnl") > 0).alias("win"))
-    d = islands(t, "win", order=TS_ID, chunk=hour_chunk()).groupBy("symbol", "win", "island").agg(F.count(F.lit(1)).alias("n"))
+    t = round_trips(spark, sf).select("trade_id", "symbol", "ts", (F.col("pnl") > 0).alias("win"), CHUNK)
+    d = islands(t, "win", order=TS_ID).groupBy("symbol", "win", "island").agg(F.count(F.lit(1)).alias("n"))
     return d.groupBy("symbol", "win").agg(F.max("n").alias("longest"), F.count(F.lit(1)).alias("runs"))
 
 
@@ -287,7 +282,7 @@ def _(spark, sf):
        SELECT symbol, block, round(sum(pnl),6) AS total FROM d GROUP BY 1,2 HAVING count(*)=10""",
 )
 def _(spark, sf):
-    return rounded(W.block_windows(round_trips(spark, sf), 10, "pnl", order=TS_ID, chunk=hour_chunk()))
+    return rounded(W.block_windows(round_trips(spark, sf), 10, "pnl", order=TS_ID))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,18 +45,17 @@ def scratch_dir(spark: SparkSession) -> str:
 _written: dict[tuple[str, str], str] = {}
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once per application as Parquet in the scratch folder and read it back.
+def materialize(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Build a table once per application, write it as Parquet in the scratch folder and read it back.
 
     Later calls with the same ``name`` read the written table, so a table that
     many queries derive from the same source is computed once and survives the
     loss of executors.
     """
-    spark = df.sparkSession
     slot = (spark.sparkContext.applicationId, name)
     if slot not in _written:
         path = f"{scratch_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-        df.write.mode("errorifexists").parquet(path)
+        make().write.mode("errorifexists").parquet(path)
         _written[slot] = path
     return spark.read.parquet(_written[slot])
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import floor_ts, time_chunk
-from tidemark.operators.frames import CHUNK, prefix
+from tidemark.functions.core import floor_ts
+from tidemark.operators.frames import CHUNK, balanced_chunks, prefix
 from tidemark.session import materialize, prepare
 
 HOUR = 3600
@@ -37,19 +37,21 @@ def ticks_from_events(events: DataFrame) -> DataFrame:
         cents.alias("_cents"),
         F.get_json_object("props", "$.k").cast("int").alias("qty"),
     )
-    walk = prefix(base, {"_sum": ("sum", F.col("_cents"))}, ["symbol"], ["ts", "event_id"], time_chunk("ts", HOUR))
+    base = balanced_chunks(base, ["symbol"], ["ts", "event_id"])
+    walk = prefix(base, {"_sum": ("sum", F.col("_cents"))}, ["symbol"], ["ts", "event_id"])
     price = F.round(F.exp(F.col("_sum") / 1e6) * (100 * GRID)) / GRID
-    return walk.select("symbol", "ts", "event_id", "user_id", price.alias("price"), "qty")
+    return walk.select("symbol", "ts", "event_id", "user_id", price.alias("price"), "qty", CHUNK)
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(ticks_from_events(table(spark, sf_dir, "events")), f"ticks:{sf_dir}")
+    """Ticks with their slice number, so that running values over them need no new cuts."""
+    return materialize(spark, f"ticks:{sf_dir}", lambda: ticks_from_events(table(spark, sf_dir, "events")))
 
 
 def bars(spark: SparkSession, sf_dir: str, seconds: int = HOUR) -> DataFrame:
     from tidemark.operators.bars import ticks_to_bars
 
-    return materialize(ticks_to_bars(ticks(spark, sf_dir), seconds), f"bars{seconds}:{sf_dir}")
+    return materialize(spark, f"bars{seconds}:{sf_dir}", lambda: ticks_to_bars(ticks(spark, sf_dir), seconds))
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +143,14 @@ __all__ = ["CHUNK", "alerts", "bars", "chain", "fills", "floor_ts", "logs", "tab
 
 def round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intraday closed trades from events: exit at the event, profit = value - 50."""
-    e = table(spark, sf_dir, "events")
+
+    def make():
+        return balanced_chunks(trips_from_events(table(spark, sf_dir, "events")), ["symbol"], ["ts", "trade_id"])
+
+    return materialize(spark, f"trips:{sf_dir}", make)
+
+
+def trips_from_events(e: DataFrame) -> DataFrame:
     return e.select(
         F.col("event_id").alias("trade_id"),
         F.col("event_type").alias("symbol"),

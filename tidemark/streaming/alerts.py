@@ -110,7 +110,7 @@ def spell_alerts(metrics: DataFrame, limit: float, duration: float, cooldown: fl
     d = islands(metrics.withColumn("_above", F.col("value") > limit), "_above", keys, order, chunk, keep_chunk=True)
     d = prefix(d.where("_above"), {"_since": ("min", F.col(order[0]))}, [*keys, "island"], order).drop(CHUNK)
     held = (F.unix_micros(F.col(order[0]).cast("timestamp")) - F.unix_micros(F.col("_since").cast("timestamp"))) / 1e6
-    ready = d.where(held >= duration).select(*metrics.columns)
+    ready = d.where(held >= duration).select(*[c for c in metrics.columns if c != CHUNK])
     return space_out(ready, cooldown, keys, order[0], tie=order[1:])
 
 

@@ -11,6 +11,9 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from tidemark.session import scratch_dir
 
 
+PROGRESS = "query_id STRING, batch_id BIGINT, at STRING, input_rows BIGINT, rows_per_second DOUBLE"
+
+
 def fresh_path(spark: SparkSession) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -48,4 +51,13 @@ class ProgressLog(StreamingQueryListener):
         pass
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "query_id STRING, batch_id BIGINT, at STRING, input_rows BIGINT, rows_per_second DOUBLE")
+        return spark.createDataFrame(self.rows, PROGRESS)
+
+
+def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """The recent batches of one query: batch, time, input rows, rates. Spark keeps a fixed number of them."""
+    rows = [
+        (str(p["id"]), int(p["batchId"]), str(p["timestamp"]), int(p["numInputRows"]), float(p["processedRowsPerSecond"] or 0.0))
+        for p in query.recentProgress
+    ]
+    return spark.createDataFrame(rows, PROGRESS)
