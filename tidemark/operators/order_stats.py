@@ -18,9 +18,36 @@ from pyspark.sql import functions as F
 from tidemark.operators.frames import CHUNK, prefix
 
 BINS = 255
+STRIDE = 16
 VALUE = "value"
 
 
+def _binned(df: DataFrame, x: Column, keys: list[str], weights: dict[str, Column], bins: int) -> DataFrame:
+    """Distinct values with their weights and an ordered bin number in the slice column."""
+    hist = (
+        df.select(*keys, x.alias(VALUE), *[w.alias(f"_w_{k}") for k, w in weights.items()])
+        .where(F.col(VALUE).isNotNull())
+        .groupBy(*keys, VALUE)
+        .agg(*[F.sum(f"_w_{k}").alias(k) for k in weights])
+    )
+    # row_number <= K is applied before the shuffle too (group limit), so each task ships K rows per key
+    sample = Window.partitionBy(*keys).orderBy(F.xxhash64(VALUE), F.col(VALUE))
+    edges = (
+        hist.select(*keys, VALUE, F.row_number().over(sample).alias("_r"))
+        .where(F.col("_r") <= bins)
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(VALUE)).alias("_edges"))
+        .withColumn("_every", F.filter("_edges", lambda e, i: F.pmod(i, F.lit(STRIDE)) == STRIDE - 1))
+    )
+    # a left join can only broadcast the edges, never the values
+    placed = join_stats(hist, edges, keys)
+    # number of edges below the value: first among every 16th edge, then among the 16 that follow
+    v = F.col(VALUE)
+    placed = placed.withColumn("_hop", F.size(F.filter("_every", lambda e: e < v)) * STRIDE)
+    rest = F.slice("_edges", F.col("_hop") + 1, STRIDE)
+    return placed.withColumn(CHUNK, F.col("_hop") + F.size(F.filter(rest, lambda e: e < v))).drop("_edges", "_every", "_hop")
+
+
 def ordered_counts(
     df: DataFrame,
     x: Column,
@@ -36,23 +63,7 @@ def ordered_counts(
     """
     keys = list(keys)
     weights = weights or {"n": F.lit(1)}
-    hist = (
-        df.select(*keys, x.alias(VALUE), *[w.alias(f"_w_{k}") for k, w in weights.items()])
-        .where(F.col(VALUE).isNotNull())
-        .groupBy(*keys, VALUE)
-        .agg(*[F.sum(f"_w_{k}").alias(k) for k in weights])
-    )
-    # row_number <= K is applied before the shuffle too (group limit), so each task ships K rows per key
-    sample = Window.partitionBy(*keys).orderBy(F.xxhash64(VALUE), F.col(VALUE))
-    edges = (
-        hist.select(*keys, VALUE, F.row_number().over(sample).alias("_r"))
-        .where(F.col("_r") <= bins)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(VALUE)).alias("_edges"))
-    )
-    # without keys the edge table is one row
-    placed = hist.join(edges, keys) if keys else hist.join(F.broadcast(edges))
-    placed = placed.withColumn(CHUNK, F.size(F.filter("_edges", lambda e: e < F.col(VALUE)))).drop("_edges")
+    placed = _binned(df, x, keys, weights, bins)
     out = prefix(
         placed, {f"{k}_upto": ("sum", F.col(k)) for k in weights}, keys, [VALUE], F.col(CHUNK)
     ).drop(CHUNK)
@@ -61,46 +72,60 @@ def ordered_counts(
     )
 
 
-def totals(df: DataFrame, x: Column, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(x).alias("_total"))
-
-
 def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach per-key statistics; with no keys ``stats`` is a one-row aggregate."""
     return df.join(stats, list(keys), "left") if keys else df.join(F.broadcast(stats), how="left")
 
 
-def exact_quantiles(
-    df: DataFrame, x: Column, probs: dict[str, float], keys: Sequence[str] = (), counts: DataFrame | None = None
+def order_statistics(
+    df: DataFrame, x: Column, ranks: dict[str, Column], keys: Sequence[str] = (), bins: int = BINS
 ) -> DataFrame:
+    """Values at 0-based ascending ranks per key: keys, ``_total`` rows, one column per entry of ``ranks``.
+
+    A rank is a Column that may use ``_total``. Bin counts tell which bins hold the ranks; only
+    the values of those bins are shuffled and ordered.
+    """
+    keys = list(keys)
+    placed = _binned(df, x, keys, {"n": F.lit(1)}, bins)
+    w = Window.partitionBy(*keys)  # one row per bin, at most ``bins`` + 1 of a key
+    table = placed.groupBy(*keys, CHUNK).agg(F.sum("n").alias("_bn")).withColumns(
+        {
+            "_total": F.sum("_bn").over(w),
+            "_below": F.coalesce(F.sum("_bn").over(w.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        }
+    )
+    holds = F.lit(False)
+    for r in ranks.values():
+        holds = holds | ((r >= F.col("_below")) & (r < F.col("_below") + F.col("_bn")))
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(VALUE).rowsBetween(Window.unboundedPreceding, 0)
+    near = placed.join(table.where(holds), [*keys, CHUNK]).withColumn("_upto", F.col("_below") + F.sum("n").over(inside))
+
+    def at(r: Column) -> Column:
+        return F.max(F.when((r < F.col("_upto")) & (r >= F.col("_upto") - F.col("n")), F.col(VALUE)))
+
+    return near.groupBy(*keys).agg(F.max("_total").alias("_total"), *[at(r).alias(name) for name, r in ranks.items()])
+
+
+def exact_quantiles(df: DataFrame, x: Column, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolated quantiles per key: keys, one column per entry of ``probs``.
 
     Same rule as numpy, pandas and ``percentile``: position p * (n - 1) between
     the two neighbouring order statistics.
     """
     keys = list(keys)
-    counts = ordered_counts(df, x, keys) if counts is None else counts
-    with_total = join_stats(counts, counts.groupBy(*keys).agg(F.sum("n").alias("_total")), keys)
-    first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
 
-    def holds(k: Column) -> Column:
-        return (first <= k) & (k <= last)
+    def pos(p: float) -> Column:
+        return F.round(F.lit(float(p)) * (F.col("_total") - 1), 9)  # 0.7 * 660 must be 462
 
-    aggs = []
+    ranks = {}
     for name, p in probs.items():
-        pos = F.round(F.lit(float(p)) * (F.col("_total") - 1), 9)  # 0.7 * 660 must be 462
-        lo, hi = F.floor(pos), F.ceil(pos)
-        aggs += [
-            F.max(F.when(holds(lo), F.col(VALUE))).alias(f"_lo_{name}"),
-            F.max(F.when(holds(hi), F.col(VALUE))).alias(f"_hi_{name}"),
-            F.max(pos - lo).alias(f"_f_{name}"),
-        ]
-    picked = with_total.groupBy(*keys).agg(*aggs)
-    return picked.select(
+        ranks[f"_lo_{name}"], ranks[f"_hi_{name}"] = F.floor(pos(p)), F.ceil(pos(p))
+    got = order_statistics(df, x, ranks, keys)
+    return got.select(
         *keys,
         *[
-            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n)
-            for n in probs
+            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (pos(p) - F.floor(pos(p)))).alias(n)
+            for n, p in probs.items()
         ],
     )
 
@@ -109,11 +134,7 @@ def exact_order_statistic(
     df: DataFrame, x: Column, index: Column, keys: Sequence[str] = (), out: str = "value_at"
 ) -> DataFrame:
     """The value at 0-based ``index`` in ascending order; ``index`` may use ``_total``."""
-    keys = list(keys)
-    counts = ordered_counts(df, x, keys)
-    t = join_stats(counts, counts.groupBy(*keys).agg(F.sum("n").alias("_total")), keys)
-    hit = (F.col("n_before") <= index) & (index < F.col("n_before") + F.col("n"))
-    return t.groupBy(*keys).agg(F.max(F.when(hit, F.col(VALUE))).alias(out))
+    return order_statistics(df, x, {out: index}, keys).drop("_total")
 
 
 def average_rank() -> Column:

@@ -106,7 +106,7 @@ def psi(base: DataFrame, other: DataFrame, cols: Sequence[str], bins: int = 10,
     b = long_form(other, cols).where(F.col("value").isNotNull())
     edges = quantile_edges(a, bins)
     both = a.withColumn("_b", F.lit(1)).unionByName(b.withColumn("_b", F.lit(0)))
-    d = both.join(edges, "feature").withColumn("bin", bin_index(F.col("_edges"), F.col("value")))
+    d = join_stats(both, edges, ["feature"]).withColumn("bin", bin_index(F.col("_edges"), F.col("value")))
     counts = d.where(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(
         F.sum("_b").alias("_nb"), F.sum(1 - F.col("_b")).alias("_no"), F.max(F.size("_edges")).alias("_k")
     )
@@ -122,7 +122,7 @@ def psi(base: DataFrame, other: DataFrame, cols: Sequence[str], bins: int = 10,
 def information_value(df: DataFrame, cols: Sequence[str], label: str, bins: int = 10) -> DataFrame:
     """Weight-of-evidence sum per feature over half-open quantile bins; bins missing a class are skipped."""
     d = long_form(df, cols, [label]).where(F.col("value").isNotNull())
-    d = d.join(quantile_edges(d, bins), "feature").withColumn("bin", bin_index(F.col("_edges"), F.col("value")))
+    d = join_stats(d, quantile_edges(d, bins), ["feature"]).withColumn("bin", bin_index(F.col("_edges"), F.col("value")))
     c = d.groupBy("feature", "bin").agg(F.sum(label).alias("_good"), F.sum(1 - F.col(label)).alias("_bad"))
     w = Window.partitionBy("feature")  # at most ``bins`` rows per feature
     g, b = div("_good", F.sum("_good").over(w)), div("_bad", F.sum("_bad").over(w))
