@@ -65,10 +65,12 @@ def balanced_chunks(
 
 
 def _partial(kind: str, x: Column, order: Sequence[str]) -> Column:
+    # a single order column keeps this a hash aggregate where a struct would need a sort
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     if kind == "last":
-        return F.max_by(x, F.when(x.isNotNull(), F.struct(*order)))
+        return F.max_by(x, F.when(x.isNotNull(), at))
     if kind == "first":
-        return F.min_by(x, F.when(x.isNotNull(), F.struct(*order)))
+        return F.min_by(x, F.when(x.isNotNull(), at))
     return {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[kind](x)
 
 
@@ -101,6 +103,7 @@ def prefix(
     order: Sequence[str] = ("ts",),
     chunk: Column | None = None,
     upto: int = 0,
+    parts: DataFrame | None = None,
 ) -> DataFrame:
     """Add running aggregates over all earlier rows of the key.
 
@@ -110,15 +113,18 @@ def prefix(
     ``order``. Without it a chunk column already there (from ``balanced_chunks``
     or an earlier call) is reused, so several calls share one shuffle; failing
     that, 30-day slices of the first order column are used, which suits bars.
+    ``parts`` gives the per-slice aggregates (``_p_<name>``, one row per key and slice)
+    where the caller can make them from fewer rows.
     """
     keys, order = list(keys), list(order)
     if chunk is not None:
         df = df.withColumn(CHUNK, chunk)
     elif CHUNK not in df.columns:
         df = df.withColumn(CHUNK, time_chunk(order[0], BAR_CHUNK))
-    parts = df.groupBy(*keys, CHUNK).agg(
-        *[_partial(kind, x, order).alias(f"_p_{out}") for out, (kind, x) in aggs.items()]
-    )
+    if parts is None:
+        parts = df.groupBy(*keys, CHUNK).agg(
+            *[_partial(kind, x, order).alias(f"_p_{out}") for out, (kind, x) in aggs.items()]
+        )
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = parts.select(
         *keys,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import epoch_us, time_chunk
-from tidemark.operators.frames import DAY, balanced_chunks, prefix
+from tidemark.operators.frames import CHUNK, DAY, balanced_chunks, prefix
 
 
 def asof_join(
@@ -63,10 +63,14 @@ def asof_join(
         both = both.withColumn("_h", F.xxhash64("_left", "_right"))
         order.append("_h")
         both = balanced_chunks(both, keys, order)
-        cut = None
     else:
-        cut = F.floor(F.col("_t") / F.lit(chunk_seconds * 1_000_000))
-    carried = prefix(both, {"_hit": ("last", F.col("_right"))}, keys, order, cut)
+        both = both.withColumn(CHUNK, F.floor(F.col("_t") / F.lit(chunk_seconds * 1_000_000)))
+    # only right rows can be carried on; left rows just name the slices that need a value
+    last = both.where(F.col("_right").isNotNull()).groupBy(*keys, CHUNK).agg(
+        F.max_by("_right", F.struct(*order)).alias("_p__hit")
+    )
+    parts = both.select(*keys, CHUNK).distinct().join(last, [*keys, CHUNK], "left")
+    carried = prefix(both, {"_hit": ("last", F.col("_right"))}, keys, order, parts=parts)
     out = carried.where(F.col("_left").isNotNull()).select(
         "_left.*",
         *[F.col(f"_hit.{c}").alias(c) for c in cols],
