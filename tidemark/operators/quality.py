@@ -261,7 +261,3 @@ def clip_sigma(df: DataFrame, cols: Sequence[str], sigmas: float = 5.0, keys: Se
         for c in cols
     }
     return d.withColumns(clipped).drop(*[n + c for c in cols for n in ("_m_", "_s_")])
-
-
-def rate_of(part: Column, whole: Column) -> Column:
-    return div(part, whole)

@@ -15,6 +15,7 @@ from tidemark.operators.order_stats import exact_order_statistic, exact_quantile
 from tidemark.operators.portfolio import symmetric
 from tidemark.operators.reports import profit_factor
 from tidemark.operators.rolling import block_windows, drawdowns, running_totals
+from tidemark.session import settle
 from tidemark.sources.scan import as_ts
 
 # fixed values: standard normal quantiles and densities
@@ -131,6 +132,7 @@ def monte_carlo_var(returns: DataFrame, x: str, confidence: float = 0.95, draws_
     base = returns.agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
     sims = returns.select(F.explode(F.sequence(F.lit(1), F.lit(draws_per_row))).alias("_i")).select(F.randn(seed).alias("_z"))
     sims = join_stats(sims, base, []).select((F.col("_m") + F.col("_s") * F.col("_z")).alias(x))
+    sims = settle(sims)  # the draws are read several times and must stay the same
     return var_es(sims, x, confidence).select("n", F.col("var_hist").alias("var_mc"), F.col("es_hist").alias("es_mc"))
 
 

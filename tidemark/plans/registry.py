@@ -100,22 +100,27 @@ def _needed(text: str, seen: list[str]) -> list[str]:
     return seen
 
 
-def plain_zero(text: str) -> str:
-    """Add 0 to every rounded value: DuckDB keeps the sign of a zero, Spark's round does not."""
+def rewrite_calls(text: str, name: str, form: str) -> str:
+    """Replace every call ``name(x)`` by ``form`` with x put in, nested calls too."""
     out, start = [], 0
-    for m in re.finditer(r"(?<![\w.])round\(", text):
+    for m in re.finditer(rf"(?<![\w.]){name}\(", text):
         if m.start() < start:
             continue
         depth, i = 1, m.end()
         while depth:
             depth += {"(": 1, ")": -1}.get(text[i], 0)
             i += 1
-        inner = plain_zero(text[m.end() : i - 1])
-        out.append(f"{text[start : m.start()]}(round({inner})+0.0::DOUBLE)")
+        out.append(text[start : m.start()] + form.format(rewrite_calls(text[m.end() : i - 1], name, form)))
         start = i
     return "".join(out) + text[start:]
 
 
+def same_results(text: str) -> str:
+    """DuckDB keeps the sign of a rounded zero and counts conditions as HUGEINT; Spark does neither."""
+    text = rewrite_calls(text, "round", "(round({})+0.0::DOUBLE)")
+    return rewrite_calls(text, "count_if", "count(CASE WHEN {} THEN 1 END)")
+
+
 def full_sql(text: str) -> str:
     """Put the shared parts a query names in front of it as common table expressions."""
     text = text.strip()
@@ -138,7 +143,7 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = plain_zero(full_sql(sql))
+            ORACLE[name] = same_results(full_sql(sql))
         return fn
 
     return add

@@ -83,7 +83,7 @@ def _(spark, sf):
 @query(
     "fill_summary",
     """WITH l AS (SELECT symbol, price, qty, price*qty*0.001 AS commission, lag(price) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS pp FROM ticks)
-       SELECT symbol, count(*) AS fills, sum(qty) AS volume, round(sum(commission),4) AS commission, round(avg(qty),6) AS avg_size,
+       SELECT symbol, count(*) AS fills, sum(qty)::BIGINT AS volume, round(sum(commission),4) AS commission, round(avg(qty),6) AS avg_size,
        round(avg(abs(price-pp)),6) AS avg_move FROM l GROUP BY 1""",
 )
 def _(spark, sf):

@@ -109,7 +109,7 @@ def _(spark, sf):
 
 @query(
     "cumulative_sum",
-    """SELECT trade_id, symbol, round(sum(pnl) OVER w,6) AS cum_pnl, sum(holding_minutes) OVER w AS cum_minutes FROM round_trips
+    """SELECT trade_id, symbol, round(sum(pnl) OVER w,6) AS cum_pnl, CAST(sum(holding_minutes) OVER w AS BIGINT) AS cum_minutes FROM round_trips
        WINDOW w AS (PARTITION BY symbol ORDER BY ts, trade_id)""",
 )
 def _(spark, sf):
