@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.core import div
+
 
 def common_timestamps(df: DataFrame, key: str = "symbol", ts: str = "ts") -> DataFrame:
     """Timestamps at which every symbol has a row."""
@@ -67,40 +71,82 @@ def match_rates(pairs: Sequence[tuple[str, DataFrame, DataFrame]], key: str = "k
     return out
 
 
+SUMS = ("n", "sw", "sw2", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _pair_sums(batches: Iterator[pd.DataFrame], diagonal: bool) -> Iterator[pd.DataFrame]:
+    """Matrix products of a task's rows (time by symbol), handed on once at the end."""
+    ids: dict[str, int] = {}
+    acc = {k: np.zeros((0, 0)) for k in ("n", "sw", "sw2", "sx", "sxx", "sxy")}
+    for pdf in batches:
+        sizes = pdf["s"].map(len).to_numpy()
+        step = max(1, 2_000_000 // max(1, int(sizes.max(initial=1))))
+        for lo in range(0, len(pdf), step):
+            part, size = pdf.iloc[lo : lo + step], sizes[lo : lo + step]
+            codes, names = pd.factorize(np.concatenate(part["s"].to_list()))
+            at = np.array([ids.setdefault(u, len(ids)) for u in names])[codes]
+            k = len(ids)
+            grow = k - acc["n"].shape[0]
+            if grow:
+                acc = {c: np.pad(m, (0, grow)) for c, m in acc.items()}
+            row = np.repeat(np.arange(len(part)), size)
+            x, m = np.zeros((len(part), k)), np.zeros((len(part), k))
+            x[row, at] = np.concatenate(part["v"].to_list())
+            m[row, at] = 1.0
+            w = part["w"].to_numpy()[:, None]
+            acc["n"] += m.T @ m
+            acc["sw"] += (m * w).T @ m
+            acc["sw2"] += (m * w * w).T @ m
+            acc["sx"] += (x * w).T @ m
+            acc["sxx"] += (x * x * w).T @ m
+            acc["sxy"] += (x * w).T @ x
+    names = np.array(sorted(ids), dtype=object)
+    order = np.array([ids[u] for u in names], dtype=int)
+    for r in range(len(names)):
+        a, b = order[r], order[r if diagonal else r + 1 :]
+        other = names[r if diagonal else r + 1 :]
+        out = pd.DataFrame(
+            {
+                "a": names[r], "b": other, "n": acc["n"][a, b], "sw": acc["sw"][a, b], "sw2": acc["sw2"][a, b],
+                "sx": acc["sx"][a, b], "sy": acc["sx"][b, a], "sxx": acc["sxx"][a, b], "syy": acc["sxx"][b, a], "sxy": acc["sxy"][a, b],
+            }
+        )
+        yield out[out["n"] > 0]
+
+
 def pair_moments(
     df: DataFrame,
     x: str,
     at: Sequence[str] = ("ts",),
     name: str = "symbol",
     weight: Column | None = None,
-    keys: Sequence[str] = (),
     diagonal: bool = False,
 ) -> DataFrame:
-    """Sums needed for covariance and correlation of every pair a < b of ``name``.
+    """Sums needed for covariance and correlation of every pair a < b (a <= b with ``diagonal``) of ``name``.
 
-    Rows are gathered once per ``at`` (one value per name), and each task adds up the pairs of
-    its rows before anything is shuffled, so what travels is one row per pair
-    and task, not one per pair and timestamp.
+    Rows are gathered per ``at`` (one value per name there), each task multiplies its own
+    time-by-symbol matrix, and one row per pair and task is shuffled, never one
+    per pair and timestamp. A task holds six matrices of symbols by symbols.
+    ``corr`` and ``cov`` are the unweighted ones and only meaningful without ``weight``.
     """
     w = F.lit(1.0) if weight is None else weight
-    rows = df.where(F.col(x).isNotNull()).groupBy(*keys, *at).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(name).alias("s"), F.col(x).cast("double").alias("v")))).alias("_r"),
-        F.max(w).alias("_w"),
-    )
-    lo = "i" if diagonal else "i + 1"
-    pairs = F.expr(
-        "flatten(transform(sequence(0, size(_r) - 1), i -> "
-        f"transform(filter(sequence(0, size(_r) - 1), j -> j >= {lo}), "
-        "j -> struct(_r[i].s as a, _r[j].s as b, _r[i].v as x, _r[j].v as y))))"
-    )
-    d = rows.select(*keys, "_w", F.inline(pairs))
-    s = lambda e: F.sum(F.expr(e))
-    return d.groupBy(*keys, "a", "b").agg(
-        F.count(F.lit(1)).alias("n"),
-        s("_w").alias("sw"), s("_w*_w").alias("sw2"), s("_w*x").alias("sx"), s("_w*y").alias("sy"),
-        s("_w*x*x").alias("sxx"), s("_w*y*y").alias("syy"), s("_w*x*y").alias("sxy"),
-        F.corr("x", "y").alias("corr"), F.covar_samp("x", "y").alias("cov"),
+    rows = (
+        df.where(F.col(x).isNotNull())
+        .groupBy(*at)
+        .agg(
+            F.collect_list(F.struct(F.col(name).alias("s"), F.col(x).cast("double").alias("v"))).alias("_r"),
+            F.max(w).alias("w"),
+        )
+        .select(F.col("_r.s").alias("s"), F.col("_r.v").alias("v"), F.col("w").cast("double").alias("w"))
     )
+    schema = "a STRING, b STRING, " + ", ".join(f"{c} DOUBLE" for c in SUMS)
+    sums = rows.mapInPandas(lambda batches: _pair_sums(batches, diagonal), schema)
+    d = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in SUMS]).withColumn("n", F.col("n").cast("bigint"))
+    n = F.col("n")
+    cxy = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    cxx = F.greatest(F.col("sxx") - F.col("sx") * F.col("sx") / n, F.lit(0.0))
+    cyy = F.greatest(F.col("syy") - F.col("sy") * F.col("sy") / n, F.lit(0.0))
+    return d.withColumns({"cov": div(cxy, n - 1), "corr": div(cxy, F.sqrt(cxx * cyy))})
 
 
 def corr_matrix(df: DataFrame, x: str, at: Sequence[str] = ("ts",), name: str = "symbol") -> DataFrame:
