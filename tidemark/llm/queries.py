@@ -12,6 +12,7 @@ from tidemark.llm.chat import format_turns, read_back, text_parts
 from tidemark.llm.pu_quality import quality_scores
 from tidemark.llm.repetition import quality_rules
 from tidemark.llm.secrets import secret_scan
+from tidemark.llm.substrings import remove_repeated_windows
 from tidemark.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +55,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a 13-word window of an earlier document covers are removed."""
+    return remove_repeated_windows(_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op8_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+g AS (SELECT doc_id, i, array_to_string(words[i:i+12], ' ') AS win FROM p WHERE i + 12 <= len(words)),
+m AS (SELECT win, min(doc_id) AS least FROM g GROUP BY win),
+h AS (SELECT DISTINCT g.doc_id, g.i + o.o AS i FROM g JOIN m USING (win), (SELECT unnest(range(0, 13)) AS o) o WHERE g.doc_id > m.least),
+k AS (SELECT p.doc_id, count(*) FILTER (h.i IS NOT NULL) AS n_removed,
+      coalesce(string_agg(p.words[p.i], ' ' ORDER BY p.i) FILTER (h.i IS NULL), '') AS kept
+      FROM p LEFT JOIN h USING (doc_id, i) GROUP BY p.doc_id)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)"""
+
+
 @_query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
