@@ -12,6 +12,7 @@ from tidemark.llm.chat import format_turns, read_back, text_parts
 from tidemark.llm.pu_quality import quality_scores
 from tidemark.llm.repetition import quality_rules
 from tidemark.llm.secrets import secret_scan
+from tidemark.llm.setsketch import near_components
 from tidemark.llm.substrings import remove_repeated_windows
 from tidemark.llm.token_counts import token_counts
 
@@ -49,6 +50,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(text_parts(turns)))
 
 
+@_query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicates of every document: four words a shingle, similarity of 0.8."""
+    return near_components(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and repetition verdict of every document."""
