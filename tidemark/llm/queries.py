@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.chat import format_turns, read_back, text_parts
+from tidemark.llm.decontaminate import leaks
+from tidemark.llm.line_runs import without_later_copies
 from tidemark.llm.pu_quality import quality_scores
 from tidemark.llm.repetition import quality_rules
 from tidemark.llm.secrets import secret_scan
@@ -29,6 +32,27 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return fn
 
 
+@_query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document less the later copies of repeated runs."""
+    docs = without_later_copies(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE["op1_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+e AS (SELECT doc_id, ls, list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], '[^\x20\x09-\x0D]')) AS places FROM l),
+s AS (SELECT doc_id, ls, places, unnest(range(1, len(places) + 1)) AS p FROM e),
+k AS (SELECT doc_id, ls, places, p, unnest(range(1, len(places) - p + 2)) AS k FROM s),
+w AS (SELECT doc_id, p, k, array_to_string(list_transform(places[p:p+k-1], lambda i: ls[i]), chr(10)) AS run, doc_id * 1000000 + p AS place FROM k),
+m AS (SELECT run, min(place) AS first_place FROM w GROUP BY run HAVING count(*) > 1),
+h AS (SELECT DISTINCT doc_id, p + unnest(range(0, k)) AS p FROM w JOIN m USING (run) WHERE place > first_place AND (k > 1 OR length(run) >= 40)),
+d AS (SELECT e.doc_id, list(places[h.p]) AS gone FROM e JOIN h USING (doc_id) GROUP BY e.doc_id)
+SELECT e.doc_id, len(places)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT coalesce(list_contains(gone, i), false)), lambda i: ls[i]), chr(10))) AS kept_sha256
+FROM e LEFT JOIN d USING (doc_id)"""
+
+
 @_query
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
@@ -62,6 +86,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item or nearly so, with the best window of each pair."""
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a 13-word window of an earlier document covers are removed."""
