@@ -43,7 +43,7 @@ class Fit:
     unlabelled: int = 7000
     steps: int = 400
     rate: float = 0.05
-    decay: float = 3e-4
+    decay: float = 1.5e-4
     back: float = 1.0  # weight of the step back when the negative part of the risk is below zero
     threshold: float = 0.3
 
@@ -144,6 +144,8 @@ def nonnegative_risk_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: fl
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
 
+    decay = fit.decay * len(w) ** 0.5 * fit.positives / len(positive)  # small samples are held tighter
+
     def part(x: np.ndarray, slope: np.ndarray) -> np.ndarray:
         return np.append(slope @ x, slope.sum()) / np.float32(len(x))
 
@@ -153,7 +155,7 @@ def nonnegative_risk_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: fl
         negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         grad_negative = part(u, su) - prior * part(p, sp)
         grad = prior * part(p, sp - 1) + grad_negative if negative >= 0 else -fit.back * grad_negative
-        grad[:-1] += fit.decay * w[:-1] * len(w) ** 0.5
+        grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= (fit.rate * 0.5 ** (step * 4 / fit.steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     k = sum(SIZES)

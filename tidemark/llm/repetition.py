@@ -137,3 +137,16 @@ def quality_rules(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
         return pa.RecordBatch.from_pydict(columns)
 
     return over_texts(docs, SCHEMA, work)
+
+
+def accepted(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """The rows of ``docs`` (any columns, one of them ``text``) that the rules keep; nothing is shuffled."""
+    limits = limits or Limits()
+
+    def run(batches):
+        for batch in batches:
+            kept = [measure(data, offsets, limits)["kept"] for _, _, data, offsets in blocks(batch.column("text"))]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
