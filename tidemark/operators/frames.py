@@ -37,8 +37,6 @@ BAR_CHUNK = 30 * DAY  # bars are unique per (symbol, ts): at most 43,200 one-min
 BLOCK_ROWS = 50_000
 
 
-MAX_CHUNKS = 50_000
-
 
 def stored_chunk(df: DataFrame) -> list[str]:
     """The slice column if the table carries one, for select lists."""
@@ -50,9 +48,7 @@ def tidy(out: DataFrame, source: DataFrame) -> DataFrame:
     return out if CHUNK in source.columns else out.drop(CHUNK)
 
 
-def balanced_chunks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = 1_000_000, max_chunks: int = MAX_CHUNKS
-) -> DataFrame:
+def balanced_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = 1_000_000) -> DataFrame:
     """Cut the rows, sorted by keys and order, into slices of about ``rows`` rows and write them down.
 
     For ticks, fills and other tables where one symbol or one hour may hold a large part
@@ -60,7 +56,7 @@ def balanced_chunks(
     long as ``order`` tells rows apart. The slice number is stored with the rows, because
     a second run of the range sampling could cut elsewhere.
     """
-    n = max(1, min(max_chunks, -(-df.count() // rows)))
+    n = max(1, -(-df.count() // rows))
     return settle(df.repartitionByRange(n, *keys, *order).withColumn(CHUNK, F.spark_partition_id().cast("bigint")))
 
 

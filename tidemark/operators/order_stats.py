@@ -1,11 +1,9 @@
 """Exact ranks and quantiles of whole groups, without sorting a group in one task.
 
-Everything rests on ``ordered_counts``: rows are first counted per distinct
-value (combined before the shuffle and spread by value, so a hot key does not
-land in one task), the distinct values are cut into about 250 ordered bins
-whose edges are a hash sample of the values, and counts are accumulated bin by
-bin. The sample is the K values with the smallest hash, which does not depend
-on task order, so a re-run of a lost task picks the same bins.
+Everything rests on ``_binned``: rows are first counted per distinct value
+(combined before the shuffle and spread by value, so a hot key does not land in
+one task), and the table of distinct values, written once, is cut into ordered
+bins of about ``per_bin`` values. The number of bins follows the data.
 """
 
 from __future__ import annotations
@@ -15,14 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.frames import CHUNK, prefix
+from tidemark.operators.frames import CHUNK, balanced_chunks, prefix
+from tidemark.session import settle
 
-BINS = 255
-STRIDE = 16
+PER_BIN = 200_000
 VALUE = "value"
 
 
-def _binned(df: DataFrame, x: Column, keys: list[str], weights: dict[str, Column], bins: int) -> DataFrame:
+def _binned(df: DataFrame, x: Column, keys: list[str], weights: dict[str, Column], per_bin: int) -> DataFrame:
     """Distinct values with their weights and an ordered bin number in the slice column."""
     hist = (
         df.select(*keys, x.alias(VALUE), *[w.alias(f"_w_{k}") for k, w in weights.items()])
@@ -30,22 +28,10 @@ def _binned(df: DataFrame, x: Column, keys: list[str], weights: dict[str, Column
         .groupBy(*keys, VALUE)
         .agg(*[F.sum(f"_w_{k}").alias(k) for k in weights])
     )
-    # row_number <= K is applied before the shuffle too (group limit), so each task ships K rows per key
-    sample = Window.partitionBy(*keys).orderBy(F.xxhash64(VALUE), F.col(VALUE))
-    edges = (
-        hist.select(*keys, VALUE, F.row_number().over(sample).alias("_r"))
-        .where(F.col("_r") <= bins)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(VALUE)).alias("_edges"))
-        .withColumn("_every", F.filter("_edges", lambda e, i: F.pmod(i, F.lit(STRIDE)) == STRIDE - 1))
-    )
-    # a left join can only broadcast the edges, never the values
-    placed = join_stats(hist, edges, keys)
-    # number of edges below the value: first among every 16th edge, then among the 16 that follow
-    v = F.col(VALUE)
-    placed = placed.withColumn("_hop", F.size(F.filter("_every", lambda e: e < v)) * STRIDE)
-    rest = F.slice("_edges", F.col("_hop") + 1, STRIDE)
-    return placed.withColumn(CHUNK, F.col("_hop") + F.size(F.filter(rest, lambda e: e < v))).drop("_edges", "_every", "_hop")
+    hist = settle(hist)
+    if hist.count() <= per_bin:
+        return hist.withColumn(CHUNK, F.lit(0).cast("bigint"))
+    return balanced_chunks(hist, keys, [VALUE], per_bin)
 
 
 def ordered_counts(
@@ -53,7 +39,7 @@ def ordered_counts(
     x: Column,
     keys: Sequence[str] = (),
     weights: dict[str, Column] | None = None,
-    bins: int = BINS,
+    per_bin: int = PER_BIN,
 ) -> DataFrame:
     """Distinct values of ``x`` per key with counts here and before.
 
@@ -63,7 +49,7 @@ def ordered_counts(
     """
     keys = list(keys)
     weights = weights or {"n": F.lit(1)}
-    placed = _binned(df, x, keys, weights, bins)
+    placed = _binned(df, x, keys, weights, per_bin)
     out = prefix(
         placed, {f"{k}_upto": ("sum", F.col(k)) for k in weights}, keys, [VALUE], F.col(CHUNK)
     ).drop(CHUNK)
@@ -78,7 +64,7 @@ def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def order_statistics(
-    df: DataFrame, x: Column, ranks: dict[str, Column], keys: Sequence[str] = (), bins: int = BINS
+    df: DataFrame, x: Column, ranks: dict[str, Column], keys: Sequence[str] = (), per_bin: int = PER_BIN
 ) -> DataFrame:
     """Values at 0-based ascending ranks per key: keys, ``_total`` rows, one column per entry of ``ranks``.
 
@@ -86,8 +72,8 @@ def order_statistics(
     the values of those bins are shuffled and ordered.
     """
     keys = list(keys)
-    placed = _binned(df, x, keys, {"n": F.lit(1)}, bins)
-    w = Window.partitionBy(*keys)  # one row per bin, at most ``bins`` + 1 of a key
+    placed = _binned(df, x, keys, {"n": F.lit(1)}, per_bin)
+    w = Window.partitionBy(*keys)  # one row per bin
     table = placed.groupBy(*keys, CHUNK).agg(F.sum("n").alias("_bn")).withColumns(
         {
             "_total": F.sum("_bn").over(w),

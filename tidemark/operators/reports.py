@@ -427,9 +427,13 @@ def dynamic_filter(
     order: Sequence[str] = ("ts",),
     page: int = 1,
     page_size: int = 100,
+    upper: Sequence[str] = ("symbol", "side"),
 ) -> DataFrame:
-    """Optional equality and time filters (None = not set), newest first, one page. Values are literals, never text."""
-    preds = [F.col(k) == F.lit(v.upper() if isinstance(v, str) else v) for k, v in equals.items() if v is not None]
+    """Optional equality and time filters (None = not set), newest first, one page. Values are literals, never text.
+
+    Values of the columns in ``upper``, which hold upper-case codes, may be given in any case.
+    """
+    preds = [F.col(k) == F.lit(v.upper() if k in upper and isinstance(v, str) else v) for k, v in equals.items() if v is not None]
     if start is not None:
         preds.append(F.col("ts") >= as_ts(start))
     if end is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import EPS, div
-from tidemark.operators.frames import CHUNK, framed, islands, prefix, tidy
+from tidemark.operators.frames import CHUNK, framed, islands, prefix, tidy, with_row_number
 from tidemark.operators.indicators import percent_of_frame
 from tidemark.operators.order_stats import exact_quantiles, join_stats
 from tidemark.session import settle
@@ -213,11 +213,39 @@ def rolling_percent_rank(df: DataFrame, x: str, n: int = 100, keys: Sequence[str
     return framed(df, build, before=n, keys=keys)
 
 
-def expanding_percentile(df: DataFrame, x: str, n: int = 500, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Percentile of the current value in its history of up to n rows."""
-    return framed(
-        df, lambda d, fr: d.withColumn("percentile", F.when(F.col(x).isNotNull(), percent_of_frame(fr, x, n))), before=n, keys=keys
-    )
+def expanding_percentile(df: DataFrame, x: str, keys: Sequence[str] = KEYS, order: Sequence[str] = ("ts",), block: int = 512) -> DataFrame:
+    """Percentile of the current value in its whole history up to here, ties counted half; null where the value is null.
+
+    Smaller and equal earlier values are counted in blocks that double: inside
+    a block of ``block`` rows directly, then for the right half of each pair of
+    blocks by ranks in the left half. Each doubling is one pass over
+    distributed counts, so no task holds a key's history.
+    """
+    from tidemark.operators.order_stats import ordered_counts
+
+    keys = list(keys)
+    known = df.where(F.col(x).isNotNull())
+    rows = settle(with_row_number(known, keys, order, None, "_row").withColumn("_row", F.col("_row") - 1))
+    last = rows.agg(F.max("_row")).first()[0] or 0
+    here = Window.partitionBy(*keys, F.floor(F.col("_row") / block)).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.collect_list(x).over(here)
+    now = F.col(x)
+    below, upto = F.size(F.filter(seen, lambda v: v < now)), F.size(F.filter(seen, lambda v: v <= now))
+    out = rows.withColumns({"_below": below.cast("bigint"), "_upto": upto.cast("bigint")})
+    size = block
+    while size <= last:
+        right = F.floor(F.col("_row") / size) % 2
+        halves = rows.select(*keys, x, F.floor(F.col("_row") / (2 * size)).alias("_pair"), right.alias("_right"), "_row")
+        left = ordered_counts(halves, F.col(x), [*keys, "_pair"], {"n": F.when(F.col("_right") == 0, 1).otherwise(0)})
+        more = halves.where("_right = 1").join(left.withColumnRenamed("value", x), [*keys, "_pair", x])
+        more = more.select(*keys, "_row", F.col("n_before").alias("_b"), (F.col("n_before") + F.col("n")).alias("_u"))
+        out = out.join(more, [*keys, "_row"], "left")
+        out = out.withColumns({"_below": F.col("_below") + F.coalesce("_b", F.lit(0)), "_upto": F.col("_upto") + F.coalesce("_u", F.lit(0))})
+        out = settle(out.drop("_b", "_u"))
+        size *= 2
+    plus = F.when(F.col("_upto") > F.col("_below"), 1).otherwise(0)
+    out = out.withColumn("percentile", (F.col("_below") + F.col("_upto") + plus) * 50.0 / (F.col("_row") + 1)).drop("_row", "_below", "_upto")
+    return out.unionByName(df.where(F.col(x).isNull()).withColumn("percentile", F.lit(None).cast("double")), allowMissingColumns=True)
 
 
 def window_sums(df: DataFrame, days: int, step: int, sums: dict[str, Column], keys: Sequence[str] = KEYS, ts: str = "ts") -> DataFrame:

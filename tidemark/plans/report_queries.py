@@ -517,13 +517,13 @@ def _(spark, sf):
 
 @query(
     "dynamic_filter_query",
-    """SELECT alert_id, ts, severity, source, value FROM alerts WHERE severity='ERROR' AND NOT resolved AND ts >= TIMESTAMP '2024-01-05'
-       ORDER BY ts DESC, alert_id DESC LIMIT 50 OFFSET 50""",
+    """SELECT alert_id, ts, severity, source, value FROM alerts WHERE severity='ERROR' AND source='svc2' AND NOT resolved AND ts >= TIMESTAMP '2024-01-05'
+       ORDER BY ts DESC, alert_id DESC LIMIT 20 OFFSET 20""",
 )
 def _(spark, sf):
     d = R.dynamic_filter(
-        alerts(spark, sf), {"severity": "error", "source": None, "resolved": False}, start="2024-01-05",
-        order=("ts", "alert_id"), page=2, page_size=50,
+        alerts(spark, sf), {"severity": "error", "source": "svc2", "resolved": False, "value": None}, start="2024-01-05",
+        order=("ts", "alert_id"), page=2, page_size=20, upper=("severity",),
     )
     return d.select("alert_id", "ts", "severity", "source", "value")
 
@@ -579,12 +579,12 @@ def _(spark, sf):
 
 @query(
     "distinct_dedupe",
-    """WITH d AS (SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY 1,2)
-       SELECT copies, count(*) AS keys FROM d GROUP BY 1""",
+    """WITH d AS (SELECT DISTINCT l_orderkey, l_suppkey, l_shipdate FROM lineitem)
+       SELECT l_orderkey, l_suppkey, l_shipdate FROM d""",
 )
 def _(spark, sf):
-    d = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("copies"))
-    return d.groupBy("copies").agg(F.count(F.lit(1)).alias("keys"))
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate")
+    return d.unionByName(d).dropDuplicates()
 
 
 @query(
@@ -628,27 +628,44 @@ def _(spark, sf):
 
 @query(
     "snapshot_diff",
-    """WITH a AS (SELECT symbol, ts, close FROM bars WHERE ts < TIMESTAMP '2024-01-25'),
-       b AS (SELECT symbol, ts, close + CASE WHEN hour(ts)=3 THEN 1 ELSE 0 END AS close FROM bars WHERE ts >= TIMESTAMP '2024-01-03')
-       SELECT symbol, CASE WHEN a.ts IS NULL THEN 'added' WHEN b.ts IS NULL THEN 'removed' WHEN a.close=b.close THEN 'same' ELSE 'changed' END AS status,
+    """WITH a AS (SELECT symbol, ts, close, CASE WHEN hour(ts)=5 THEN volume END AS x, CAST(NULL AS DOUBLE) AS y FROM bars WHERE ts < TIMESTAMP '2024-01-25'),
+       b AS (SELECT symbol, ts, close + CASE WHEN hour(ts)=3 THEN 1 ELSE 0 END AS close, CAST(NULL AS DOUBLE) AS x, CASE WHEN hour(ts)=5 THEN volume END AS y
+         FROM bars WHERE ts >= TIMESTAMP '2024-01-03')
+       SELECT symbol, CASE WHEN a.ts IS NULL THEN 'added' WHEN b.ts IS NULL THEN 'removed'
+         WHEN a.close=b.close AND a.x IS NOT DISTINCT FROM b.x AND a.y IS NOT DISTINCT FROM b.y THEN 'same' ELSE 'changed' END AS status,
        count(*) AS rows FROM a FULL JOIN b USING (symbol, ts) GROUP BY 1,2""",
 )
 def _(spark, sf):
     from tidemark.sources.scan import as_ts, snapshot_diff
 
-    b = bars(spark, sf).select("symbol", "ts", "close")
-    new = b.where(F.col("ts") >= as_ts("2024-01-03")).withColumn(
-        "close", F.col("close") + F.when(F.hour("ts") == 3, 1).otherwise(0)
+    some, none = F.when(F.hour("ts") == 5, F.col("volume")), F.lit(None).cast("double")
+    b = bars(spark, sf).select("symbol", "ts", "close", "volume")
+    old = b.where(F.col("ts") < as_ts("2024-01-25")).withColumns({"x": some, "y": none}).drop("volume")
+    new = b.where(F.col("ts") >= as_ts("2024-01-03")).withColumns(
+        {"close": F.col("close") + F.when(F.hour("ts") == 3, 1).otherwise(0), "x": none, "y": some}
     )
-    d = snapshot_diff(b.where(F.col("ts") < as_ts("2024-01-25")), new, ["symbol", "ts"])
+    d = snapshot_diff(old, new.drop("volume"), ["symbol", "ts"])
     return d.groupBy("symbol", "status").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("content_hash_version")
+@query(
+    "content_hash_version",
+    """WITH r AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_linestatus, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey END AS a,
+         CASE WHEN l_linenumber % 2 = 1 THEN l_partkey END AS b FROM lineitem),
+       t AS (SELECT l_returnflag, md5(concat(coalesce(length(a::VARCHAR)||':'||a, 'n'), coalesce(length(b::VARCHAR)||':'||b, 'n'),
+         length(l_linenumber::VARCHAR)||':'||l_linenumber, length(l_linestatus)||':'||l_linestatus, length(l_orderkey::VARCHAR)||':'||l_orderkey,
+         length(l_returnflag)||':'||l_returnflag)) AS h FROM r)
+       SELECT l_returnflag, count(*) AS rows, CAST(sum(CAST('0x'||substr(h,1,15) AS BIGINT)) AS DECIMAL(38,0)) AS content_hash FROM t GROUP BY 1""",
+)
 def _(spark, sf):
     from tidemark.sources.scan import content_hash
 
-    return content_hash(table(spark, sf, "lineitem"), ["l_returnflag"])
+    d = table(spark, sf, "lineitem").select(
+        "l_returnflag", "l_orderkey", "l_linenumber", "l_linestatus",
+        F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey")).alias("a"),
+        F.when(F.col("l_linenumber") % 2 == 1, F.col("l_partkey")).alias("b"),
+    )
+    return content_hash(d, ["l_returnflag"])
 
 
 @query(
@@ -656,8 +673,12 @@ def _(spark, sf):
     """SELECT event_id, event_type, CAST(json_extract_string(props,'$.k') AS INT) AS k FROM events WHERE CAST(json_extract_string(props,'$.k') AS INT) >= 90""",
 )
 def _(spark, sf):
-    d = table(spark, sf, "events").withColumn("p", F.from_json("props", "k INT"))
-    return d.where("p.k >= 90").select("event_id", "event_type", F.col("p.k").alias("k"))
+    from tidemark.streaming.run import fresh_path
+
+    path = fresh_path(spark)
+    table(spark, sf, "events").select("event_id", "event_type", F.from_json("props", "k INT").alias("props")).write.json(path)
+    d = spark.read.schema("event_id BIGINT, event_type STRING, props STRUCT<k: INT>").json(path)
+    return d.where("props.k >= 90").select("event_id", "event_type", F.col("props.k").alias("k"))
 
 
 @query(

@@ -247,7 +247,7 @@ def _(spark, sf):
 
 @query(
     "expanding_percentile",
-    f"""WITH d AS (SELECT symbol, ts, close, list(close) {over(500)} AS xs FROM bars)
+    f"""WITH d AS (SELECT symbol, ts, close, list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS xs FROM bars)
         SELECT symbol, ts, round((len(list_filter(xs, lambda x: x<close)) + len(list_filter(xs, lambda x: x<=close)) + 1)*50.0/len(xs),6) AS percentile FROM d""",
 )
 def _(spark, sf):

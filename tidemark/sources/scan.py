@@ -94,20 +94,26 @@ def write_feature_set(df: DataFrame, path: str, name: str, as_of: str) -> None:
 
 
 def content_hash(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Row count and an order-independent hash of the rows, per key or for the whole table."""
-    row = F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")
+    """Row count and an order-independent hash of the rows, per key or for the whole table.
+
+    A row is hashed as its columns in name order, each as its length and text,
+    or as ``n`` if null, so that (1, null) and (null, 1) differ.
+    """
+    texts = [F.col(c).cast("string") for c in sorted(df.columns)]
+    parts = [F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("n")) for t in texts]
+    row = F.conv(F.substring(F.md5(F.concat(*parts)), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum(row).alias("content_hash"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys labelled added, removed, changed or same between two snapshots."""
+    """Keys labelled added, removed, changed or same between two snapshots; null equals null."""
     rest = sorted(c for c in old.columns if c not in keys)
-    a = old.select(*keys, F.xxhash64(*rest).alias("_a"))
-    b = new.select(*keys, F.xxhash64(*rest).alias("_b"))
+    a = old.select(*keys, F.struct(F.lit(True).alias("_here"), *rest).alias("_a"))
+    b = new.select(*keys, F.struct(F.lit(True).alias("_here"), *rest).alias("_b"))
     status = (
         F.when(F.col("_a").isNull(), "added")
         .when(F.col("_b").isNull(), "removed")
-        .when(F.col("_a") == F.col("_b"), "same")
+        .when(F.col("_a").eqNullSafe(F.col("_b")), "same")
         .otherwise("changed")
     )
     return a.join(b, list(keys), "full_outer").select(*keys, status.alias("status"))

@@ -55,7 +55,14 @@ class ProgressLog(StreamingQueryListener):
 
 
 def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """The recent batches of one query: batch, time, input rows, rates. Spark keeps a fixed number of them."""
+    """The batches of one query: batch, time, input rows, rates.
+
+    Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` of them. If earlier batches of this run
+    are gone, their totals would be too small, so that is an error; use ``ProgressLog`` for long runs.
+    """
+    kept = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
+    if len(query.recentProgress) >= kept:
+        raise ValueError(f"more than {kept} batches: attach a ProgressLog before the query starts")
     rows = [
         (str(p["id"]), int(p["batchId"]), str(p["timestamp"]), int(p["numInputRows"]), float(p["processedRowsPerSecond"] or 0.0))
         for p in query.recentProgress
