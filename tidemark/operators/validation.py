@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.candles import normal_cdf, two_sided_p
 from tidemark.functions.core import col, div, epoch_s, ladder
@@ -242,46 +246,100 @@ def adjust_p_values(df: DataFrame, p: str, family: Sequence[str] = (), tie: Sequ
     return d.withColumns({"holm": F.max("holm_plain").over(so_far), "bh": F.min("bh_plain").over(to_come)}).drop("_m", "_i")
 
 
-def hash_unit(*cols: str | Column) -> Column:
-    """Number in [0, 1) from the md5 of the joined values, the same in every engine."""
-    digest = F.md5(F.concat_ws("|", *[col(c).cast("string") for c in cols]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def _draw_words(ids: Sequence[str], words: int) -> np.ndarray:
+    """32-bit numbers, ``words`` for each id: word w is the quarter w % 4 of md5 of "<w // 4>|<id>"."""
+    raw = b"".join(md5(f"{k}|{i}".encode()).digest() for i in ids for k in range(-(-words // 4)))
+    return np.frombuffer(raw, ">u4").reshape(len(ids), -1)[:, :words]
 
 
-def sign_flip_test(df: DataFrame, x: str, row_id: str, sims: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Mean of ``x`` against its null distribution under random signs.
+def _key_groups(batch: pa.RecordBatch, keys: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    rows: dict[tuple, list[int]] = {}
+    for i, k in enumerate(zip(*(batch.column(c).to_pylist() for c in keys)) if keys else [()] * batch.num_rows):
+        rows.setdefault(k, []).append(i)
+    for k, at in rows.items():
+        yield k, np.array(at)
 
-    Every row is listed once per simulation and summed map-side, so each task sends one
-    row per (key, simulation); p = 2 * tail share, at most 1.
+
+DRAW_ROWS = 2_000  # rows whose draws are held at once
+
+
+def sign_flip_test(df: DataFrame, x: str, row_id: str, sims: int = 10_000, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean, win rate and Sharpe ratio of ``x`` against their null distribution under random signs.
+
+    The sign of row r in simulation s is bit s % 32 of a hash word of (s // 32, r), so one digest serves
+    128 simulations. Tasks add up all simulations as matrix products and send one row per
+    (key, simulation); rows are never listed per simulation. p = 2 * tail share, at most 1.
     """
-    d = df.select(*keys, row_id, x, F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim"))
-    flipped = F.when(hash_unit("sim", row_id) < 0.5, -F.col(x)).otherwise(F.col(x))
-    null = d.groupBy(*keys, "sim").agg(F.avg(flipped).alias("_null"))
-    seen = df.groupBy(*keys).agg(F.avg(x).alias("observed"), F.count(x).alias("n"))
-    j = join_stats(null, seen, keys)
-    out = j.groupBy(*keys).agg(
-        F.max("observed").alias("observed"), F.max("n").alias("n"),
-        F.avg((F.col("_null") >= F.col("observed")).cast("double")).alias("_ge"),
-        F.avg((F.col("_null") <= F.col("observed")).cast("double")).alias("_le"),
+    keys = list(keys)
+    d = df.where(F.col(x).isNotNull()).select(*keys, F.col(row_id).cast("string").alias("_id"), F.col(x).cast("double").alias("_x"))
+    words = -(-sims // 32)
+    schema = T.StructType([d.schema[k] for k in keys] + [T.StructField("sim", T.IntegerType()), T.StructField("_sum", T.DoubleType()), T.StructField("_wins", T.LongType())])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            for key, rows in _key_groups(batch, keys):
+                ids, values = batch.column("_id").take(pa.array(rows)).to_pylist(), batch.column("_x").to_numpy()[rows]
+                got = sums.setdefault(key, np.zeros((2, words * 32)))
+                for at in range(0, len(ids), DRAW_ROWS):
+                    bits = (_draw_words(ids[at : at + DRAW_ROWS], words)[:, :, None] >> np.arange(32, dtype=np.uint32) & 1).reshape(-1, words * 32)
+                    v = values[at : at + DRAW_ROWS]
+                    signs = 1.0 - 2.0 * bits
+                    got[0] += v @ signs
+                    got[1] += (v > 0).astype(float) @ (1.0 - bits) + (v < 0).astype(float) @ bits.astype(float)
+        for key, got in sums.items():
+            columns = [pa.array([k] * sims, t) for k, t in zip(key, kinds)]
+            columns += [pa.array(np.arange(sims), pa.int32()), pa.array(got[0, :sims]), pa.array(got[1, :sims].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "sim", "_sum", "_wins"])
+
+    null = d.mapInArrow(add_up, schema).groupBy(*keys, "sim").agg(F.sum("_sum").alias("_sum"), F.sum("_wins").alias("_wins"))
+    seen = d.groupBy(*keys).agg(
+        F.avg("_x").alias("observed"), F.count("_x").alias("n"), F.sum(F.col("_x") * F.col("_x")).alias("_sq"),
+        F.avg((F.col("_x") > 0).cast("double")).alias("win_rate"), (F.avg("_x") / F.stddev_samp("_x")).alias("sharpe"),
     )
-    return out.withColumns({"p_value": F.least(F.lit(1.0), F.least("_ge", "_le") * 2), "percentile": F.col("_le") * 100}).drop("_ge", "_le")
+    j = join_stats(null, seen, keys)
+    mean = F.col("_sum") / F.col("n")
+    deviation = F.sqrt((F.col("_sq") - F.col("n") * mean * mean) / F.when(F.col("n") > 1, F.col("n") - 1))
+    j = j.withColumns({"_m": mean, "_w": F.col("_wins") / F.col("n"), "_s": mean / deviation})
+    tails, drops = [], []
+    for name, null_name in (("observed", "_m"), ("win_rate", "_w"), ("sharpe", "_s")):
+        for sign, test in (("ge", F.col(null_name) >= F.col(name)), ("le", F.col(null_name) <= F.col(name))):
+            tails.append(F.avg(test.cast("double")).alias(f"_{name}_{sign}"))
+            drops.append(f"_{name}_{sign}")
+    out = j.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("observed", "n", "win_rate", "sharpe")], F.count(F.lit(1)).alias("sims"), *tails)
+    two = lambda name: F.least(F.lit(1.0), F.least(f"_{name}_ge", f"_{name}_le") * 2)
+    return out.withColumns(
+        {"p_value": two("observed"), "percentile": F.col("_observed_le") * 100, "win_rate_p": two("win_rate"), "sharpe_p": two("sharpe")}
+    ).drop(*drops)
 
 
 # fixed values: distribution function of a Poisson(1) count at 0..6
 POISSON_CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
 
 
-def bootstrap_difference(df: DataFrame, x: str, row_id: str, in_a: Column, reps: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Interval of the difference of two means by Poisson-weighted resampling; weights come from a hash per (rep, row)."""
-    u = hash_unit("rep", row_id)
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in POISSON_CUTS), F.lit(0))
-    d = df.withColumn("_a", in_a).select(row_id, x, "_a", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    d = d.withColumn("_w", weight)
-    wx = F.col("_w") * F.col(x)
-    sums = d.groupBy("rep").agg(
-        div(F.sum(F.when(F.col("_a"), wx)), F.sum(F.when(F.col("_a"), F.col("_w")))).alias("_ma"),
-        div(F.sum(F.when(~F.col("_a"), wx)), F.sum(F.when(~F.col("_a"), F.col("_w")))).alias("_mb"),
-    ).withColumn("_d", F.col("_ma") - F.col("_mb"))
+def bootstrap_difference(df: DataFrame, x: str, row_id: str, in_a: Column, reps: int = 1_000, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """Interval of the difference of two means by Poisson-weighted resampling; weights come from hash words of (rep, row).
+
+    Tasks add up all repetitions as matrix products and send one row per repetition and side.
+    """
+    d = df.where(F.col(x).isNotNull()).select(F.col(row_id).cast("string").alias("_id"), F.col(x).cast("double").alias("_x"), F.coalesce(in_a, F.lit(False)).alias("_a"))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, reps))
+        for batch in batches:
+            ids, values, side = batch.column("_id").to_pylist(), batch.column("_x").to_numpy(), np.array(batch.column("_a").to_pylist(), float)
+            for at in range(0, len(ids), DRAW_ROWS):
+                part = slice(at, at + DRAW_ROWS)
+                weights = np.searchsorted(POISSON_CUTS, _draw_words(ids[part], reps) / 4294967296.0, side="right").astype(float)
+                a, v = side[part], values[part]
+                sums += np.stack([(a * v) @ weights, a @ weights, ((1 - a) * v) @ weights, (1 - a) @ weights])
+        yield pa.RecordBatch.from_pydict({"rep": pa.array(np.arange(reps), pa.int32()), **{n: pa.array(s) for n, s in zip(("va", "wa", "vb", "wb"), sums)}})
+
+    per_task = d.mapInArrow(add_up, "rep int, va double, wa double, vb double, wb double")
+    sums = per_task.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("va", "wa", "vb", "wb")])
+    sums = sums.withColumn("_d", div("va", "wa") - div("vb", "wb"))
     # ``reps`` rows are left, so the built-in percentile is enough
     return sums.agg(
         F.count(F.lit(1)).alias("reps"), F.avg("_d").alias("mean_difference"),

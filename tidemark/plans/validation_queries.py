@@ -208,29 +208,36 @@ def _(spark, sf):
     return rounded(V.adjust_p_values(d.select("account", F.round(two_sided_p("z"), 6).alias("p")), "p", tie=["account"]))
 
 
-_HASH = "(CAST('0x'||substr(md5({}),1,8) AS BIGINT)/4294967296.0::DOUBLE)"
+_WORDS = """h AS (SELECT {cols}, trade_id, pnl, k, md5(k||'|'||trade_id) AS h FROM round_trips, range(0, {quads}) g(k)),
+        u AS (SELECT {cols}, trade_id, pnl, k*4+j AS word, CAST('0x'||substr(h, 1+8*j, 8) AS BIGINT) AS u FROM h, range(0, 4) g(j))"""
 
 
 @query(
     "monte_carlo_null_test",
-    f"""WITH s AS (SELECT symbol, sim, avg(CASE WHEN {_HASH.format("sim||'|'||trade_id")} < 0.5 THEN -pnl ELSE pnl END) AS x FROM round_trips, range(1,51) g(sim) GROUP BY 1,2), o AS (SELECT symbol, avg(pnl) AS o, count(*) AS n FROM round_trips GROUP BY 1)
-        SELECT s.symbol, round(any_value(o),6) AS observed, any_value(n) AS n, round(least(1,2*least(avg((x>=o)::INT),avg((x<=o)::INT))),6) AS p_value, round(100*avg((x<=o)::INT),6) AS percentile FROM s JOIN o ON s.symbol=o.symbol GROUP BY 1""",
+    f"""WITH {_WORDS.format(cols="symbol", quads=79)},
+        x AS (SELECT symbol, word*32+bit AS sim, CASE WHEN (u >> bit) & 1 = 1 THEN -pnl ELSE pnl END AS x FROM u, range(0, 32) g(bit) WHERE word*32+bit < 10000),
+        o AS (SELECT symbol, avg(pnl) AS o, count(*) AS n, sum(pnl*pnl) AS sq, avg((pnl>0)::INT) AS ow, avg(pnl)/stddev_samp(pnl) AS os FROM round_trips GROUP BY 1),
+        t AS (SELECT symbol, sim, sum(x) AS t, sum((x>0)::INT) AS w FROM x GROUP BY 1,2),
+        m AS (SELECT o.*, t.t/n AS m, t.w/n AS w, (t.t/n)/sqrt((sq-n*(t.t/n)*(t.t/n))/(n-1)) AS s FROM t JOIN o USING (symbol))
+        SELECT symbol, round(any_value(o),6) AS observed, any_value(n) AS n, round(any_value(ow),6) AS win_rate, round(any_value(os),6) AS sharpe, count(*) AS sims,
+        round(least(1,2*least(avg((m>=o)::INT),avg((m<=o)::INT))),6) AS p_value, round(100*avg((m<=o)::INT),6) AS percentile,
+        round(least(1,2*least(avg((w>=ow)::INT),avg((w<=ow)::INT))),6) AS win_rate_p, round(least(1,2*least(avg((s>=os)::INT),avg((s<=os)::INT))),6) AS sharpe_p FROM m GROUP BY 1""",
 )
 def _(spark, sf):
-    return rounded(V.sign_flip_test(round_trips(spark, sf), "pnl", "trade_id", 50, ["symbol"]))
+    return rounded(V.sign_flip_test(round_trips(spark, sf), "pnl", "trade_id", 10_000, ["symbol"]))
 
 
-_CUTS = " + ".join(f"({'{u}'}>={c!r}::DOUBLE)::INT" for c in V.POISSON_CUTS)
+_CUTS = " + ".join(f"(u/4294967296.0::DOUBLE>={c!r}::DOUBLE)::INT" for c in V.POISSON_CUTS)
 
 
 @query(
     "bootstrap_ci",
-    f"""WITH u AS (SELECT rep, pnl, {_HALF} AS a, {_HASH.format("rep||'|'||trade_id")} AS u FROM round_trips, range(1,41) g(rep)), w AS (SELECT rep, pnl, a, {_CUTS.format(u='u')} AS w FROM u),
+    f"""WITH {_WORDS.format(cols=f"{_HALF} AS a", quads=250).replace(f"SELECT {_HALF} AS a, trade_id, pnl, k*4", "SELECT a, trade_id, pnl, k*4")}, w AS (SELECT word AS rep, pnl, a, {_CUTS} AS w FROM u),
         d AS (SELECT rep, sum(w*pnl) FILTER (a)/sum(w) FILTER (a) - sum(w*pnl) FILTER (NOT a)/sum(w) FILTER (NOT a) AS d FROM w GROUP BY 1)
-        SELECT count(*) AS reps, round(avg(d),6) AS mean_difference, round(quantile_cont(d,0.025),6) AS low, round(quantile_cont(d,0.975),6) AS high FROM d""".replace("{u}", "u"),
+        SELECT count(*) AS reps, round(avg(d),6) AS mean_difference, round(quantile_cont(d,0.025),6) AS low, round(quantile_cont(d,0.975),6) AS high FROM d""",
 )
 def _(spark, sf):
-    return rounded(V.bootstrap_difference(round_trips(spark, sf), "pnl", "trade_id", F.col("ts") < as_ts("2024-01-16"), 40))
+    return rounded(V.bootstrap_difference(round_trips(spark, sf), "pnl", "trade_id", F.col("ts") < as_ts("2024-01-16"), 1_000))
 
 
 @query(
