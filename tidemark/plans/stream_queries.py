@@ -23,10 +23,28 @@ from tidemark.streaming.run import fresh_path, run_available
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-def event_stream(spark, sf):
-    """The events file as a stream with TIMESTAMP event time."""
+CUTS = ("2024-01-11", "2024-01-21")
+_files: dict[tuple, str] = {}
+
+
+def event_files(spark, sf, late: bool) -> str:
+    """The events as files in order of time, written once; ``late`` adds a last file that delivers old events again."""
+    slot = (spark.sparkContext.applicationId, sf, late)
+    if slot not in _files:
+        path = f"{fresh_path(spark)}/events"
+        d = table(spark, sf, "events")
+        first, second = (F.col("ts") < as_ts(c) for c in CUTS)
+        parts = [first, ~first & second, ~second] + ([first & (F.col("event_id") % 10 == 0)] if late else [])
+        for part in parts:  # one after the other: a file source takes files by age
+            d.where(part).coalesce(1).write.mode("append").parquet(path)
+        _files[slot] = path
+    return _files[slot]
+
+
+def event_stream(spark, sf, late: bool = False):
+    """The events as a stream of one file a batch, with TIMESTAMP event time."""
     prepare(spark)
-    d = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf.rstrip("/"))
+    d = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(event_files(spark, sf, late))
     return d.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -156,18 +174,22 @@ def _(spark, sf):
     return rounded(d.agg(F.count(F.lit(1)).alias("parsed"), F.sum("value").alias("total")))
 
 
-@query("event_handler_hook", "SELECT event_type AS kind, count(*) AS rows FROM events WHERE event_type IN ('purchase','signup') GROUP BY 1")
+@query("event_handler_hook", "SELECT event_type AS kind, count(*) AS rows FROM events GROUP BY 1")
 def _(spark, sf):
     path = fresh_path(spark)
 
-    def save(batch, batch_id):
-        batch.write.mode("append").parquet(f"{path}/handled/b{batch_id}")
+    def saver(kind):
+        def save(batch, batch_id):  # a batch that runs twice overwrites its own folder
+            batch.write.mode("overwrite").parquet(f"{path}/handled/{kind}/b{batch_id}")
 
-    run_available(event_stream(spark, sf), "append", E.route({"purchase": save, "signup": save}, "event_type"), path)
-    return spark.read.parquet(f"{path}/handled/*").groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("rows"))
+        return save
 
+    kinds = ("click", "error", "purchase", "signup", "view")
+    run_available(event_stream(spark, sf), "append", E.route({k: saver(k) for k in kinds}, "event_type"), path)
+    return spark.read.parquet(f"{path}/handled/*/*").groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("rows"))
 
-@query("topic_lag_stats", "SELECT count(*) AS input_rows, 1::BIGINT AS batches_with_rows FROM events")
+
+@query("topic_lag_stats", "SELECT count(*) AS input_rows, 3::BIGINT AS batches_with_rows FROM events")
 def _(spark, sf):
     from tidemark.streaming.run import progress_table
 
@@ -190,7 +212,7 @@ def _(spark, sf):
 
 @query("late_and_dedup", "SELECT event_type, count(*) AS events, round(sum(value),6) AS total FROM events GROUP BY 1")
 def _(spark, sf):
-    s = event_stream(spark, sf)
+    s = event_stream(spark, sf, late=True)  # old events come again long after the watermark
     twice = s.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))  # at-least-once delivery
     path, _ = run_available(E.deduplicate(twice))
     return rounded(spark.read.parquet(f"{path}/data").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total")))
