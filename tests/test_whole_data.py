@@ -61,3 +61,24 @@ def test_percentile_of_the_whole_history(spark, block):
                 below, upto = sum(v < r[2] for v in seen), sum(v <= r[2] for v in seen)
                 want.append((below + upto + 1) * 50 / len(seen))
     assert np.allclose(got.percentile.astype(float), want, equal_nan=True)
+
+
+def test_regular_grid_keeps_few_steps():
+    """Chains of different phase never meet on a regular grid; only steps within one interval of the slice's start stay."""
+    from tidemark.operators import sequences as Q
+
+    start = np.arange(100_000) * 300
+    leave = Q._leave(start, start + 7_200)
+    want = start + 7_200
+    for i in range(len(start) - 25, -1, -1):
+        want[i] = want[i + 24]
+    assert (leave == want).all() and len(np.unique(leave)) <= 24
+
+
+def test_spacing_on_a_regular_grid(spark):
+    from tidemark.operators.sequences import space_out
+
+    rows = [(s, T0 + pd.Timedelta(minutes=5 * i).to_pytimedelta()) for s in ("A", "B") for i in range(600 if s == "A" else 30)]
+    d = spark.createDataFrame(rows, "symbol string, ts timestamp")
+    got = sorted((r.symbol, r.ts) for r in space_out(d, 7_200, ["symbol"], rows=70).collect())
+    assert got == sorted(r for i, r in enumerate(rows) if (i if r[0] == "A" else i - 600) % 24 == 0)

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -14,30 +15,35 @@ from pyspark.sql import functions as F
 
 
 def fold_scores(folds: DataFrame, features: Sequence[str], label: str, n_folds: int, keep: Sequence[str] = ("symbol", "ts"), trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:
-    """Train a random forest and boosted trees on each fold's training rows and average their test probabilities.
+    """Train a random forest and boosted trees on each fold's training rows and mix their test probabilities.
+
+    The weight of a kind of model is its share of the areas under the curve, summed over the folds' test rows.
 
     ``folds`` has one row per (row, fold) with ``role``, as ``purged_folds`` makes. Rows with nulls are left out.
     """
     data = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(
         folds.where(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("double"))
     )
-    parts = []
-    for f in range(n_folds):  # one model per fold
+    judge = BinaryClassificationEvaluator(labelCol="_y", metricName="areaUnderROC")
+    names, parts, areas = ("forest", "boosted"), [], {"forest": [], "boosted": []}
+    for f in range(n_folds):  # one model of each kind per fold
         train = data.where((F.col("fold") == f) & (F.col("role") == "train")).select("_x", "_y")
-        test = data.where((F.col("fold") == f) & (F.col("role") == "test"))
-        p = None
-        out = test
-        for i, model in enumerate(
+        out = data.where((F.col("fold") == f) & (F.col("role") == "test"))
+        for name, model in zip(
+            names,
             (
                 RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed),
-                GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=max(2, trees // 4), maxDepth=depth, seed=seed),
-            )
+                GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, seed=seed),
+            ),
         ):
-            out = model.setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_h{i}").fit(train).transform(out)
-            prob = vector_to_array(f"_p{i}")[1]
-            p = prob if p is None else p + prob
-        parts.append(out.select(*keep, "fold", label, (p / 2).alias("score")))
-    return reduce(DataFrame.unionByName, parts)
+            out = model.setProbabilityCol(f"_p_{name}").setRawPredictionCol(f"_r_{name}").setPredictionCol(f"_h_{name}").fit(train).transform(out)
+            areas[name].append(judge.setRawPredictionCol(f"_r_{name}").evaluate(out))
+        parts.append(out.select(*keep, "fold", label, *[vector_to_array(f"_p_{n}")[1].alias(f"score_{n}") for n in names]))
+    total = {n: sum(areas[n]) for n in names}
+    weight = {n: total[n] / sum(total.values()) if sum(total.values()) else 0.5 for n in names}
+    scores = reduce(DataFrame.unionByName, parts)
+    mixed = sum((F.col(f"score_{n}") * weight[n] for n in names), F.lit(0.0))
+    return scores.withColumns({"score": mixed, **{f"weight_{n}": F.lit(weight[n]) for n in names}})
 
 
 def pca_features(df: DataFrame, features: Sequence[str], k: int, train_until) -> tuple[DataFrame, list[float]]:

@@ -17,13 +17,19 @@ NEVER = -(2**62)
 
 def _leave(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Per entry: when the chain of kept intervals that begins with it ends, within these rows."""
-    nxt = np.searchsorted(start, end, side="left")
-    out = end.copy()
-    for i in range(len(start) - 1, -1, -1):
-        j = max(nxt[i], i + 1)
-        if j < len(start):
-            out[i] = out[j]
-    return out
+    at = np.arange(len(start))
+    nxt = _next(start, end)
+    last = np.where(nxt < len(start), nxt, at)
+    while True:  # jumps double until every chain has reached its last interval
+        further = last[last]
+        if (further == last).all():
+            return end[last]
+        last = further
+
+
+def _next(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Per entry: the first later interval that starts at or after its end."""
+    return np.maximum(np.searchsorted(start, end, side="left"), np.arange(len(start)) + 1)
 
 
 def non_overlapping(
@@ -39,14 +45,16 @@ def non_overlapping(
     The sorted intervals are cut into slices of about ``rows`` rows, whatever the size of a key.
     Which intervals a slice keeps depends only on when the last interval kept
     before it ends. Pass one finds, per slice, the end it hands on for every
-    such value; the value is constant between a few steps, since chains meet. The
-    steps of all slices are followed in order per key (a few rows per slice).
-    Pass two walks each slice once from its known start.
+    such value. An earlier interval starts before the slice does, so it ends before
+    the slice's first start plus the longest interval, and only steps up to there are
+    kept: as many rows of a slice as start within one interval. They are followed in
+    order per key. Pass two goes through the kept rows of each slice.
     """
     keys = list(keys)
     order = ["_s", *tie]
     d = intervals.withColumns({"_s": epoch_us(start), "_e": epoch_us(end)})
     d = balanced_chunks(d, keys, order, rows)
+    longest = d.agg(F.max(F.col("_e") - F.col("_s"))).first()[0] or 0
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema if f.name in keys)
 
     def steps(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -54,6 +62,8 @@ def non_overlapping(
         s, e = pdf["_s"].to_numpy(), pdf["_e"].to_numpy()
         leave = _leave(s, e)
         last = np.append(leave[1:] != leave[:-1], True)  # of equal results keep the latest start
+        beyond = np.flatnonzero(last & (s >= s[0] + longest))
+        last[beyond[1:]] = False
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, CHUNK: pdf[CHUNK].iloc[0], "upto": s[last], "leave": leave[last]})
 
     table = d.select(*keys, CHUNK, *order, "_e").groupBy(*keys, CHUNK).applyInPandas(steps, f"{key_schema}, {CHUNK} BIGINT, upto BIGINT, leave BIGINT")
@@ -75,10 +85,12 @@ def non_overlapping(
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        busy, keep = pdf["_busy"].iloc[0], np.zeros(len(pdf), bool)
-        for i, (s, e) in enumerate(zip(pdf["_s"], pdf["_e"])):
-            if s >= busy:
-                keep[i], busy = True, e
+        s, e = pdf["_s"].to_numpy(), pdf["_e"].to_numpy()
+        nxt, keep = _next(s, e).tolist(), np.zeros(len(pdf), bool)
+        i = int(np.searchsorted(s, pdf["_busy"].iloc[0], side="left"))
+        while i < len(nxt):  # once for each interval kept
+            keep[i] = True
+            i = nxt[i]
         return pdf.loc[keep, cols]
 
     return d.join(entry, [*keys, CHUNK]).groupBy(*keys, CHUNK).applyInPandas(walk, out_schema)

@@ -418,7 +418,7 @@ def _(spark, sf):
     from tidemark.operators.validation import purged_folds
 
     f = features(spark, sf).where("label IS NOT NULL")
-    return fold_scores(purged_folds(f, 2, 12, 12), FEATURES, "label", 2, trees=8)
+    return fold_scores(purged_folds(f, 5, 12, 12), FEATURES, "label", 5)
 
 
 @query("pca_features")
