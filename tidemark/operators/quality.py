@@ -240,11 +240,14 @@ def missing_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def clip_quantile(df: DataFrame, cols: Sequence[str], lo: float, hi: float, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Clip each column to its own global quantiles (of the whole history, so it looks ahead)."""
-    for c in cols:
-        q = exact_quantiles(df, F.col(c), {"_lo": lo, "_hi": hi}, keys)
-        df = join_stats(df, q, keys).withColumn(c, F.greatest("_lo", F.least(c, "_hi"))).drop("_lo", "_hi")
-    return df
+    """Clip each column to its own global quantiles (of the whole history, so it looks ahead); one pass for all columns."""
+    keys = list(keys)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in cols]))
+    long = df.select(*keys, each.alias("_x")).select(*keys, F.col("_x.f").alias("_f"), F.col("_x.v").alias("_v"))
+    q = exact_quantiles(long, F.col("_v"), {"_lo": lo, "_hi": hi}, [*keys, "_f"])
+    wide = [F.max(F.when(F.col("_f") == c, F.col(side))).alias(f"{side}_{c}") for c in cols for side in ("_lo", "_hi")]
+    d = join_stats(df, q.groupBy(*keys).agg(*wide), keys)
+    return d.withColumns({c: F.greatest(f"_lo_{c}", F.least(c, f"_hi_{c}")) for c in cols}).select(*df.columns)
 
 
 def clip_sigma(df: DataFrame, cols: Sequence[str], sigmas: float = 5.0, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",)) -> DataFrame:

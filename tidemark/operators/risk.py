@@ -111,6 +111,7 @@ def var_es(returns: DataFrame, x: str, confidence: float = 0.95, by: Sequence[st
 
     Losses are positive. An empty tail falls back to the VaR.
     """
+    returns = settle(returns.select(*by, x))  # read by every part below
     index = F.floor(F.round(F.col("_total") * (1 - confidence), 9))
     cut = exact_order_statistic(returns, F.col(x), index, by, "_cut")
     tail = join_stats(returns, cut, by).where(F.col(x) < F.col("_cut")).groupBy(*by).agg(F.avg(x).alias("_tail"))
@@ -132,7 +133,7 @@ def monte_carlo_var(returns: DataFrame, x: str, confidence: float = 0.95, draws_
     base = returns.agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
     sims = returns.select(F.explode(F.sequence(F.lit(1), F.lit(draws_per_row))).alias("_i")).select(F.randn(seed).alias("_z"))
     sims = join_stats(sims, base, []).select((F.col("_m") + F.col("_s") * F.col("_z")).alias(x))
-    sims = settle(sims)  # the draws are read several times and must stay the same
+    # var_es writes the draws down before it reads them several times
     return var_es(sims, x, confidence).select("n", F.col("var_hist").alias("var_mc"), F.col("es_hist").alias("es_mc"))
 
 
@@ -244,9 +245,11 @@ def marginal_var(rets: DataFrame, weights: DataFrame, bump: float = 0.001, q: fl
 
     The bumped return is (R + bump * r_i) / (1 + bump), one row per (symbol, time) as in the input.
     """
-    port = portfolio_returns(rets, weights, x)
+    # each is read several times below
+    rets, weights = settle(rets.where(F.col(x).isNotNull()).select("symbol", "ts", x)), settle(weights.select("symbol", "weight"))
+    port = settle(portfolio_returns(rets, weights, x))
     total = weights.agg(F.sum("weight").alias("_tw"))
-    d = rets.where(F.col(x).isNotNull()).join(port, "ts").join(weights.select("symbol"), "symbol", "left_semi")
+    d = rets.join(port, "ts").join(weights.select("symbol"), "symbol", "left_semi")
     d = join_stats(d, total, [])
     d = d.withColumn("_b", (F.col("port_ret") + F.col(x) * bump) * F.col("_tw") / (F.col("_tw") + bump))
     base = exact_quantiles(port, F.col("port_ret"), {"_q0": q})
