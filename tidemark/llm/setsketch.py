@@ -15,7 +15,8 @@ frequent as elements are shared.
 4. Links are confirmed on the full sets: first the best pair of each node,
    then pairs that still join different components.
 5. Members of a bucket left in different components have not been compared
-   with each other; only those pairs are formed, and go through 3 and 4.
+   with each other. An exact prefix filter on their full sets forms the pairs
+   that can be similar enough, and these go through 3 and 4.
 
 With 42 bands of 6 registers, a pair at the threshold 0.8 shares no band with
 probability 3e-6, and the estimate is off by the margin 0.15 (six standard
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -216,6 +217,45 @@ def _relabelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.withColumn("c_a", F.coalesce("c_a", "a")).withColumn("c_b", F.coalesce("c_b", "b"))
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members (key, node, c, ...) of buckets that hold more than one component."""
+    several = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    return members.join(several, "key", "left_semi")
+
+
+def _unmet(active: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
+    """(a, b) of nodes (node, c, n) in different components that can be similar enough: an exact prefix filter.
+
+    The shingles of a set stand in order of rarity. Two similar sets share one
+    among the first n - ceil(t * n) + 1 of both, and the first they share
+    leaves enough behind it in both: min(n_a - place, n_b - place) >= t / (1 + t) * (n_a + n_b).
+    Outliers of a large family of near copies have many rare shingles, so the
+    common ones come too late in their order to pair them with the family.
+    """
+    sets = _sets(docs, active.select("node"), near.words)
+    t = near.percent
+
+    def run(batches):
+        for batch in batches:
+            for node, shingles in zip(batch.column("node").to_pylist(), batch.column("shingles")):
+                own = np.frombuffer(shingles.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_pydict({"node": pa.array(np.full(len(own), node)), "shingle": pa.array(own)})
+
+    rows = settle(sets.mapInArrow(run, "node bigint, shingle bigint").distinct())
+    often = rows.groupBy("shingle").agg(F.count("*").alias("k"))
+    order = Window.partitionBy("node").orderBy("k", "shingle")
+    placed = rows.join(often, "shingle").withColumn("at", F.row_number().over(order) - 1).join(active, "node")
+    prefix = placed.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * t / 100)) & (F.col("k") > 1))
+    prefix = settle(prefix.select("shingle", "node", "c", "n", "at"))
+    by = prefix.groupBy("shingle").agg(F.min("n").alias("n0"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    enough = lambda least, n: least * (100 + t) >= n * t
+    able = settle(prefix.join(by.select("shingle", "n0"), "shingle").where(enough(F.col("n") - F.col("at"), F.col("n") + F.col("n0"))).drop("n0"))
+    x, y = (able.select("shingle", *(F.col(k).alias(f"{k}_{i}") for k in ("node", "c", "n", "at"))) for i in "ab")
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    met = (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & enough(left, F.col("n_a") + F.col("n_b"))
+    return x.join(y, "shingle").where(met).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def near_components(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """Set size, component and whether it is kept (the smallest of its component) of each row of ``docs`` (``doc_id``, ``text``)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -239,11 +279,9 @@ def near_components(docs: DataFrame, near: Near = Near()) -> DataFrame:
     labels = settle(components(links))
 
     # members of a bucket in different components that have not met
-    named = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    named = named.join(mixed, "key", "left_semi")
-    x, y = named.toDF("key", "a", "c_a"), named.toDF("key", "b", "c_b")
-    fresh = x.join(y, "key").where("a < b and c_a <> c_b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    named = _mixed(buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")))
+    active = settle(named.select("node", "c").distinct().join(nodes.select("node", "n"), "node"))
+    fresh = _unmet(active, docs, near).join(tested, ["a", "b"], "left_anti")
     more = settle(_estimated(fresh, nodes, near))
     if not more.isEmpty():
         extra = _sets(docs, more.select(F.explode(F.array("a", "b")).alias("node")).distinct(), near.words)
