@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.core import all_of
+
 BARS_SCHEMA = "ts TIMESTAMP, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE"
 
 
@@ -55,26 +57,36 @@ def read_json_records(spark: SparkSession, path: str, schema: str, multiline: bo
     return spark.read.schema(schema).json(path, multiLine=multiline)
 
 
+def spread(df: DataFrame, by: Sequence[str], salt: Sequence[str], files: int | None, rows_per_file: int) -> DataFrame:
+    """Repartition by ``by`` and a salt ``_file``, with ``files`` salts or as many as the rows of the key need."""
+    if files is None:
+        counts = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+        same = [F.col(f"_k{i}").eqNullSafe(F.col(c)) for i, c in enumerate(by)]
+        counts = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_files")
+        df = df.join(counts, all_of(same), "left").drop(*[f"_k{i}" for i in range(len(by))])
+    else:
+        df = df.withColumn("_files", F.lit(files))
+    return df.withColumn("_file", F.pmod(F.xxhash64(*salt), F.col("_files"))).drop("_files").repartition(*by, "_file")
+
+
 def write_partitioned(
     df: DataFrame,
     path: str,
     by: Sequence[str] = ("symbol", "date"),
     order: str = "ts",
-    files_per_partition: int = 1,
+    files_per_partition: int | None = None,
     compression: str = "zstd",
     mode: str = "append",
+    rows_per_file: int = 5_000_000,
 ) -> None:
     """Parquet below one folder per partition value, rows sorted in each file.
 
-    ``files_per_partition`` spreads each folder over several tasks by a salt,
-    for partition values that hold much of the data.
+    A folder is spread over as many tasks and files as its rows need, counted
+    first; ``files_per_partition`` sets the same number for all instead.
     """
     if "date" in by and "date" not in df.columns:
         df = df.withColumn("date", F.to_date(order))
-    keys = [F.col(c) for c in by]
-    if files_per_partition > 1:
-        keys.append(F.pmod(F.xxhash64(*df.columns), F.lit(files_per_partition)))
-    out = df.repartition(*keys).sortWithinPartitions(*by, order)
+    out = spread(df, by, df.columns, files_per_partition, rows_per_file).sortWithinPartitions(*by, order).drop("_file")
     out.write.mode(mode).partitionBy(*by).option("compression", compression).parquet(path)
 
 

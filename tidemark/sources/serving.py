@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.scan import spread
+
 
 @dataclass(frozen=True)
 class ServingTable:
@@ -105,17 +107,17 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*cols).withColumn("month", F.date_format(t.time, "yyyy-MM"))
 
 
-def append(df: DataFrame, table: str, root: str, files_per_partition: int = 1) -> None:
-    """Typed append, sorted inside files; a hot month or symbol is spread over several files by a salt."""
+def append(df: DataFrame, table: str, root: str, load_id: str | None = None, files_per_partition: int | None = None, rows_per_file: int = 5_000_000) -> None:
+    """Typed append, sorted inside files; a hot month or symbol is spread over as many files as its rows need.
+
+    With ``load_id`` the load owns a folder, so running it again replaces its
+    rows instead of doubling them. Use it for all loads of a table or for none.
+    """
     t = TABLES[table]
     by = ["month", *t.partition]
-    d = conform(df, table)
-    keys = [F.col(c) for c in by]
-    if files_per_partition > 1:
-        keys.append(F.pmod(F.xxhash64(*t.sort), F.lit(files_per_partition)))
-    d.repartition(*keys).sortWithinPartitions(*by, *t.sort).write.mode("append").partitionBy(*by).option(
-        "compression", "zstd"
-    ).parquet(f"{root}/{table}")
+    d = spread(conform(df, table), by, t.sort, files_per_partition, rows_per_file).sortWithinPartitions(*by, *t.sort).drop("_file")
+    path = f"{root}/{table}" if load_id is None else f"{root}/{table}/batch={load_id}"
+    d.write.mode("append" if load_id is None else "overwrite").partitionBy(*by).option("compression", "zstd").parquet(path)
 
 
 def batch_sink(table: str, root: str) -> Callable[[DataFrame, int], None]:
@@ -134,3 +136,16 @@ def expired_months(spark: SparkSession, root: str, table: str, as_of: str) -> Da
     t = TABLES[table]
     cutoff = F.date_format(F.add_months(F.to_date(F.lit(as_of)), -t.keep_months), "yyyy-MM")
     return spark.read.parquet(f"{root}/{table}").where(F.col("month") < cutoff).select("month").distinct()
+
+
+def drop_expired(spark: SparkSession, root: str, table: str, as_of: str) -> list[str]:
+    """Delete the month folders past the table's retention at ``as_of``; gives the months dropped."""
+    months = sorted(str(r["month"]) for r in expired_months(spark, root, table, as_of).collect())  # a few months
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for month in months:
+        for below in (f"month={month}", f"batch=*/month={month}"):
+            pattern = hadoop(f"{root}/{table}/{below}")
+            files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+            for found in files.globStatus(pattern) or []:
+                files.delete(found.getPath(), True)
+    return months
