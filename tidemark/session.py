@@ -60,6 +60,11 @@ def materialize(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -
     return spark.read.parquet(_written[slot])
 
 
+def forget() -> None:
+    """Build all materialized tables anew at their next use, after a source has changed."""
+    _written.clear()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a costly intermediate that is read several times and go on from the written table.
 
