@@ -5,7 +5,7 @@ import hashlib
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-EXTRA = "doc_id bigint, text string, n bigint, node bigint, chunk bigint, row_id bigint, seq bigint, rank bigint, kept string, data binary, word string"
+EXTRA = "doc_id bigint, text string, n bigint, node bigint, chunk bigint, row_id bigint, seq bigint, rank bigint, kept string, data binary, word string, n_lines string, _row string"
 BASE = " ".join(f"w{i}" for i in range(60))
 ROWS = [
     (None, BASE),
@@ -29,7 +29,7 @@ ROWS = [
 
 def frame(spark, rows=ROWS):
     """The rows with extra columns, all null, whose names the operators use inside."""
-    return spark.createDataFrame([(d, t, *[None] * 9) for d, t in rows], EXTRA)
+    return spark.createDataFrame([(d, t, *[None] * 11) for d, t in rows], EXTRA)
 
 
 def sha(text):

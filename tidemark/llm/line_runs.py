@@ -89,7 +89,9 @@ def without_later_copies(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     """``docs`` (any columns) with ``text`` less its later copies, and n_lines, n_removed, n_runs.
 
     A document in which nothing is deleted keeps its text as it is, null included.
+    Columns of ``docs`` with the names of added or helper columns are replaced.
     """
+    docs = docs.drop("n_lines", "n_removed", "n_runs", "_row_id", "_doc", "_row", "_runs", "_real", "_gone")
     runs = _deleted_runs(later_copies(docs, min_chars)).toDF("_doc", "_row", "_runs")
     keyed = docs.withColumn("_row_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     both = keyed.join(runs, (keyed["doc_id"].cast("bigint") == runs["_doc"]) & (keyed["_row_id"] == runs["_row"]), "left")
