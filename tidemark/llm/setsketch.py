@@ -41,6 +41,7 @@ from tidemark.session import settle
 REGISTERS = 256
 BASE = 1.1
 SHIFT = 25  # register value of a minimum of 1
+BROADCAST_IDS = 1_000_000  # 8 bytes each, counted before they are broadcast; more are joined by a shuffle
 SKETCHES = "doc_id bigint, n bigint, hi bigint, lo bigint, sketch binary"
 
 
@@ -176,7 +177,9 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """Sorted shingle hashes of the wanted documents."""
+    """Sorted shingle hashes of the wanted documents; up to ``BROADCAST_IDS`` ids, texts are filtered where they are read."""
+    ids = settle(wanted.select(F.col("node").alias("doc_id")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -186,7 +189,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             out += [h[x:y].tobytes() for x, y in zip(cut, cut[1:])]
         return pa.RecordBatch.from_pydict({"node": batch.column("doc_id").cast(pa.int64()), "shingles": pa.array(out, pa.binary())})
 
-    return over_texts(docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "node bigint, shingles binary", work)
+    return over_texts(docs.join(ids, "doc_id", "left_semi"), "node bigint, shingles binary", work)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -269,7 +272,7 @@ def near_components(docs: DataFrame, near: Near = Near()) -> DataFrame:
     pair = lambda x, y: buckets.where(F.col(x) < F.col(y)).select(F.col(x).alias("a"), F.col(y).alias("b"))
     tested = settle(pair("low", "node").unionByName(pair("node", "high")).distinct())
     likely = settle(_estimated(tested, nodes, near))
-    sets = settle(_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), near.words))
+    sets = settle(_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("node")), near.words))
 
     best = likely.groupBy("b").agg(F.max(F.struct("similarity", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
     links = settle(_confirmed(best, sets, near.percent))
@@ -284,7 +287,7 @@ def near_components(docs: DataFrame, near: Near = Near()) -> DataFrame:
     fresh = _unmet(active, docs, near).join(tested, ["a", "b"], "left_anti")
     more = settle(_estimated(fresh, nodes, near))
     if not more.isEmpty():
-        extra = _sets(docs, more.select(F.explode(F.array("a", "b")).alias("node")).distinct(), near.words)
+        extra = _sets(docs, more.select(F.explode(F.array("a", "b")).alias("node")), near.words)
         labels = settle(components(links.unionByName(_confirmed(more, settle(extra), near.percent))))
 
     named = nodes.select("hi", "lo", "node").join(labels, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
