@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -157,8 +157,19 @@ def covered(at: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+#: Rows and bytes of a record batch: a task holds a few of them, in the JVM and in Python.
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the record batches of this session's Arrow operators small."""
+    for key, value in BATCH_CONF.items():
+        spark.conf.set(key, value)
+
+
 def over_texts(docs: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """Apply ``work`` to record batches of (doc_id, text); nothing is shuffled."""
+    """Apply ``work`` to record batches of (doc_id, text); nothing is shuffled. Sets small batches for the session."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

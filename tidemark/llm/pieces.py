@@ -148,7 +148,7 @@ class Merges:
             self.pairs[a, b], self.halves[i] = i, (a, b)
         self.ids = {s: i for i, s in self.spell.items()}
         self.longest = max(map(len, self.ids))
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
 
     def symbols(self, piece: str) -> str:
         """A piece of text in base symbols."""
@@ -157,11 +157,11 @@ class Merges:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether tokens a, b can stand side by side: no merge across their border would have come first."""
-        hit = self.known.get((a, b))
+        hit = self.known.get(a << 32 | b)
         if hit is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
-            hit = self.known[a, b] = self._fits(a, b)
+            hit = self.known[a << 32 | b] = self._fits(a, b)
         return hit
 
     def _fits(self, a: int, b: int) -> bool:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.flat import U64, Words, blocks, covered
+from tidemark.llm.flat import U64, Words, blocks, covered, small_batches
 from tidemark.llm.pieces import gather
 
 OUT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
@@ -225,6 +225,7 @@ def _result(ids, n_words, n_removed, texts: list[bytes], with_text: bool) -> pa.
 
 def remove_repeated_windows(docs: DataFrame, width: int = 13, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, cells_each: int = CELLS_EACH) -> DataFrame:
     """Words, removed words and digest of the kept words of each row of ``docs`` (``doc_id``, ``text``); ``kept_text`` on demand."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = Plan(total, width, chunk_bytes, cells_each)
