@@ -25,7 +25,7 @@ from tidemark.llm.flat import over_texts
 from tidemark.llm.pieces import NUMBER, OTHER, SPACE, Merges, OffsetTable, Points, gather, point_blocks
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-REMEMBER = 200_000
+REMEMBER = 120_000
 
 
 def normal(text: str, whole: bool) -> str | None:

@@ -175,5 +175,6 @@ def over_texts(docs: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa
         for batch in batches:
             if batch.num_rows:
                 yield work(batch)
+        pa.default_memory_pool().release_unused()  # a worker that idles afterwards keeps no buffers
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
