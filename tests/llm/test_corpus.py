@@ -1,6 +1,7 @@
 """Operators that compare texts with each other, the graph helper, and the pipeline."""
 
 import random
+from collections import Counter
 
 import edges
 import pytest
@@ -151,6 +152,37 @@ def test_leaks_equal_brute_force(spark):
     assert leaks(edges.frame(spark, []), bench).count() == 0 and leaks(edges.frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_texts_shorter_than_the_item(spark):
+    """Texts cut off from items: each is compared as one window; copies and repeated words too."""
+    rnd = random.Random(10)
+    items = [(i, " ".join(words(rnd, n, 500))) for i, n in enumerate([*range(1, 31), 50, 60, 120, 9, 9])] + [(80, "a " * 30 + "b c d e f g")]
+    texts = []
+    for _, item in items:
+        w = item.split()
+        for cut in range(1, len(w) // 4 + 2):
+            texts += [(0, " ".join(w[: len(w) - cut])), (0, ", ".join(w[cut:]).upper()), (0, varied(rnd, " ".join(w[cut:]), 1))]
+    texts = [(d, t) for d, (_, t) in enumerate(texts)]
+    want = {}
+    for d, t in texts:
+        w = t.lower().replace(",", "").split()
+        for i, item in items:
+            v = item.split()
+            k, best = min(5, len(v)), 0.0
+            grams = lambda x: Counter(tuple(x[j : j + k]) for j in range(len(x) - k + 1))
+            for p in range(max(1, len(w) - len(v) + 1)):
+                a, b = grams(w[p : p + len(v)]), grams(v)
+                shared = (a & b).total()
+                best = max(best, shared / (a.total() + b.total() - shared))
+            if best >= 0.8:
+                want[d, i] = best, min(len(w), len(v))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert sum(len(texts[d][1].split()) < len(dict(items)[i].split()) for d, i in want) > 60
+    for leak in (Leak(), Leak(slice_items=16)):
+        got = {(r.doc_id, r.item_id): (r.similarity, r.n_words) for r in leaks(edges.frame(spark, texts), bench, leak).collect()}
+        assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
+    assert {r.start_word for r in leaks(edges.frame(spark, [(1, " ".join(items[30][1].split()[:49]))]), bench).collect()} == {0}
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     rnd = random.Random(12)
     items = [(i, " ".join(words(rnd, 25))) for i in range(5)]

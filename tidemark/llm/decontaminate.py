@@ -7,7 +7,9 @@ bits. The fingerprints of the items are indexed in eight blocks of a byte. Of
 two fingerprints within ``radius`` bits, some block differs by at most
 radius // 8 bits; the index holds each item under all such values, so it gives
 every item within the radius. Candidates are verified by the exact weighted
-similarity of the shingle multisets: shared weight / joint weight.
+similarity of the shingle multisets: shared weight / joint weight. A text with
+fewer words than the item has no such window and is compared as a whole, if it has
+enough shingles to reach the threshold.
 
 A window without any shingle of an item has similarity 0; windows are
 fingerprinted only where a shingle of some item is within. The benchmark goes
@@ -29,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.flat import U64, _BYTE, blocks, factors, mix, over_texts, run_hashes, runs
+from tidemark.llm.flat import U64, _BYTE, blocks, covered, factors, mix, over_texts, run_hashes, runs
 
 MATCHES = "doc_id bigint, item_id bigint, similarity double, start_word bigint, n_words bigint, distance int"
 BITS, BLOCKS = 64, 8
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+#: Four of five shingles differ by 12 bits on average, all larger sets at 0.8 by about 10: such whole texts are searched wider.
+TINY, WIDER = 5, 4
 
 
 @dataclass(frozen=True)
@@ -80,6 +84,19 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums >= 0, axis=1)
 
 
+def run_prints(h: np.ndarray, begin: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """Fingerprints of the runs of ``size`` shingles from each of ``begin``."""
+    need = np.flatnonzero(covered(begin, size, len(h)))
+    sums = np.concatenate((np.zeros((1, BITS), np.int32), np.cumsum(signs(h[need]), axis=0, dtype=np.int32)))
+    low = np.searchsorted(need, begin)
+    return fingerprints(sums[low + size] - sums[low])
+
+
+def parts(begin: np.ndarray, n: int) -> list[np.ndarray]:
+    """``begin`` in pieces of about ``n`` values."""
+    return np.array_split(begin, -(-len(begin) // n)) if len(begin) else []
+
+
 class Bench:
     """Items of one slice: shingles, fingerprints and the block index by item length."""
 
@@ -101,14 +118,19 @@ class Bench:
                 known.setdefault(k, []).append(own)
         self.known = {k: np.unique(np.concatenate(h)) for k, h in known.items()}
         self.prints, self.index = {}, {}
-        near = POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)] <= leak.radius // BLOCKS
+        apart = POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)]
         for n, items in self.lengths.items():
             own = [np.array(list(self.sets[i].elements()), U64) for i in items]
             self.prints[n] = np.vstack([fingerprints(signs(h).sum(axis=0)[None]) for h in own])
+            near = apart <= self.radius(n, True) // BLOCKS
             self.index[n] = [near[self.prints[n][:, b]].T.copy() for b in range(BLOCKS)]  # value of a block -> items
 
+    def radius(self, n: int, whole: bool) -> int:
+        """Search radius for items of ``n`` words."""
+        return self.leak.radius + (WIDER if whole and n - min(self.leak.words, n) + 1 == TINY else 0)
+
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, int, int, int]]:
-        """(row, item, similarity, first word, words, distance): the best window of each item in each row."""
+        """(row, item, similarity, first word, words, distance): the best window of each item in each row, or the whole row if it is shorter."""
         words = _Words(data, offsets)
         best: dict[tuple[int, int], tuple] = {}
         for k, known in self.known.items():
@@ -121,33 +143,37 @@ class Bench:
             found = np.concatenate(([0], np.cumsum(hit)))
             rows = words.rows[at]
             touched = np.isin(rows, rows[hit])  # shingles of rows with a hit
+            first = np.flatnonzero(touched & np.append(True, rows[1:] != rows[:-1]))  # of each of these rows
+            size = np.searchsorted(rows, rows[first], "right") - first
             for n, items in self.lengths.items():
                 span = n - k + 1  # shingles in a window of n words
-                if min(self.leak.words, n) != k or len(h) < span:
+                if min(self.leak.words, n) != k:
                     continue
-                begin = np.flatnonzero(touched[: len(h) - span + 1] & (rows[: len(h) - span + 1] == rows[span - 1 :]) & (found[span:] > found[:-span]))
-                for part in np.array_split(begin, -(-len(begin) // 50_000)) if len(begin) else ():
-                    self._compare(part, n, span, items, at, h, rows, words, offsets, best)
+                if len(h) >= span:
+                    begin = np.flatnonzero(touched[: len(h) - span + 1] & (rows[: len(h) - span + 1] == rows[span - 1 :]) & (found[span:] > found[:-span]))
+                    for part in parts(begin, 50_000):
+                        self._compare(part, np.full(len(part), span), run_prints(h, part, span), n, items, at, h, rows, words, best)
+                short = np.flatnonzero((size < span) & (size / span >= self.leak.least))
+                for part in parts(short, max(1, 50_000 // span)):
+                    self._compare(first[part], size[part], run_prints(h, first[part], size[part]), n, items, at, h, rows, words, best)
         return [(row, item, *value) for (row, item), value in sorted(best.items())]
 
-    def _compare(self, begin, n, span, items, at, h, rows, words, offsets, best) -> None:
-        need = np.unique(begin[:, None] + np.arange(span))
-        sums = np.concatenate((np.zeros((1, BITS), np.int32), np.cumsum(signs(h[need]), axis=0, dtype=np.int32)))
-        low = np.searchsorted(need, begin)
-        prints = fingerprints(sums[low + span] - sums[low])
+    def _compare(self, begin, size, prints, n, items, at, h, rows, words, best) -> None:
+        span = n - min(self.leak.words, n) + 1
         maybe = np.zeros((len(begin), len(items)), bool)
         for b in range(BLOCKS):
             maybe |= self.index[n][b][prints[:, b]]
         window, item = np.nonzero(maybe)
         distance = POPCOUNT[prints[window] ^ self.prints[n][item]].sum(axis=1)
-        for w, i, d in zip(*(x[distance <= self.leak.radius].tolist() for x in (window, item, distance))):
-            own, first = self.sets[items[i]], int(begin[w])
-            shared = sum((own & Counter(h[first : first + span].tolist())).values())
-            similarity = shared / (2 * span - shared)
+        within = distance <= np.where(size[window] < span, self.radius(n, True), self.radius(n, False))
+        for w, i, d in zip(*(x[within].tolist() for x in (window, item, distance))):
+            own, first, here = self.sets[items[i]], int(begin[w]), int(size[w])
+            shared = sum((own & Counter(h[first : first + here].tolist())).values())
+            similarity = shared / (here + span - shared)
             if similarity >= self.leak.least:
                 row = int(rows[first])
                 start = int(at[first] - np.searchsorted(words.rows, row))
-                value = (similarity, start, n, int(d))
+                value = (similarity, start, n - span + here, int(d))
                 if value[:1] > best.get((row, items[i]), (0.0,))[:1]:
                     best[row, items[i]] = value
 
