@@ -20,6 +20,32 @@ def test_constant_price_gives_nulls_not_errors(spark):
     assert bb["bb_width"] == 0 and bb["bb_pct"] != bb["bb_pct"]
 
 
+def test_four_anomaly_detectors_by_hand(spark):
+    closes = [100.0 + i % 2 for i in range(40)]
+    closes[10:17] = [104.5] * 7  # six zero changes in a row: frozen at the fifth and sixth
+    closes[20:25] = [103.0] * 5  # four only
+    closes[30:] = [130.0 + i % 2 for i in range(10)]
+    b = bars_frame(spark, closes, gaps=(35, 36, 37)).withColumn("volume", F.when(F.col("ts") == F.lit(T0 + dt.timedelta(hours=28)), 1.0).otherwise(F.col("volume")))
+    small = bars_frame(spark, [100.0, 101.0, 106.0, 107.0], "B")  # a jump under 10 %
+    got = {(r.symbol, int((r.ts - T0).total_seconds() // 3600), r.detector) for r in Q.anomalies(b.unionByName(small)).collect()}
+    assert got == {("A", 30, "spike"), ("A", 28, "volume"), ("A", 38, "gap"), ("A", 15, "frozen"), ("A", 16, "frozen")}
+
+
+def test_frozen_rows_need_five_unchanged_rows(spark):
+    b = bars_frame(spark, [1.0] * 30 + [0.0] * 6 + [2.0] * 5)
+    got = [int((r.ts - T0).total_seconds() // 3600) for r in Q.frozen_rows(b).orderBy("ts").collect()]
+    assert got == [*range(5, 30), 35]
+
+
+def test_registered_detectors_find_frozen_prices(spark, monkeypatch):
+    from tidemark.plans import load_all, stream_queries
+    from tidemark.plans.registry import QUERIES
+
+    load_all()
+    monkeypatch.setattr(stream_queries, "b1", lambda *_: bars_frame(spark, [1.0] * 6))
+    assert [r.detector for r in QUERIES["anomaly_detectors_full"](spark, "").collect()] == ["frozen"]
+
+
 def test_rsi_by_hand(spark):
     got = pdf(I.rsi(bars_frame(spark, [10, 11, 10, 12]), 3), "ts")["rsi"]
     close_to(got, [None, None, None, 75.0])

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.core import div, epoch_s, epoch_us, finite, ladder
 from tidemark.operators.frames import CHUNK, framed, islands, prefix, stored_chunk, tidy
 from tidemark.operators.order_stats import exact_quantiles, join_stats
+from tidemark.operators.plugins import run_detectors
+from tidemark.operators.series import with_returns
 from tidemark.session import settle
 from tidemark.sources.scan import as_ts
 
@@ -192,6 +194,43 @@ def shadow_extremes(df: DataFrame, ratio: float = 10.0, keys: Sequence[str] = ("
     return out.withColumn("score", score)
 
 
+def frozen_rows(df: DataFrame, x: str = "close", rows: int = 5, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",)) -> DataFrame:
+    """Rows at which ``x`` has not changed for ``rows`` rows."""
+
+    def build(d, fr):
+        d = d.withColumn("_still", (F.col(x) == fr.lag(x)).cast("int"))
+        return d.withColumn("_still", F.sum("_still").over(fr.back(rows)))
+
+    return framed(df, build, before=rows, keys=keys, order=order).where(F.col("_still") == rows).drop("_still")
+
+
+def anomalies(df: DataFrame, floor: float = 0.10, window: int = 20, z_limit: float = 3.0, factor: float = 3.0, frozen: int = 5, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Findings on bars: price spikes, volumes far from the trailing mean on either side, time gaps, frozen prices.
+
+    There is no least number of rows a symbol must have.
+    """
+    keys = list(keys)
+    b = settle(with_returns(df, keys=keys))
+
+    def spike(d):
+        s = exact_quantiles(d, F.abs("ret"), {"_q": 0.99}, keys)
+        return join_stats(d, s, keys).where(F.abs("ret") > F.greatest("_q", F.lit(floor)))
+
+    def volume(d):
+        def build(x, fr):
+            s = fr.std("volume", window)
+            return x.withColumn("_z", (F.col("volume") - fr.mean("volume", window)) / F.when(s > 0, s))
+
+        return framed(d, build, before=window, keys=keys).where(F.abs("_z") > z_limit)
+
+    def gap(d):
+        g = with_gap(d, keys)
+        m = exact_quantiles(g, F.col("gap"), {"_m": 0.5}, keys)
+        return join_stats(g, m, keys).where(F.col("gap") > F.col("_m") * factor)
+
+    return run_detectors(b, {"spike": spike, "volume": volume, "gap": gap, "frozen": lambda d: frozen_rows(d, rows=frozen, keys=keys)}, [*keys, "ts"])
+
+
 def quality_score(parts: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Weighted score of share columns (0..1) and a grade."""
     total = sum(weights.values())

@@ -361,6 +361,19 @@ def _(spark, sf):
     return run_detectors(b, {"spike": spike, "volume": volume, "gap": gap})
 
 
+@query(
+    "anomaly_detectors_full",
+    """WITH l AS (SELECT *, close = lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS same, epoch(ts)-epoch(lag(ts) OVER (PARTITION BY symbol ORDER BY ts)) AS gap FROM rets),
+       r AS (SELECT symbol, ts, abs(ret) AS a, gap, (volume-avg(volume) OVER w)/nullif(stddev_samp(volume) OVER w,0) AS z, count(*) OVER w AS n, count(CASE WHEN same THEN 1 END) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS still
+         FROM l WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+       q AS (SELECT symbol, greatest(quantile_cont(a,0.99),0.1) AS q, quantile_cont(gap,0.5) AS med FROM r GROUP BY 1)
+       SELECT r.symbol, ts, 'spike' AS detector FROM r JOIN q ON r.symbol=q.symbol WHERE a>q UNION ALL SELECT symbol, ts, 'volume' FROM r WHERE n>=20 AND abs(z)>3
+       UNION ALL SELECT r.symbol, ts, 'gap' FROM r JOIN q ON r.symbol=q.symbol WHERE gap>3*med UNION ALL SELECT symbol, ts, 'frozen' FROM r WHERE still=5""",
+)
+def _(spark, sf):
+    return Q.anomalies(b1(spark, sf, "close", "volume"))
+
+
 @query(
     "non_overlapping_trades",
     """WITH RECURSIVE e AS (SELECT symbol, ts, ts + to_minutes(30 + 60*(trades % 4)::INT) AS exit_ts FROM bars15 WHERE close < open), n AS (SELECT e.symbol, e.ts, e.exit_ts, y.ts AS nx FROM e ASOF LEFT JOIN e y ON e.symbol=y.symbol AND e.exit_ts <= y.ts),
