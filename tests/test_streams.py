@@ -131,3 +131,22 @@ def test_snapshot_diff_and_hash(spark):
     got = {r["k"]: r["status"] for r in S.snapshot_diff(a, b, ["k"]).collect()}
     assert got == {1: "removed", 2: "same", 3: "changed", 4: "added"}
     assert S.content_hash(a).first() == S.content_hash(a.orderBy("v").repartition(3)).first() != S.content_hash(b).first()
+
+
+@pytest.mark.parametrize("file_rows, files", [(1_000_000, 1), (40, 3)])
+def test_event_stream_follows_the_data_and_keeps_rows_without_time(spark, tmp_path, monkeypatch, file_rows, files):
+    from tidemark.plans import load_all, stream_queries
+    from tidemark.plans.registry import QUERIES
+
+    load_all()
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", file_rows)
+    rows = [(i, None if i % 30 == 7 else dt.datetime(2025, 6, 1) + dt.timedelta(hours=i), 1, "view", 1.0, None) for i in range(300)]
+    spark.createDataFrame(rows, stream_queries.EVENTS).repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    path, n = stream_queries.event_files(spark, str(tmp_path), False)
+    assert n == files and len(spark.read.parquet(path).inputFiles()) == 3 * files
+    assert QUERIES["topic_lag_stats"](spark, str(tmp_path)).first() == (300, 3)
+    seen = []
+    run_available(stream_queries.event_stream(spark, str(tmp_path)), "append", lambda d, _: seen.append(d.select("event_id", "ts").collect()), str(tmp_path / "run"))
+    assert sorted(r.event_id for batch in seen for r in batch) == list(range(300))
+    spans = [(min(x), max(x)) for x in ([r.ts for r in batch if r.ts] for batch in seen)]
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and sorted(map(len, seen))[0] > 80

@@ -23,28 +23,41 @@ from tidemark.streaming.run import fresh_path, run_available
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-CUTS = ("2024-01-11", "2024-01-21")
-_files: dict[tuple, str] = {}
+FILE_ROWS = 1_000_000
+_files: dict[tuple, tuple[str, int]] = {}
 
 
-def event_files(spark, sf, late: bool) -> str:
-    """The events as files in order of time, written once; ``late`` adds a last file that delivers old events again."""
+def event_files(spark, sf, late: bool) -> tuple[str, int]:
+    """The events as thirds in order of time, written once, and the number of files of each.
+
+    Files hold about ``FILE_ROWS`` rows. Rows without a time are in the first third.
+    ``late`` adds a last part that delivers old events again.
+    """
     slot = (spark.sparkContext.applicationId, sf, late)
     if slot not in _files:
         path = f"{fresh_path(spark)}/events"
         d = table(spark, sf, "events")
-        first, second = (F.col("ts") < as_ts(c) for c in CUTS)
-        parts = [first, ~first & second, ~second] + ([first & (F.col("event_id") % 10 == 0)] if late else [])
-        for part in parts:  # one after the other: a file source takes files by age
-            d.where(part).coalesce(1).write.mode("append").parquet(path)
-        _files[slot] = path
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        cuts = d.select(at.cast("double").alias("t")).approxQuantile("t", [1 / 3, 2 / 3], 0.001)
+        third = sum((F.coalesce(at >= int(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+        counts = {r["k"]: r["n"] for r in d.groupBy(third.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        files = -(-max(counts.values(), default=1) // FILE_ROWS)
+        parts = [third == k for k in sorted(counts)] + ([(third == 0) & (F.col("event_id") % 10 == 0)] if late else [])
+        for k, part in enumerate(parts, 1):  # one after the other: a file source takes files by age
+            d.where(part).repartition(files).write.mode("append").parquet(path)
+            for _ in range(k * files - len(spark.read.schema(EVENTS).parquet(path).inputFiles())):  # few rows: a batch still ends with its part
+                d.limit(0).write.mode("append").parquet(path)
+        if not parts:
+            d.write.parquet(path)
+        _files[slot] = path, files
     return _files[slot]
 
 
 def event_stream(spark, sf, late: bool = False):
-    """The events as a stream of one file a batch, with TIMESTAMP event time."""
+    """The events as a stream of one third a batch, with TIMESTAMP event time."""
     prepare(spark)
-    d = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(event_files(spark, sf, late))
+    path, files = event_files(spark, sf, late)
+    d = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(path)
     return d.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
