@@ -107,6 +107,14 @@ def test_lines_equal_brute_force(spark):
     assert got == edges.line_dedup(rows)
 
 
+def test_repeated_line_in_a_script_without_spaces(spark):
+    line, heading = "本网站的所有内容均受版权保护，未经书面许可，不得以任何形式转载或者复制。", "目录与说明"
+    assert len(line) < 40
+    rows = [(i, f"u{i}\n{line}\nv{i}\n{heading}\nshort heading") for i in range(2)] + [(2, f"x\n{heading}\ny"), (3, "p\nshort heading\nq")]
+    got = {r.doc_id: r.text for r in without_later_copies(edges.frame(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and got[1] == "u1\nv1" and got[2] == rows[2][1] and got[3] == rows[3][1]
+
+
 def test_line_edges(spark):
     out = without_later_copies(edges.frame(spark))
     assert out.columns == [*edges.frame(spark, []).columns[:11], "n_lines", "n_removed", "n_runs"]

@@ -13,7 +13,7 @@ by its two windows of the largest power of two within L, so the intervals of
 all levels together mark exactly the lines of maximal repeated runs.
 
 A later copy is deleted if it has two lines or more, or is one line of
-``min_chars`` characters or more. Lines without a word stay and don't part a run.
+``min_bytes`` UTF-8 bytes or more: a sentence has few code points in some scripts. Lines without a word stay and don't part a run.
 
 Null and empty texts have no lines and stay. Rows with null ``doc_id`` stay
 whole and take no part. Rows with equal id and text count as one document and
@@ -50,12 +50,12 @@ def _named(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(ranked, by)
 
 
-def later_copies(docs: DataFrame, min_chars: int = 40) -> DataFrame:
+def later_copies(docs: DataFrame, min_bytes: int = 40) -> DataFrame:
     """(doc_id, row_id, seq, length) of windows of lines that an earlier place has too, over the levels of the suffix array."""
     lines = _keyed(docs).where("doc_id is not null").select("doc_id", "row_id", F.posexplode(_real_lines(F.col("text"))).alias("seq", "s"))
     rows = lines.select(
         "doc_id", "row_id", F.col("seq").cast("bigint").alias("seq"), F.xxhash64("s.line").alias("a"), F.xxhash64(F.lit(7), F.col("s.line")).alias("b"),
-        (F.char_length("s.line") >= min_chars).alias("long"),
+        (F.octet_length("s.line") >= min_bytes).alias("long"),
     )
     level, marks = 0, []
     rows = settle(_named(rows, ["a", "b"]).select(*PLACE, "rank", "first", "long"))
@@ -85,14 +85,14 @@ def _deleted_runs(marks: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id", "row_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
 
 
-def without_later_copies(docs: DataFrame, min_chars: int = 40) -> DataFrame:
+def without_later_copies(docs: DataFrame, min_bytes: int = 40) -> DataFrame:
     """``docs`` (any columns) with ``text`` less its later copies, and n_lines, n_removed, n_runs.
 
     A document in which nothing is deleted keeps its text as it is, null included.
     Columns of ``docs`` with the names of added or helper columns are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "n_runs", "_row_id", "_doc", "_row", "_runs", "_real", "_gone")
-    runs = _deleted_runs(later_copies(docs, min_chars)).toDF("_doc", "_row", "_runs")
+    runs = _deleted_runs(later_copies(docs, min_bytes)).toDF("_doc", "_row", "_runs")
     keyed = docs.withColumn("_row_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     both = keyed.join(runs, (keyed["doc_id"].cast("bigint") == runs["_doc"]) & (keyed["_row_id"] == runs["_row"]), "left")
     real = _real_lines(F.coalesce(F.col("text").cast("string"), F.lit("")))
