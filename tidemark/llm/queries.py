@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,16 +12,28 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.chat import format_turns, read_back, text_parts
 from tidemark.llm.decontaminate import leaks
+from tidemark.llm.importance import resample
 from tidemark.llm.line_runs import without_later_copies
+from tidemark.llm.merkle import manifest
 from tidemark.llm.pu_quality import quality_scores
 from tidemark.llm.repetition import quality_rules
 from tidemark.llm.secrets import secret_scan
 from tidemark.llm.setsketch import near_components
 from tidemark.llm.substrings import remove_repeated_windows
 from tidemark.llm.token_counts import token_counts
+from tidemark.llm.token_files import read_token_files, write_token_files
+from tidemark.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: DuckDB: crc32 (the public reflected polynomial) of a list of bytes, and the bytes of a string.
+_CRC32 = "xor(list_reduce({bytes}, lambda c, b: list_reduce(range(8), lambda t, k: xor(t >> 1, 3988292384 * (t & 1)), xor(c, b)), 4294967295::BIGINT), 4294967295)"
+_BYTES = "list_transform(range(1, octet_length(encode({text})) * 2, 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::BIGINT)"
+
+
+def _crc32(text: str) -> str:
+    return _CRC32.format(bytes=_BYTES.format(text=text))
+
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,3 +134,69 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to binary files and read back through the index."""
+    folder = f"{scratch_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    files = write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    size = F.expr("octet_length(ids) div 4")
+    return read_token_files(spark, files).select("doc_id", "start", size.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@_query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of every document; one in seven is folded with another n_chars."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return manifest(_table(spark, sf_dir, "documents"), tampered)
+
+
+_FRAMED = "coalesce(octet_length(encode({x}))::VARCHAR || ':' || {x}, '-')"
+_LEAF = "sha256(" + " || ".join(_FRAMED.format(x=x) for x in ("doc_id::VARCHAR", "source", "lang", "{n}::VARCHAR", "text")) + ")"
+ORACLE["op12_merkle_manifest"] = rf"""
+WITH RECURSIVE l AS (SELECT doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % 7 = 0 THEN {_LEAF.format(n="(n_chars + 1)")} ELSE {_LEAF.format(n="n_chars")} END AS other FROM documents),
+g AS (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang NULLS FIRST) AS tree FROM l GROUP BY lang),
+p AS (SELECT tree, n, doc_id, leaf, other, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS place
+      FROM l JOIN g ON l.lang IS NOT DISTINCT FROM g.lang),
+nodes AS (SELECT tree, 0 AS level, place, n, leaf AS h FROM p
+  UNION ALL SELECT tree, any_value(level) + 1, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM nodes WHERE n > 1 GROUP BY tree, place // 2),
+subs AS (SELECT tree, h AS subroot, level AS height FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, tree - 1 AS place, count(*) OVER () AS n, subroot AS h FROM subs
+  UNION ALL SELECT any_value(level) + 1, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM tops WHERE n > 1 GROUP BY place // 2),
+r AS (SELECT h AS root, level AS top_height FROM tops WHERE n = 1),
+steps AS (SELECT p.tree, p.doc_id, b.level, b.place < a.place AS is_left, b.h FROM p JOIN nodes a ON a.tree = p.tree AND a.n > 1 AND a.place = p.place // (1 << a.level)
+    JOIN nodes b ON b.tree = a.tree AND b.level = a.level AND b.place = xor(a.place, 1)
+  UNION ALL SELECT p.tree, p.doc_id, s.height + a.level, b.place < a.place, b.h FROM p JOIN subs s USING (tree) JOIN tops a ON a.n > 1 AND a.place = (p.tree - 1) // (1 << a.level)
+    JOIN tops b ON b.level = a.level AND b.place = xor(a.place, 1)),
+proofs AS (SELECT doc_id, sha256(string_agg(h, '' ORDER BY level)) AS proof FROM steps GROUP BY doc_id),
+folds AS (SELECT p.doc_id, 0 AS level, p.other AS h, s.height + r.top_height AS height FROM p JOIN subs s USING (tree), r
+  UNION ALL SELECT f.doc_id, f.level + 1, sha256(CASE WHEN t.is_left THEN t.h || f.h ELSE f.h || coalesce(t.h, '') END), f.height
+    FROM folds f LEFT JOIN steps t ON t.doc_id = f.doc_id AND t.level = f.level WHERE f.level < f.height)
+SELECT p.doc_id, p.leaf, s.subroot, r.root, coalesce(q.proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = r.root AS verified
+FROM p JOIN subs s USING (tree) LEFT JOIN proofs q USING (doc_id) JOIN folds f ON f.doc_id = p.doc_id AND f.level = f.height, r"""
+
+
+@_query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents drawn toward the benchmark's words."""
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_importance_resampling"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+q AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+u AS (SELECT doc_id, unnest(words) AS word FROM d),
+b AS (SELECT word, {_crc32("word")} % 10000 AS bucket FROM (SELECT word FROM u UNION SELECT word FROM q)),
+s AS (SELECT bucket, count(*) AS n FROM u JOIN b USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM q JOIN b USING (word) GROUP BY bucket),
+g AS (SELECT k.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE
+        / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM (SELECT unnest(range(10000)) AS bucket) k LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+w AS (SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM u JOIN b USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+z AS (SELECT d.doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+      coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM d LEFT JOIN w USING (doc_id)),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT z.*, CASE WHEN o.place <= 10 * o.n // 100 THEN o.place END AS "rank" FROM z LEFT JOIN o USING (doc_id)"""
