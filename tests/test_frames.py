@@ -5,7 +5,7 @@ from helpers import T0, bars_frame, close_to, pdf, walk
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import time_chunk
-from tidemark.operators.frames import CHUNK, add_ewm, balanced_chunks, ewm_reach, framed, islands, prefix, with_row_number
+from tidemark.operators.frames import CHUNK, balanced_chunks, framed, islands, prefix, with_row_number
 
 
 def test_prefix_equals_plain_running_values_for_any_slice(spark):
@@ -59,34 +59,6 @@ def test_frames_do_not_depend_on_blocks(spark, block):
     close_to(got["a"], g["high"].transform(lambda x: x[::-1].rolling(5, min_periods=1).max()[::-1].shift(-1)))
 
 
-@pytest.mark.parametrize("alpha", [0.5, 2 / 13, 1 / 14])
-def test_ewm_matches_pandas(spark, alpha):
-    b = walk(spark, 2500, ("A",))
-    reach, rows = ewm_reach(alpha)
-
-    def build(d, fr):
-        return add_ewm(add_ewm(d, fr, "e", "close", alpha), fr, "a", "close", alpha, "adjust")
-
-    for block in (rows, reach + 1):
-        got = pdf(framed(b, build, before=reach, block_rows=block), "ts")
-        close_to(got["e"], got["close"].ewm(alpha=alpha, adjust=False).mean(), 1e-9)
-        close_to(got["a"], got["close"].ewm(alpha=alpha, adjust=True).mean(), 1e-9)
-
-
-def test_ewm_sma_seed(spark):
-    got = pdf(framed(bars_frame(spark, range(1, 30)), lambda d, fr: add_ewm(d, fr, "e", "close", 0.2, "sma", 5), before=ewm_reach(0.2)[0], block_rows=1000), "ts")
-    x = np.arange(1, 30, dtype=float)
-    want = [np.nan] * 4 + [3.0]
-    for v in x[5:]:
-        want.append(want[-1] * 0.8 + v * 0.2)
-    close_to(got["e"], want)
-
-
-def test_ewm_reach_refuses_alphas_too_far_apart():
-    with pytest.raises(ValueError):
-        ewm_reach(0.9, 0.01)
-
-
 def test_islands_with_nulls(spark):
     states = ["a", "a", None, None, "b", "a", "a", None]
     df = spark.createDataFrame([("A", T0 + pd.Timedelta(hours=i), s) for i, s in enumerate(states)], "symbol string, ts timestamp, state string")

@@ -12,12 +12,12 @@ exactly the rows the uncut window would give:
 * ``framed``  - frames of a bounded number of rows. Rows are numbered per key,
   cut into blocks of equal size, and the rows a frame can reach into a
   neighbouring block are copied there.
-* ``add_ewm`` - exponential means inside ``framed`` blocks.
+
+Exponential means are in ``scans``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -236,68 +236,6 @@ def framed(
     return build(d, Frames(keys)).where(F.col(HOME)).drop(ROW, BLOCK, HOME, POS)
 
 
-def ewm_reach(*alphas: float) -> tuple[int, int]:
-    """(before, block_rows) for exponential means with these alphas.
-
-    Rows more than ``before`` back weigh less than 1e-18 and cannot change a
-    double. Weights are kept as (1-alpha)^-position, so a block must be short
-    enough that they stay finite.
-    """
-    rates = [-math.log(1 - a) for a in alphas]
-    before = math.ceil(41.5 / min(rates)) + 1
-    rows = math.floor(640 / max(rates)) - before
-    if rows < before:
-        raise ValueError(f"alphas {alphas} differ too much for one pass; use one pass each")
-    return before, rows
-
-
-def add_ewm(
-    df: DataFrame,
-    fr: Frames,
-    out: str,
-    x: str | Column,
-    alpha: float,
-    seed: str = "first",
-    seed_rows: int = 0,
-) -> DataFrame:
-    """Exponential mean s = (1-alpha) s' + alpha x inside a ``framed`` build.
-
-    seed ``first``  starts at the first value (pandas adjust=False),
-    seed ``adjust`` divides by the sum of weights (pandas adjust=True),
-    seed ``sma``    starts at row ``seed_rows`` with the plain mean up to it.
-    Leading nulls are skipped; nulls must not occur later. The running sum of
-    x * d^-pos over the block times d^pos costs one addition per row, where a
-    sliding frame would visit the whole reach again for every row.
-    """
-    d = 1.0 - alpha
-    x = col(x)
-    tmp = f"_{out}_"
-    df = df.withColumns({f"{tmp}x": x, f"{tmp}k": F.count(x).over(fr.upto)})
-    v, k = F.col(f"{tmp}x"), F.col(f"{tmp}k")
-    up = F.pow(F.lit(1.0 / d), F.col(POS))
-    down = F.pow(F.lit(d), F.col(POS))
-    if seed == "adjust":
-        value = F.sum(v * up).over(fr.upto) / F.sum(F.when(v.isNotNull(), up)).over(fr.upto)
-        return df.withColumn(out, value).drop(f"{tmp}x", f"{tmp}k")
-    if seed == "first":
-        term = F.when(k == 1, v).otherwise(v * alpha)
-        ready = k >= 1
-        head = term
-    else:
-        # the seed applies at the true start of the key only; later blocks start
-        # far enough back that their own start no longer shows
-        df = df.withColumn(f"{tmp}m", F.avg(v).over(fr.upto))
-        at_start = F.col(BLOCK) == 0
-        head = (
-            F.when(at_start & (k < seed_rows), None)
-            .when(at_start & (k == seed_rows), F.col(f"{tmp}m"))
-            .otherwise(v * alpha)
-        )
-        ready = ~at_start | (k >= seed_rows)
-    df = df.withColumn(out, F.when(ready & v.isNotNull(), F.sum(head * up).over(fr.upto) * down))
-    return df.drop(f"{tmp}x", f"{tmp}k", f"{tmp}m")
-
-
 def islands(
     df: DataFrame,
     state: str | Column,

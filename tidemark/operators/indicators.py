@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import EPS, div
-from tidemark.operators.frames import CHUNK, Frames, add_ewm, ewm_reach, framed, prefix
+from tidemark.operators.frames import CHUNK, Frames, framed, prefix
+from tidemark.operators.scans import Mean, exponential_means
 
 KEYS = ("symbol",)
 
@@ -40,22 +41,17 @@ def rsi(df: DataFrame, n: int = 14, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def rsi_wilder(df: DataFrame, n: int = 14, seed: str = "sma", keys: Sequence[str] = KEYS) -> DataFrame:
     """RSI with Wilder smoothing, seeded by the first n-row mean or by the first value."""
-    reach, rows = ewm_reach(1.0 / n)
 
     def build(d, fr):
         d = d.withColumn("_d", F.col("close") - fr.lag("close"))
-        d = d.withColumns(
-            {
-                "_g": F.when(F.col("_d").isNotNull(), F.greatest("_d", F.lit(0.0))),
-                "_l": F.when(F.col("_d").isNotNull(), F.greatest(-F.col("_d"), F.lit(0.0))),
-            }
-        )
-        d = add_ewm(d, fr, "_ag", "_g", 1.0 / n, seed, n)
-        d = add_ewm(d, fr, "_al", "_l", 1.0 / n, seed, n)
-        value = F.lit(100.0) * F.col("_ag") / _nz(F.col("_ag") + F.col("_al"))
-        return d.withColumn("rsi", value).drop("_d", "_g", "_l", "_ag", "_al")
+        gain = F.when(F.col("_d").isNotNull(), F.greatest("_d", F.lit(0.0)))
+        loss = F.when(F.col("_d").isNotNull(), F.greatest(-F.col("_d"), F.lit(0.0)))
+        return d.withColumns({"_g": gain, "_l": loss})
 
-    return framed(df, build, before=reach + 1, keys=keys, block_rows=rows - 1)
+    d = framed(df, build, before=1, keys=keys)
+    d = exponential_means(d, {"_ag": Mean("_g", 1.0 / n, seed, n), "_al": Mean("_l", 1.0 / n, seed, n)}, keys)
+    value = F.lit(100.0) * F.col("_ag") / _nz(F.col("_ag") + F.col("_al"))
+    return d.withColumn("rsi", value).drop("_d", "_g", "_l", "_ag", "_al")
 
 
 def moving_averages(df: DataFrame, periods: Sequence[int] = (5, 20, 50), keys: Sequence[str] = KEYS) -> DataFrame:
@@ -75,10 +71,7 @@ def moving_averages(df: DataFrame, periods: Sequence[int] = (5, 20, 50), keys: S
 
 def ema(df: DataFrame, span: int, x: str = "close", out: str = "ema", adjust: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
     """Exponential mean with alpha = 2 / (span + 1)."""
-    alpha = 2.0 / (span + 1)
-    reach, rows = ewm_reach(alpha)
-    seed = "adjust" if adjust else "first"
-    return framed(df, lambda d, fr: add_ewm(d, fr, out, x, alpha, seed), before=reach, keys=keys, block_rows=rows)
+    return exponential_means(df, {out: Mean(x, 2.0 / (span + 1), "adjust" if adjust else "first")}, keys)
 
 
 def bollinger_columns(d: DataFrame, fr: Frames, n: int = 20, k: float = 2.0, population: bool = False) -> DataFrame:
@@ -104,19 +97,16 @@ def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, population: bool = Fal
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keys: Sequence[str] = KEYS) -> DataFrame:
     """Difference of two exponential means, its own exponential mean, histogram and crossing flag."""
     alphas = [2.0 / (n + 1) for n in (fast, slow, signal)]
-    reach, rows = ewm_reach(*alphas)
-    total = reach + ewm_reach(alphas[2])[0] + 1
+    d = exponential_means(df, {"_f": Mean("close", alphas[0]), "_s": Mean("close", alphas[1])}, keys)
+    d = exponential_means(d.withColumn("macd", F.col("_f") - F.col("_s")), {"signal": Mean("macd", alphas[2])}, keys)
 
     def build(d, fr):
-        d = add_ewm(add_ewm(d, fr, "_f", "close", alphas[0]), fr, "_s", "close", alphas[1])
-        d = d.withColumn("macd", F.col("_f") - F.col("_s"))
-        d = add_ewm(d, fr, "signal", "macd", alphas[2])
         d = d.withColumn("hist", F.col("macd") - F.col("signal"))
         before = fr.lag("hist")
         cross = F.when((F.col("hist") > 0) & (before <= 0), 1).when((F.col("hist") < 0) & (before >= 0), -1)
-        return d.withColumn("cross", F.coalesce(cross, F.lit(0))).drop("_f", "_s")
+        return d.withColumn("cross", F.coalesce(cross, F.lit(0)))
 
-    return framed(df, build, before=total, keys=keys, block_rows=reach + rows - total)
+    return framed(d.drop("_f", "_s"), build, before=1, keys=keys)
 
 
 def stochastic(df: DataFrame, n: int = 14, smooth: int = 3, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -171,31 +161,26 @@ def atr(df: DataFrame, n: int = 14, keys: Sequence[str] = KEYS) -> DataFrame:
 def adx(df: DataFrame, n: int = 14, keys: Sequence[str] = KEYS) -> DataFrame:
     """+DI, -DI and ADX with Wilder smoothing started at the first value."""
     alpha = 1.0 / n
-    reach, rows = ewm_reach(alpha)
 
     def build(d, fr):
         up = F.col("high") - fr.lag("high")
         down = fr.lag("low") - F.col("low")
         d = d.withColumns({"_up": up, "_dn": down, "_tr": true_range(fr)})
         some = F.col("_up").isNotNull()
-        d = d.withColumns(
+        return d.withColumns(
             {
                 "_pdm": F.when(some, F.when((F.col("_up") > F.col("_dn")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0)),
                 "_mdm": F.when(some, F.when((F.col("_dn") > F.col("_up")) & (F.col("_dn") > 0), F.col("_dn")).otherwise(0.0)),
                 "_tr": F.when(some, F.col("_tr")),
             }
         )
-        for name in ("_pdm", "_mdm", "_tr"):
-            d = add_ewm(d, fr, f"{name}s", name, alpha)
-        d = d.withColumns(
-            {"plus_di": div(F.col("_pdms") * 100, "_trs"), "minus_di": div(F.col("_mdms") * 100, "_trs")}
-        )
-        dx = F.abs(F.col("plus_di") - F.col("minus_di")) * 100 / _nz(F.col("plus_di") + F.col("minus_di"))
-        d = d.withColumn("_dx", F.when(some, F.coalesce(dx, F.lit(0.0))))
-        d = add_ewm(d, fr, "adx", "_dx", alpha)
-        return d.drop("_up", "_dn", "_tr", "_pdm", "_mdm", "_pdms", "_mdms", "_trs", "_dx")
 
-    return framed(df, build, before=2 * reach + 1, keys=keys, block_rows=rows - reach - 1)
+    d = exponential_means(framed(df, build, before=1, keys=keys), {f"{x}s": Mean(x, alpha) for x in ("_pdm", "_mdm", "_tr")}, keys)
+    d = d.withColumns({"plus_di": div(F.col("_pdms") * 100, "_trs"), "minus_di": div(F.col("_mdms") * 100, "_trs")})
+    dx = F.abs(F.col("plus_di") - F.col("minus_di")) * 100 / _nz(F.col("plus_di") + F.col("minus_di"))
+    d = d.withColumn("_dx", F.when(F.col("_up").isNotNull(), F.coalesce(dx, F.lit(0.0))))
+    d = exponential_means(d, {"adx": Mean("_dx", alpha)}, keys)
+    return d.drop("_up", "_dn", "_tr", "_pdm", "_mdm", "_pdms", "_mdms", "_trs", "_dx")
 
 
 def ichimoku(df: DataFrame, a: int = 9, b: int = 26, c: int = 52, keys: Sequence[str] = KEYS) -> DataFrame:

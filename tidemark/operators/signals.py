@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.candles import weighted_conditions
 from tidemark.functions.core import div, ladder
-from tidemark.operators.frames import add_ewm, ewm_reach, framed
+from tidemark.operators.frames import framed
+from tidemark.operators.scans import Mean, exponential_means
 from tidemark.operators.indicators import bollinger_columns, rsi_columns
 
 KEYS = ("symbol",)
@@ -77,15 +78,12 @@ def layered_signals(
 
     A row is a signal when all layers pass and the mean score reaches ``min_score``.
     """
-    alpha = 2.0 / (trend_span + 1)
-    reach, rows = ewm_reach(alpha)
-    before = reach + 30
+    df = exponential_means(df, {"_ema": Mean("close", 2.0 / (trend_span + 1), "adjust")}, keys)
     centre = sum(rsi_range) / 2
     half = (rsi_range[1] - rsi_range[0]) / 2
 
     def build(d, fr):
         d = signal_inputs(d, fr)
-        d = add_ewm(d, fr, "_ema", "close", alpha, "adjust")
         red = F.sum(F.when(F.col("close") < F.col("open"), 1).otherwise(0)).over(fr.back(max_red + 1))
         d = d.withColumns(
             {
@@ -98,7 +96,7 @@ def layered_signals(
         )
         return d.withColumn("_c0", fr.lag("_c1"))
 
-    d = framed(df, build, before=before, keys=keys, block_rows=reach + rows - before)
+    d = framed(df, build, before=30, keys=keys)
     zero = F.lit(0.0)
     t, m = F.col("_trend"), (F.col("_m3") + F.col("_m5")) / 2
     v, b = F.col("volume_ratio"), F.col("bb_pct")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
-ORACLE: dict[str, str] = {}
+TEXTS: dict[str, str] = {}  # SQL as registered, without the parts it names
 
 # Named parts the SQL texts share; a part may use the parts listed before it.
 _ts = "epoch(ts)::BIGINT"
@@ -143,7 +143,12 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = same_results(full_sql(sql))
+            TEXTS[name] = sql
         return fn
 
     return add
+
+
+def oracle() -> dict[str, str]:
+    """SQL of all registered queries. Parts are put in here, when all modules that define some are loaded."""
+    return {name: same_results(full_sql(text)) for name, text in TEXTS.items()}

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import indicators as I
 from tidemark.operators import rolling as W
-from tidemark.operators.frames import CHUNK, add_ewm, ewm_reach, framed
+from tidemark.operators.frames import CHUNK, framed
+from tidemark.operators.scans import Mean, exponential_means
 from tidemark.operators.joins import with_market_returns
 from tidemark.operators.series import with_returns
 from tidemark.plans.registry import query
@@ -208,13 +209,8 @@ def _(spark, sf):
           / list_sum(list_transform(xs, lambda x, k: pow(0.9::DOUBLE, i-k))),6) AS ewm_adjusted FROM e""",
 )
 def _(spark, sf):
-    before, rows = ewm_reach(0.1)
-
-    def build(d, fr):
-        d = add_ewm(d, fr, "ewm", "close", 0.1)
-        return add_ewm(d, fr, "ewm_adjusted", "close", 0.1, seed="adjust")
-
-    return rounded(framed(b1(spark, sf), build, before=before, block_rows=rows).drop("close"))
+    d = exponential_means(b1(spark, sf), {"ewm": Mean("close", 0.1), "ewm_adjusted": Mean("close", 0.1, "adjust")})
+    return rounded(d.drop("close"))
 
 
 @query(
