@@ -57,7 +57,7 @@ def window_dedup(rows, width):
     return out
 
 
-def line_dedup(rows, min_chars=40):
+def line_dedup(rows, min_bytes=40):
     """{doc_id: (text, lines, removed)} by comparing all runs of lines; ids are unique."""
     docs = [(d, (t or "").split("\n")) for d, t in sorted(rows)]
     docs = [(d, ls, [i for i, x in enumerate(ls) if WORD.search(x)]) for d, ls in docs]
@@ -67,7 +67,7 @@ def line_dedup(rows, min_chars=40):
         for d, ls, real in docs:
             for p in range(len(real) - k + 1):
                 run = tuple(ls[i] for i in real[p : p + k])
-                if run in seen and (k > 1 or len(run[0]) >= min_chars):
+                if run in seen and (k > 1 or len(run[0].encode()) >= min_bytes):
                     gone[d].update(real[p : p + k])
                 seen.add(run)
     return {d: ("\n".join(x for i, x in enumerate(ls) if i not in gone[d]), len(real), len(gone[d])) for d, ls, real in docs}

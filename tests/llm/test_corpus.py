@@ -101,10 +101,12 @@ def test_windows_text_and_empty(spark):
 
 def test_lines_equal_brute_force(spark):
     rnd = random.Random(6)
-    rows = [(i, "\n".join(rnd.choice(["a", "b", "c", "", " ", "l" * 45, f"u{rnd.randrange(40)}"]) for _ in range(rnd.randint(0, 25)))) for i in range(60)]
+    lines = ["a", "b", "c", "", " ", "l" * 45, "é" * 19, "é" * 20, "日" * 13, "日" * 14, "ж" * 30]
+    rows = [(i, "\n".join(rnd.choice([*lines, f"u{rnd.randrange(40)}"]) for _ in range(rnd.randint(0, 25)))) for i in range(60)]
     rows += [(100 + i, rows[i][1]) for i in range(10)] + [(200, None)]
-    got = {r.doc_id: (r.text or "", r.n_lines, r.n_removed) for r in without_later_copies(edges.frame(spark, rows)).collect()}
-    assert got == edges.line_dedup(rows)
+    for least in (40, 0):
+        got = {r.doc_id: (r.text or "", r.n_lines, r.n_removed) for r in without_later_copies(edges.frame(spark, rows), least).collect()}
+        assert got == edges.line_dedup(rows, least)
 
 
 def test_repeated_line_in_a_script_without_spaces(spark):

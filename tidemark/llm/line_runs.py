@@ -103,7 +103,9 @@ def without_later_copies(docs: DataFrame, min_bytes: int = 40) -> DataFrame:
 
     gone = F.flatten(F.transform(F.col("_runs"), places))
     both = both.withColumn("_real", real).withColumn("_gone", F.when(F.col("_runs").isNotNull(), gone))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    every = F.split("text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("_gone"))  # by hash, in order
+    kept = F.array_join(F.transform(left, lambda i: F.get(every, i)), "\n")
     size = F.coalesce(F.aggregate("_runs", F.lit(0).cast("bigint"), lambda t, r: t + r["hi"] - r["lo"] + 1), F.lit(0).cast("bigint"))
     out = both.withColumn("n_lines", F.size("_real").cast("bigint")).withColumn("n_removed", size)
     out = out.withColumn("n_runs", F.coalesce(F.size("_runs"), F.lit(0)).cast("bigint")).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))

@@ -59,7 +59,7 @@ s AS (SELECT doc_id, ls, places, unnest(range(1, len(places) + 1)) AS p FROM e),
 k AS (SELECT doc_id, ls, places, p, unnest(range(1, len(places) - p + 2)) AS k FROM s),
 w AS (SELECT doc_id, p, k, array_to_string(list_transform(places[p:p+k-1], lambda i: ls[i]), chr(10)) AS run, doc_id * 1000000 + p AS place FROM k),
 m AS (SELECT run, min(place) AS first_place FROM w GROUP BY run HAVING count(*) > 1),
-h AS (SELECT DISTINCT doc_id, p + unnest(range(0, k)) AS p FROM w JOIN m USING (run) WHERE place > first_place AND (k > 1 OR length(run) >= 40)),
+h AS (SELECT DISTINCT doc_id, p + unnest(range(0, k)) AS p FROM w JOIN m USING (run) WHERE place > first_place AND (k > 1 OR strlen(run) >= 40)),
 d AS (SELECT e.doc_id, list(places[h.p]) AS gone FROM e JOIN h USING (doc_id) GROUP BY e.doc_id)
 SELECT e.doc_id, len(places)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
   sha256(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT coalesce(list_contains(gone, i), false)), lambda i: ls[i]), chr(10))) AS kept_sha256
