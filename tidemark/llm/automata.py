@@ -3,7 +3,8 @@
 ``Automaton.of`` builds one automaton for several rules: Thompson fragments
 from the parsed expressions, subset construction over classes of equivalent
 bytes, then partition refinement. ``searching=True`` starts every rule anew at
-each byte, so that one pass finds where matches of any rule end.
+each byte, so that one pass finds where matches of any rule end. With
+``backward=True`` it reads from right to left, and so finds where matches begin.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from tidemark.llm.flat import mix
 class _Fragments:
     """Nondeterministic automaton: byte-set edges and empty edges."""
 
-    def __init__(self) -> None:
+    def __init__(self, backward: bool = False) -> None:
+        self.backward = backward
         self.edges: list[list[tuple[np.ndarray, int]]] = []
         self.empty: list[list[int]] = []
 
@@ -31,7 +33,7 @@ class _Fragments:
 
     def add(self, tree, at: int, flags: int = 0) -> int:
         """Append what ``tree`` accepts after state ``at``; gives the state behind it."""
-        for op, arg in tree:
+        for op, arg in reversed(list(tree)) if self.backward else tree:
             at = self._one(op, arg, at, flags)
         return at
 
@@ -101,8 +103,8 @@ class Automaton:
         self.resets = (table == 0).all(axis=0)[class_of]
 
     @classmethod
-    def of(cls, patterns: list[str], searching: bool) -> Automaton:
-        nfa = _Fragments()
+    def of(cls, patterns: list[str], searching: bool, backward: bool = False) -> Automaton:
+        nfa = _Fragments(backward)
         starts, ends = [], {}
         for k, pattern in enumerate(patterns):
             starts.append(at := nfa.state())

@@ -3,9 +3,10 @@
 The rules are compiled on the driver into one minimal deterministic automaton
 (a table of bounded size, broadcast). A task cuts its bytes into many lanes at
 bytes over which no match goes, and moves all lanes one byte per step: one pass
-over the bytes for all rules. Where a rule accepts, the stretch between two
-such bytes is walked with the rule's own anchored automaton for exact spans:
-leftmost, longest, not overlapping, per rule.
+over the bytes for all rules. Where a rule accepts, the rule's own automata go
+over the stretch between two such bytes: backward once, which marks the places
+where a match begins, and forward from those for exact spans: leftmost,
+longest, not overlapping, per rule.
 
 Null and empty texts have no spans. Repeated rows get a row each.
 """
@@ -56,6 +57,7 @@ class Scanner:
         self.rules = rules
         self.joint = Automaton.of([r.pattern for r in rules], searching=True)
         self.single = [_rows(Automaton.of([r.pattern], searching=False)) for r in rules]
+        self.backward = [_rows(Automaton.of([r.pattern], searching=True, backward=True)) for r in rules]
         self.joint_rows = _rows(self.joint)
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], int]:
@@ -112,23 +114,27 @@ class Scanner:
 
     def spans(self, text: bytes, rule: int) -> list[tuple[int, int]]:
         """Leftmost longest matches of a rule that don't overlap."""
+        back, begins, _ = self.backward[rule]
+        state, starts = 0, []
+        for i in range(len(text) - 1, -1, -1):
+            state = back[state][text[i]]
+            if begins[state]:
+                starts.append(i)
         rows, accepts, dead = self.single[rule]
         least, value_least = self.rules[rule].least, self.rules[rule].value_least
-        out, at, n = [], 0, len(text)
-        while at < n:
-            state, end = 0, 0
-            for i in range(at, n):
+        out, free = [], 0
+        for at in reversed(starts):
+            if at < free:
+                continue
+            state = 0
+            for i in range(at, len(text)):
                 state = rows[state][text[i]]
                 if state == dead:
                     break
                 if accepts[state]:
-                    end = i + 1
-            if end:
-                if end - at >= least and (not value_least or _value_length(text[at:end]) >= value_least):
-                    out.append((at, end))
-                at = end
-            else:
-                at += 1
+                    free = i + 1
+            if free - at >= least and (not value_least or _value_length(text[at:free]) >= value_least):
+                out.append((at, free))
         return out
 
 
