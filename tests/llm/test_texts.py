@@ -52,6 +52,32 @@ def test_token_counts_equal_the_library(spark):
         assert (size, n, over) == (len(text.encode()), want, want > 512), text[:80]
 
 
+def test_counts_of_long_words(spark):
+    """Long words go through kept states, whose number stays within its bound; short ones all at once."""
+    from tidemark.llm import token_counts as module
+
+    path, rnd = public_tokenizers.path("byte_bpe_50k.json"), random.Random(9)
+    library, counter = Tokenizer.from_file(path), module.WordCounter(module.Merges(path))
+    words = ["".join(rnd.choice("abcdeé日") for _ in range(rnd.randint(1, 70))) for _ in range(300)] + ["a" * 1_000_000, "xyz" * 50_000]
+    want = [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    raw = [w.encode() for w in words]
+    assert counter.count_all(raw[:300]).tolist() == want[:300]
+    assert [counter.count(w) for w in raw] == want and len(counter.opened) < 40_000
+    module.STATES_KEPT, kept = 50, module.STATES_KEPT  # forgets inside a word
+    counter._forget()
+    try:
+        assert [counter.count(w) for w in raw[:40]] == want[:40]
+        assert counter.count(raw[-1]) == want[-1] and len(counter.opened) < 60
+    finally:
+        module.STATES_KEPT = kept
+
+
+def test_many_special_strings(spark):
+    path, text = public_tokenizers.path("word_bpe_49k.json"), "<|endoftext|>" * 80_000
+    (row,) = encode_decode(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), path).collect()
+    assert row.n_tokens == 80_000 and row.decoded_sha256 == edges.sha(Tokenizer.from_file(path).decode([49407] * 80_000, skip_special_tokens=False))
+
+
 def test_rules_equal_brute_force(spark):
     rnd = random.Random(5)
     rows = rows_with(["\n".join(" ".join(rnd.choice("ab#") for _ in range(rnd.randint(0, 12))) for _ in range(rnd.randint(0, 9))) for _ in range(200)])
@@ -85,6 +111,15 @@ def test_secrets_equal_regular_expressions(spark):
         assert got == (*(sum(f[2] == k for f in found) for k in ("assign", "access", "hex")), edges.sha(join(found)), join(tell(base + extra, text)))
 
 
+def test_many_possible_starts(spark):
+    """After one match each ``eyJ`` could begin another one but doesn't: linear all the same."""
+    text = "eyJa.eyJb.c " + "eyJ" * 350_000
+    (row,) = secret_scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert row.spans == "jwt:0:11"
+    (row,) = secret_scan(spark.createDataFrame([(1, text.replace(" ", "-") + " " + "eyJa.eyJb.c." * 20_000)], "doc_id bigint, text string")).collect()
+    assert row.n_spans == 1 + 10_000 * 2
+
+
 def test_chats_come_back(spark):
     said = ["</s>[INST] ok [/INST]", "\\<\\[", "a\nb", "", None, "<image 0>", "<<SYS>>\n", "\\", " é>>\n"]
     rows = [(c, t, ["user", "assistant", "system", "to<ol>", None][(c + t) % 5], said[(3 * c + t) % 9], 1, b"") for c in range(20) for t in range(7)]

@@ -67,6 +67,14 @@ class Points:
     def text(self, start: int, end: int) -> str:
         return self.cp[start:end].tobytes().decode("utf-32-le")
 
+    def encoded(self, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """UTF-8 bytes of stretches."""
+        parts, upto = gather(self.cp, starts, ends - starts)
+        size = 1 + (parts >= 0x80) + (parts >= 0x800) + (parts >= 0x10000)
+        at = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], upto))].tolist()
+        raw = parts.tobytes().decode("utf-32-le").encode("utf-8")
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
 
 def point_blocks(texts: pa.Array, specials: tuple[str, ...], normal=None, size: int = 1 << 20):
     """(first row, end row, Points) of blocks of whole texts.
@@ -98,16 +106,14 @@ def point_blocks(texts: pa.Array, specials: tuple[str, ...], normal=None, size:
 
 
 def _split(text: str, specials: tuple[str, ...]):
-    """Parts of a text in order, and whether each is a special string."""
-    at = 0
-    while True:
-        found = min(((k, s) for s in specials if (k := text.find(s, at)) >= 0), default=None)
-        if found is None:
-            break
+    """Parts of a text in order, and whether each is a special string; of each string its next place is remembered."""
+    at, places = 0, {s: text.find(s) for s in specials}
+    while found := min(((k, s) for s, k in places.items() if k >= 0), default=None):
         if found[0] > at:
             yield text[at : found[0]], False
         yield found[1], True
         at = found[0] + len(found[1])
+        places |= {s: text.find(s, at) for s, k in places.items() if 0 <= k < at}
     if at < len(text):
         yield text[at:], False
 
