@@ -15,17 +15,18 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.flat import over_texts
+from tidemark.llm.flat import U64, over_texts
 from tidemark.llm.pieces import NUMBER, OTHER, SPACE, Merges, OffsetTable, Points, gather, point_blocks
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-REMEMBER = 120_000
+REMEMBER = 1_000_000
 
 
 def normal(text: str, whole: bool) -> str | None:
@@ -120,38 +121,42 @@ class Encoder:
         return out
 
     def _forget(self) -> None:
-        self.seen = {-1 - k: k for k in range(len(self.merges.specials))}  # by hash of the word
-        self.flat = list(self.merges.specials.values())
-        self.begin, self.count = list(range(len(self.flat))), [1] * len(self.flat)
+        self.keys, self.flat = np.zeros(0, U64), np.array(list(self.merges.specials.values()), np.int32)
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        ids = [self.encode_word(w) for w in words]
+        count = np.fromiter(map(len, ids), np.int32, len(ids))
+        begin = len(self.flat) + np.cumsum(count) - count
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))))
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.count = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
 
     def tokens(self, points: Points) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts of a block; for each word its text and the number of its ids."""
         starts, ends = words(points)
         rows = points.rows[np.searchsorted(points.cuts[1:], starts, "right")]
         inside = points.kind != SPACE
-        unique, first, inverse = np.unique(points.hashes(starts, ends, inside), return_index=True, return_inverse=True)
-        if len(self.seen) > REMEMBER:
+        keys, first, inverse = np.unique(points.hashes(starts, ends, inside), return_index=True, return_inverse=True)
+        if len(self.keys) > REMEMBER:
             self._forget()
-        slots = np.empty(len(unique), np.int64)
-        for k, (h, f) in enumerate(zip(unique.tolist(), first.tolist())):
-            slot = self.seen.get(h)
-            if slot is None:
-                ids = self.encode_word(points.text(starts[f], ends[f]))
-                slot = self.seen[h] = len(self.begin)
-                self.begin.append(len(self.flat))
-                self.count.append(len(ids))
-                self.flat += ids
-            slots[k] = slot
-        slots = slots[inverse]
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        known = at < len(self.keys)
+        new[known] = self.keys[at[known]] != keys[known]
+        if new.any():
+            self._learn(keys[new], [points.text(starts[f], ends[f]) for f in first[new].tolist()])
+            at = np.searchsorted(self.keys, keys)
+        begin, count = self.begin[at][inverse], self.count[at][inverse].astype(np.int64)
         if points.marks:
-            names = list(self.merges.specials)
+            names = {name: k for k, name in enumerate(self.merges.specials)}  # the first ids in ``flat``
             where = np.concatenate((starts, [p - 0.5 for p, _, _ in points.marks]))
             order = np.lexsort((where, np.concatenate((rows, [r for _, r, _ in points.marks]))))
-            slots = np.concatenate((slots, [names.index(s) for _, _, s in points.marks]))[order]
+            begin = np.concatenate((begin, [names[s] for _, _, s in points.marks]))[order]
+            count = np.concatenate((count, np.ones(len(points.marks), np.int64)))[order]
             rows = np.concatenate((rows, [r for _, r, _ in points.marks]))[order]
-        begin, count, flat = np.array(self.begin), np.array(self.count), np.array(self.flat, np.int32)
-        ids, _ = gather(flat, begin[slots], count[slots])
-        return ids, rows, count[slots]
+        ids, _ = gather(self.flat, begin, count)
+        return ids, rows, count
 
     def decode(self, ids: np.ndarray) -> str:
         data, _ = self.shown.gather(ids)
