@@ -223,3 +223,37 @@ def test_pipeline_stages_on_edges(spark, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             assert out.count() <= len(rows)
             assert name == "bpe_encoding" or out.columns == corpus_pipeline.COLUMNS
+
+
+def test_pairs_asked_of_the_index():
+    """2,000 items of 30 words: only pairs that share a shingle are compared, in bounded memory."""
+    import numpy as np
+
+    from tidemark.llm.decontaminate import Bench
+
+    rnd = random.Random(12)
+    items = [" ".join(words(rnd, 30, 20_000)) for _ in range(2000)]
+    texts = [" ".join(words(rnd, 3000, 20_000) + items[k].split(" ") + words(rnd, 40, 20_000)) for k in range(0, 60, 4)]
+    bench = Bench(list(range(2000)), items, Leak())
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+    found = bench.matches(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    assert [(row, item) for row, item, *_ in found] == [(k, 4 * k) for k in range(15)] and all(f[2] == 1 for f in found)
+    sharing = 0
+    for text in texts:
+        w = text.split(" ")
+        sets = [{tuple(w[j : j + 5]) for j in range(i, i + 26)} for i in range(len(w) - 29)]
+        for item in items[: 60 : 4]:
+            v = item.split(" ")
+            own = {tuple(v[j : j + 5]) for j in range(26)}
+            sharing += sum(not own.isdisjoint(s) for s in sets)
+    assert sharing <= bench.compared <= sharing + 50
+
+
+def test_slices_one_after_the_other(spark):
+    rnd = random.Random(13)
+    items = [(k, " ".join(words(rnd, 20))) for k in range(9)]
+    rows = [(k, " ".join(words(rnd, 15) + items[k % 9][1].split(" ") + words(rnd, 5))) for k in range(30)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = leaks(edges.frame(spark, rows), bench, Leak(slice_items=4))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(k, k % 9) for k in range(30)]

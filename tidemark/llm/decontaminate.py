@@ -11,10 +11,11 @@ similarity of the shingle multisets: shared weight / joint weight. A text with
 fewer words than the item has no such window and is compared as a whole, if it has
 enough shingles to reach the threshold.
 
-A window without any shingle of an item has similarity 0; windows are
-fingerprinted only where a shingle of some item is within. The benchmark goes
-to the tasks in slices of at most ``slice_items`` items and ``slice_words`` words
-(longer benchmarks take more passes), which bounds what is broadcast.
+A window without any shingle of an item has similarity 0, so the index is asked
+only for the items that share a shingle with a window, and windows without such
+an item are not fingerprinted. The benchmark goes to the tasks in slices of at
+most ``slice_items`` items and ``slice_words`` words (longer benchmarks take more
+passes, one after the other), which bounds what is broadcast.
 
 Items shorter than five words are one shingle. Empty or null items and texts
 match nothing. Null ids take no part. Equal items each get their rows; repeated
@@ -32,9 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.flat import U64, _BYTE, blocks, covered, factors, mix, over_texts, run_hashes, runs
+from tidemark.llm.pieces import gather
+from tidemark.session import settle
 
 MATCHES = "doc_id bigint, item_id bigint, similarity double, start_word bigint, n_words bigint, distance int"
 BITS, BLOCKS = 64, 8
+PAIRS, SUMS = 1_000_000, 100_000  # window-item pairs and shingle sums held at once
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
@@ -92,9 +96,33 @@ def run_prints(h: np.ndarray, begin: np.ndarray, size: np.ndarray | int) -> np.n
     return fingerprints(sums[low + size] - sums[low])
 
 
-def parts(begin: np.ndarray, n: int) -> list[np.ndarray]:
-    """``begin`` in pieces of about ``n`` values."""
-    return np.array_split(begin, -(-len(begin) // n)) if len(begin) else []
+def parts(begin: np.ndarray, size: np.ndarray, most: int = SUMS) -> list[np.ndarray]:
+    """Ascending ``begin`` in stretches whose runs cover about ``most`` shingles at most."""
+    if not len(begin):
+        return []
+    gaps = np.diff(begin, append=begin[-1] + size[-1])
+    covers = np.cumsum(np.minimum(gaps, size)) // most
+    return np.split(np.arange(len(begin)), np.flatnonzero(np.diff(covers)) + 1)
+
+
+class Postings:
+    """Items by shingle."""
+
+    def __init__(self, sets: list[Counter]):
+        h = np.concatenate([np.fromiter(s, U64, len(s)) for s in sets])
+        item = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.lexsort((item, h))
+        self.keys, self.starts = np.unique(h[order], return_index=True)
+        self.items, self.ends = item[order], np.append(self.starts[1:], len(order))
+
+    def found(self, h: np.ndarray):
+        """(places in ``h``, items) that share a shingle, in pieces of about ``PAIRS`` pairs."""
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        place = np.flatnonzero(self.keys[at] == h)
+        start, count = self.starts[at[place]], (self.ends - self.starts)[at[place]]
+        cut = np.flatnonzero(np.diff(np.cumsum(count) // PAIRS)) + 1 if len(place) else []
+        for p, s, c in zip(*(np.split(x, cut) for x in (place, start, count))):
+            yield np.repeat(p, c), gather(self.items, s, c)[0]
 
 
 class Bench:
@@ -117,7 +145,8 @@ class Bench:
                 self.lengths.setdefault(int(size[item]), []).append(int(item))
                 known.setdefault(k, []).append(own)
         self.known = {k: np.unique(np.concatenate(h)) for k, h in known.items()}
-        self.prints, self.index = {}, {}
+        self.prints, self.index, self.compared = {}, {}, 0
+        self.posts = {n: Postings([self.sets[i] for i in items]) for n, items in self.lengths.items()}
         apart = POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)]
         for n, items in self.lengths.items():
             own = [np.array(list(self.sets[i].elements()), U64) for i in items]
@@ -140,41 +169,60 @@ class Bench:
             hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
             if not hit.any():
                 continue
-            found = np.concatenate(([0], np.cumsum(hit)))
             rows = words.rows[at]
             touched = np.isin(rows, rows[hit])  # shingles of rows with a hit
-            first = np.flatnonzero(touched & np.append(True, rows[1:] != rows[:-1]))  # of each of these rows
-            size = np.searchsorted(rows, rows[first], "right") - first
-            for n, items in self.lengths.items():
+            first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            size = np.diff(np.append(first, len(rows)))
+            number = np.cumsum(np.append(True, rows[1:] != rows[:-1])) - 1  # of the row among those with shingles
+            for n in self.lengths:
                 span = n - k + 1  # shingles in a window of n words
                 if min(self.leak.words, n) != k:
                     continue
-                if len(h) >= span:
-                    begin = np.flatnonzero(touched[: len(h) - span + 1] & (rows[: len(h) - span + 1] == rows[span - 1 :]) & (found[span:] > found[:-span]))
-                    for part in parts(begin, 50_000):
-                        self._compare(part, np.full(len(part), span), run_prints(h, part, span), n, items, at, h, rows, words, best)
-                short = np.flatnonzero((size < span) & (size / span >= self.leak.least))
-                for part in parts(short, max(1, 50_000 // span)):
-                    self._compare(first[part], size[part], run_prints(h, first[part], size[part]), n, items, at, h, rows, words, best)
+                for place, item in self.posts[n].found(np.where(touched, h, U64(0))):
+                    row = number[place]
+                    short = (size[row] < span) & (size[row] / span >= self.leak.least)
+                    whole = np.unique(np.stack((row[short], item[short])), axis=1) if short.any() else np.zeros((2, 0), np.int64)
+                    self._compare(first[whole[0]], size[whole[0]], whole[1], n, at, h, rows, words, best)
+                    self._windows(place, item, first[row], first[row] + size[row], span, n, at, h, rows, words, best)
         return [(row, item, *value) for (row, item), value in sorted(best.items())]
 
-    def _compare(self, begin, size, prints, n, items, at, h, rows, words, best) -> None:
-        span = n - min(self.leak.words, n) + 1
-        maybe = np.zeros((len(begin), len(items)), bool)
+    def _windows(self, place, item, lo, hi, span, n, *rest) -> None:
+        """Windows of ``span`` shingles inside lo..hi over each place, each once for an item."""
+        order = np.lexsort((place, item))
+        place, item, lo, hi = (x[order] for x in (place, item, lo, hi))
+        before = np.where(np.diff(item, prepend=-1) == 0, np.concatenate(([0], place[:-1])), -1)
+        begin = np.maximum(np.maximum(place - span + 1, before + 1), lo)
+        count = np.maximum(np.minimum(place, hi - span) - begin + 1, 0)
+        cuts = np.flatnonzero(np.diff(np.cumsum(count) // PAIRS)) + 1 if len(count) else []
+        for b, c, i in zip(*(np.split(x, cuts) for x in (begin, count, item))):
+            ends = np.cumsum(c)
+            if len(ends) and ends[-1]:
+                window = np.arange(ends[-1]) + np.repeat(b - ends + c, c)
+                self._compare(window, np.full(len(window), span), np.repeat(i, c), n, *rest)
+
+    def _compare(self, begin, size, item, n, at, h, rows, words, best) -> None:
+        """Ask the index about pairs of window and item; verify those within the radius."""
+        span, items = n - min(self.leak.words, n) + 1, self.lengths[n]
+        self.compared += len(begin)
+        windows, first, pair = np.unique(begin, return_index=True, return_inverse=True)
+        prints = np.zeros((len(windows), BLOCKS), np.uint8)
+        for part in parts(windows, size[first]):
+            prints[part] = run_prints(h, windows[part], size[first][part])
+        maybe = np.zeros(len(begin), bool)
         for b in range(BLOCKS):
-            maybe |= self.index[n][b][prints[:, b]]
-        window, item = np.nonzero(maybe)
-        distance = POPCOUNT[prints[window] ^ self.prints[n][item]].sum(axis=1)
-        within = distance <= np.where(size[window] < span, self.radius(n, True), self.radius(n, False))
-        for w, i, d in zip(*(x[within].tolist() for x in (window, item, distance))):
-            own, first, here = self.sets[items[i]], int(begin[w]), int(size[w])
-            shared = sum((own & Counter(h[first : first + here].tolist())).values())
+            maybe |= self.index[n][b][prints[pair, b], item]
+        begin, size, item, pair = begin[maybe], size[maybe], item[maybe], pair[maybe]
+        distance = POPCOUNT[prints[pair] ^ self.prints[n][item]].sum(axis=1)
+        within = distance <= np.where(size < span, self.radius(n, True), self.radius(n, False))
+        for start, here, i, d in zip(*(x[within].tolist() for x in (begin, size, item, distance))):
+            own = self.sets[items[i]]
+            shared = sum((own & Counter(h[start : start + here].tolist())).values())
             similarity = shared / (here + span - shared)
             if similarity >= self.leak.least:
-                row = int(rows[first])
-                start = int(at[first] - np.searchsorted(words.rows, row))
-                value = (similarity, start, n - span + here, int(d))
-                if value[:1] > best.get((row, items[i]), (0.0,))[:1]:
+                row = int(rows[start])
+                value = (similarity, int(at[start] - np.searchsorted(words.rows, row)), n - span + here, int(d))
+                old = best.get((row, items[i]))
+                if old is None or (value[0], -value[1]) > (old[0], -old[1]):
                     best[row, items[i]] = value
 
 
@@ -192,19 +240,27 @@ def _slices(bench: DataFrame, leak: Leak) -> list[Bench]:
 def leaks(docs: DataFrame, bench: DataFrame, leak: Leak = Leak()) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words, distance): documents that hold a window like a benchmark item."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).where("doc_id is not null")
-    out = None
+    out, open_ = None, None
     for part in _slices(bench, leak):
-        found = over_texts(texts, MATCHES, _worker(texts, part))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+        if open_ is not None:  # more than one slice: run it and free its broadcast before the next one
+            out = _run(out, *open_)
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+        open_ = over_texts(texts, MATCHES, _worker(shared)), shared
+    if open_ is None:
         return docs.sparkSession.createDataFrame([], MATCHES)
+    out = open_[0] if out is None else _run(out, *open_)
     best = F.max(F.struct("similarity", -F.col("start_word"), "n_words", "distance")).alias("m")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.similarity", (-F.col("m.col2")).alias("start_word"), "m.n_words", "m.distance")
 
 
-def _worker(texts: DataFrame, part: Bench):
-    shared = texts.sparkSession.sparkContext.broadcast(part)
+def _run(out: DataFrame | None, found: DataFrame, shared) -> DataFrame:
+    """Written results of a slice added to those before; the slice is freed."""
+    found = settle(found)
+    shared.destroy()
+    return found if out is None else out.unionByName(found)
+
 
+def _worker(shared):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, found = batch.column("doc_id").to_numpy(), []
         for lo, _, data, offsets in blocks(batch.column("text")):
