@@ -111,6 +111,43 @@ def test_secrets_equal_regular_expressions(spark):
         assert got == (*(sum(f[2] == k for f in found) for k in ("assign", "access", "hex")), edges.sha(join(found)), join(tell(base + extra, text)))
 
 
+def brute_shares(text, limits):
+    """Shares of word characters in repeated lines, in the n-gram with most characters, in repeated n-grams; and the verdict."""
+    from collections import Counter as Bag
+
+    words, bags = edges.WORD.findall(text), {}
+    chars = max(1, sum(map(len, words)))
+    lines, dup = [x for x in text.split("\n") if edges.WORD.search(x)], 0
+    for k, x in enumerate(lines):
+        dup += sum(map(len, edges.WORD.findall(x))) if x in lines[:k] else 0
+    for n in {*limits.dup, *limits.top, limits.window}:
+        bags[n] = Bag(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+    inside = {n: {j for i in range(len(words) - n + 1) if bags[n][tuple(words[i : i + n])] > 1 for j in range(i, i + n)} for n in bags}
+    dups = {n: sum(len(words[j]) for j in inside[n]) / chars for n in limits.dup}
+    tops = {n: max((c * len("".join(g)) for g, c in bags[n].items() if c >= limits.top_times), default=0) / chars for n in limits.top}
+    bad = len(words) < limits.min_words or 100 * len(inside[limits.window]) > limits.repeat_percent * len(words)
+    bad |= dup / chars > limits.lines or any(dups[n] > m for n, m in limits.dup.items()) or any(tops[n] > m for n, m in limits.top.items())
+    return dup / chars, max(tops.values()), max(dups.values()), not bad
+
+
+def test_shares_equal_brute_force(spark):
+    from tidemark.llm.repetition import Limits
+
+    rnd = random.Random(15)
+    word = lambda k: rnd.choice(["é" * 3, "日本", "aa", "#", "x"]) if k % 3 else f"w{rnd.randrange(60)}"
+    texts = []
+    for k in range(150):
+        lines = [" ".join(word(k) for _ in range(rnd.randint(0, 14))) for _ in range(rnd.randint(1, 8))]
+        texts.append("\n".join(lines + rnd.choices(lines, k=rnd.randint(0, 3))))
+    got = quality_rules(edges.frame(spark, list(enumerate(texts))))
+    kept = 0
+    for text, (lines, top, dup, keep) in by_text(got, list(enumerate(texts)), ["dup_line_share", "top_gram_share", "dup_gram_share", "kept"]):
+        want = brute_shares(text, Limits())
+        assert np.allclose((lines, top, dup), want[:3], atol=1e-12) and keep == want[3], text
+        kept += keep
+    assert 5 < kept < 145
+
+
 def test_many_possible_starts(spark):
     """After one match each ``eyJ`` could begin another one but doesn't: linear all the same."""
     text = "eyJa.eyJb.c " + "eyJ" * 350_000

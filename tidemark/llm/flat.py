@@ -92,6 +92,21 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     return mix(np.add.reduceat(terms, starts - s0) ^ ((ends - starts).astype(U64) << U64(40)))
 
 
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    """At least ``n`` powers of an odd base modulo 2^64."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        steps = np.full(max(n, 1024), base, U64)
+        steps[0] = 1
+        have = _powers[base] = np.cumprod(steps, dtype=U64)
+    return have
+
+
 _BYTE = {seed: mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15 + 2 * seed)) | U64(1) for seed in range(4)}
 
 
@@ -106,7 +121,7 @@ class Words:
         inside = ~SPACE[data]
         self.starts, self.ends, self.rows = runs(inside, offsets)
         self.n_rows = len(offsets) - 1
-        self.hashes = []
+        self.hashes, self.sums = [], {}
         for seed in seeds:
             values = _BYTE[seed][data]
             values[~inside] = 0
@@ -122,12 +137,16 @@ class Words:
         m = len(self) - n + 1
         if m <= 0:
             return np.zeros(0, np.int64), np.zeros(0, U64)
-        h = self.hashes[seed]
-        total = np.zeros(m, U64)
-        for k, f in enumerate(factors(n, 50 + seed)[:n]):
-            total += h[k : k + m] * f
         at = np.flatnonzero(self.rows[:m] == self.rows[n - 1 :])
-        return at, mix(total[at])
+        upto = self.rolling(seed)
+        return at, mix((upto[at + n] - upto[at]) * powers(len(self), BACK)[at] + U64(n))
+
+    def rolling(self, seed: int) -> np.ndarray:
+        """Running sums of the words' hashes times rising powers of ``BASE``, modulo 2^64: two of them give the hash of any window."""
+        if seed not in self.sums:
+            terms = self.hashes[seed] * powers(len(self), BASE)[: len(self)]
+            self.sums[seed] = np.concatenate((np.zeros(1, U64), np.cumsum(terms, dtype=U64)))
+        return self.sums[seed]
 
 
 def row_sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:

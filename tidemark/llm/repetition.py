@@ -45,8 +45,8 @@ class Limits:
     lines: float = 0.40
 
 
-def _line_repeats(data: np.ndarray, offsets: np.ndarray, has_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per row: lines with a word equal to an earlier line of the row, and the bytes mask of such lines' rows."""
+def _line_repeats(data: np.ndarray, offsets: np.ndarray, has_word: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row: lines with a word equal to an earlier line of the row, and the characters of words in them."""
     inside = data != 10
     starts, ends, rows = runs(inside, offsets)
     values = _BYTE[2][data]
@@ -58,7 +58,7 @@ def _line_repeats(data: np.ndarray, offsets: np.ndarray, has_word: np.ndarray) -
     order = np.argsort(keys, kind="stable")
     later = order[1:][keys[order[1:]] == keys[order[:-1]]]
     n = len(offsets) - 1
-    return np.bincount(rows[later], minlength=n), np.bincount(rows[later], weights=ends[later] - starts[later], minlength=n)
+    return np.bincount(rows[later], minlength=n), np.bincount(rows[later], weights=letters[ends[later]] - letters[starts[later]], minlength=n)
 
 
 def _coverage(words: Words, chars: np.ndarray, n: int, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -91,7 +91,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, limits: Limits) -> dict[str,
     word_chars = letters[offsets[1:]] - letters[offsets[:-1]]
     chars = letters[words.ends] - letters[words.starts]
     n_words = words.counts
-    dup_lines, dup_line_bytes = _line_repeats(data, offsets, inside)
+    dup_lines, dup_line_chars = _line_repeats(data, offsets, inside, letters)
 
     keys = {}
     for n in {limits.window, *limits.dup, *limits.top}:
@@ -104,7 +104,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, limits: Limits) -> dict[str,
     some = np.maximum(word_chars, 1)
     dup = {n: _coverage(words, chars, n, *keys[n]) / some for n in limits.dup}
     top = {n: _top(words, chars, n, *keys[n], limits.top_times) / some for n in limits.top}
-    line_share = dup_line_bytes / np.maximum(offsets[1:] - offsets[:-1], 1)
+    line_share = dup_line_chars / some
     short = n_words < limits.min_words
     base_repeat = 100 * n_repeat > limits.repeat_percent * n_words
     reason = np.full(words.n_rows, "", object)
