@@ -27,7 +27,7 @@ def ewma_covariance(df: DataFrame, x: str, decay: float, ts: str = "ts") -> Data
     d = df.where(F.col(x).isNotNull())
     d = d.join(recency_weights(d, decay, ts), ts)
     m = pair_moments(d, x, [ts], weight=F.col("_weight"), diagonal=True)
-    cov = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("sw")) / (F.col("sw") - F.col("sw2") / F.col("sw"))
+    cov = F.col("mxy") / (F.col("sw") - F.col("sw2") / F.col("sw"))
     return m.select("a", "b", "n", cov.alias("cov"))
 
 

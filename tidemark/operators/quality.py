@@ -231,6 +231,30 @@ def anomalies(df: DataFrame, floor: float = 0.10, window: int = 20, z_limit: flo
     return run_detectors(b, {"spike": spike, "volume": volume, "gap": gap, "frozen": lambda d: frozen_rows(d, rows=frozen, keys=keys)}, [*keys, "ts"])
 
 
+def trailing_anomalies(
+    df: DataFrame, n: int = 100, floor: float = 0.10, window: int = 20, z_limit: float = 3.0, factor: float = 3.0, frozen: int = 5, min_rows: int = 20,
+    keys: Sequence[str] = ("name",), order: Sequence[str] = ("ts", "event_id"), chunk=None,
+) -> DataFrame:
+    """The four detectors on the last n rows of each key (``price``, ``volume``), row by row; twin of the keyed stream form.
+
+    One row per finding, ``detector`` 0 to 3: spike, volume, gap, frozen price.
+    """
+
+    def build(d, fr):
+        at = F.unix_micros(F.col(order[0]).cast("timestamp"))
+        d = d.withColumns({"_ret": F.abs(fr.pct("price")), "_gap": (at - F.lag(at).over(fr.seq)) / 1e6, "_same": (F.col("price") == fr.lag("price")).cast("int")})
+        spread = fr.std("volume", window)
+        spike = (F.col("_rn") >= min_rows) & (F.col("_ret") > F.greatest(F.percentile("_ret", F.lit(0.99)).over(fr.back(n)), F.lit(floor)))
+        odd = F.abs((F.col("volume") - fr.mean("volume", window)) / F.when(spread > 0, spread)) > z_limit
+        hole = (F.col("_rn") >= frozen) & (F.col("_gap") > F.percentile("_gap", F.lit(0.5)).over(fr.back(n)) * factor)
+        still = F.sum("_same").over(fr.back(frozen)) >= frozen
+        hits = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate((spike, odd, hole, still))]))
+        return d.withColumn("_hits", hits).drop("_ret", "_gap", "_same")
+
+    d = framed(df, build, before=n + 1, keys=keys, order=order, chunk=chunk)
+    return d.select(*keys, *order, F.explode("_hits").alias("detector"))
+
+
 def quality_score(parts: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Weighted score of share columns (0..1) and a grade."""
     total = sum(weights.values())

@@ -18,7 +18,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,130 +46,132 @@ class Mean:
 
 
 class _Scan:
-    """Columns of one mean: its values (x, and for ``adjust`` the weights too) and the maps of its rows."""
+    """One mean: names of its columns, and its maps as SQL text (built once, where nested columns would be put together call by call).
+
+    Its values are x and, for ``adjust``, the weights too.
+    """
 
     def __init__(self, out: str, mean: Mean):
-        self.out, self.alpha, self.keep, self.sums = out, mean.alpha, 1.0 - mean.alpha, mean.seed == "adjust"
-        self.rate = -math.log(self.keep)
+        self.out, self.sums = out, mean.seed == "adjust"
+        self.alpha, self.keep = f"{mean.alpha!r}D", f"{1.0 - mean.alpha!r}D"
+        self.rate = -math.log(1.0 - mean.alpha) if mean.alpha < 1 else SPAN
         self.values = [f"_{out}_x", *([f"_{out}_w"] if self.sums else [])]
+        self.i1, self.il, self.a, self.j, self.c, self.step, self.into, self.maps = (f"_{out}_{p}" for p in ("i1", "il", "a", "j", "c", "step", "in", "maps"))
 
-    def name(self, part: str) -> str:
-        return f"_{self.out}_{part}"
-
-    def at(self, part: str) -> Column:
-        return F.col(self.name(part))
-
-    def old_weight(self, gap: Column) -> Column:
+    def old_weight(self, gap: str) -> str:
         """Weight of a state after ``gap`` rows; rows without a value decay it too."""
-        return F.when(gap == 1, F.lit(self.keep)).otherwise(F.pow(F.lit(self.keep), gap))
+        return f"(if({gap} = 1, {self.keep}, pow({self.keep}, {gap})))"
 
-    def shares(self, gap: Column) -> tuple[Column, Column]:
-        """(a, share): a value that comes ``gap`` rows after the last one moves s to a s + share x."""
+    def factor(self, gap: str) -> str:
+        """A value that comes ``gap`` rows after the last one moves s to factor s + share x."""
         old = self.old_weight(gap)
-        if self.sums:
-            return old, F.lit(1.0)
-        whole = old + self.alpha
-        return F.when(gap == 1, F.lit(self.keep)).otherwise(old / whole), F.when(gap == 1, F.lit(self.alpha)).otherwise(F.lit(self.alpha) / whole)
+        return old if self.sums else f"(if({gap} = 1, {self.keep}, {old} / ({old} + {self.alpha})))"
 
-    def enter(self, state: Column, gap: Column, x: Column) -> Column:
-        a, share = self.shares(gap)
-        return F.when(state.isNull(), x).otherwise(a * state + share * x)
+    def share(self, gap: str) -> str:
+        return "1D" if self.sums else f"(if({gap} = 1, {self.alpha}, {self.alpha} / ({self.old_weight(gap)} + {self.alpha})))"
 
-    def decay(self, gap: Column) -> Column:
+    def decay(self, gap: str) -> str:
         """Nats that a map takes off the state; never more than the rows it spans times the rate."""
-        if self.sums:
-            return gap * self.rate
-        return F.when(gap == 1, F.lit(self.rate)).otherwise(gap * self.rate + F.log(self.old_weight(gap) + self.alpha))
+        more = "" if self.sums else f" + if({gap} = 1, 0D, ln({self.old_weight(gap)} + {self.alpha}))"
+        return f"({gap} * {self.rate!r}D{more})"
 
-    def summary(self) -> list[str]:
-        return [self.name("i1"), self.name("il"), self.name("A"), *[f"{v}{p}" for v in self.values for p in "1B"]]
+    def enter(self, state: str, gap: str, x: str) -> str:
+        return f"if({state} is null, {x}, {self.factor(gap)} * {state} + {self.share(gap)} * {x})"
 
+    @property
+    def start(self) -> str:
+        return "named_struct(" + ", ".join(f"'{v}', cast(null as double)" for v in self.values) + ", 'gap', 0L)"
 
-def _scanned(d: DataFrame, scans: Sequence[_Scan], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Maps of all rows of a stretch from its first value on: value = ``_a`` first + ``_r``."""
-    rows = max(2, math.floor(SPAN / max(s.rate for s in scans)))
-    d = d.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(*order)) - 1)
-    d = d.withColumns({STRETCH: F.floor(F.col("_i") / rows), "_i": F.pmod("_i", F.lit(rows)) + 1})
-    seq = Window.partitionBy(*keys, CHUNK, STRETCH).orderBy("_i")
-    past, upto = seq.rowsBetween(Window.unboundedPreceding, -1), seq.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({s.name("j"): F.last(F.when(F.col(s.values[0]).isNotNull(), F.col("_i")), ignorenulls=True).over(past) for s in scans})
-    steps = {}
-    for s in scans:
-        here, gap = F.col(s.values[0]).isNotNull() & s.at("j").isNotNull(), (F.col("_i") - s.at("j")).cast("double")
-        steps |= {s.name("step"): F.when(here, s.decay(gap)), **{f"{v}b": F.when(here, F.col(v) * s.shares(gap)[1]) for v in s.values}}
-    d = d.withColumns(steps)
-    d = d.withColumns({s.name("c"): F.coalesce(F.sum(s.at("step")).over(upto), F.lit(0.0)) for s in scans})
-    maps = {s.name("a"): F.exp(-s.at("c")) for s in scans}
-    for s in scans:
-        up, down = F.exp(s.at("c") - SPAN / 2), F.exp(SPAN / 2 - s.at("c"))
-        maps |= {f"{v}r": F.coalesce(down * F.sum(F.col(f"{v}b") * up).over(upto), F.lit(0.0)) for v in s.values}
-    gone = [s.name(p) for s in scans for p in ("j", "step", "c")] + [f"{v}b" for s in scans for v in s.values]
-    return d.withColumns(maps).drop(*gone)
+    @property
+    def summary(self) -> str:
+        """A stretch: rows, places of its first and last value, map from the first value to the end, first values."""
+        names = ["_n", self.i1, self.il, self.a, *[f"{v}{p}" for v in self.values for p in "1B"]]
+        return "named_struct(" + ", ".join(f"'{c}', {c}" for c in names) + ")"
 
+    def composed(self, m: str, r: str) -> str:
+        """Two neighbouring summaries as one."""
+        gap, a = f"({m}._n - {m}.{self.il} + {r}.{self.i1})", f"{r}.{self.a}"
+        n = f"'_n', {m}._n + {r}._n"
+        firsts = lambda k: "".join(f", '{v}1', {k}.{v}1, '{v}B', {k}.{v}B" for v in self.values)
+        late = f"named_struct({n}, '{self.i1}', {m}._n + {r}.{self.i1}, '{self.il}', {m}._n + {r}.{self.il}, '{self.a}', {a}{firsts(r)})"
+        early = f"named_struct({n}, '{self.i1}', {m}.{self.i1}, '{self.il}', {m}.{self.il}, '{self.a}', {m}.{self.a}{firsts(m)})"
+        ends = "".join(f", '{v}1', {m}.{v}1, '{v}B', {a} * ({self.factor(gap)} * {m}.{v}B + {self.share(gap)} * {r}.{v}1) + {r}.{v}B" for v in self.values)
+        both = f"named_struct({n}, '{self.i1}', {m}.{self.i1}, '{self.il}', {m}._n + {r}.{self.il}, '{self.a}', {a} * {self.factor(gap)} * {m}.{self.a}{ends})"
+        return f"case when {m}.{self.i1} is null then {late} when {r}.{self.i1} is null then {early} else {both} end"
 
-def _summaries(d: DataFrame, scans: Sequence[_Scan], keys: Sequence[str]) -> DataFrame:
-    """One row per stretch: rows, and of each mean the places of the first and last value, the first values and the map to the end."""
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for s in scans:
-        place = F.when(F.col(s.values[0]).isNotNull(), F.col("_i"))
-        aggs += [F.min(place).alias(s.name("i1")), F.max(place).alias(s.name("il")), F.min(s.at("a")).alias(s.name("A"))]
-        for v in s.values:
-            aggs += [F.min_by(v, place).alias(f"{v}1"), F.max_by(f"{v}r", "_i").alias(f"{v}B")]
-    return d.groupBy(*keys, CHUNK, STRETCH).agg(*aggs)
+    def moved(self, state: str, r: str) -> str:
+        """State (values, rows since the last value) after a summary's rows."""
+        gap = f"({state}.gap + {r}.{self.i1})"
+        ends = ", ".join(f"'{v}', {r}.{self.a} * {self.enter(f'{state}.{v}', gap, f'{r}.{v}1')} + {r}.{v}B" for v in self.values)
+        same = ", ".join(f"'{v}', {state}.{v}" for v in self.values)
+        return f"if({r}.{self.i1} is null, named_struct({same}, 'gap', {state}.gap + {r}._n), named_struct({ends}, 'gap', {r}._n - {r}.{self.il}))"
 
+    def result(self) -> str:
+        gap = f"({self.into}.gap + {self.i1})"
+        parts = [f"if(_i >= {self.i1}, {self.a} * {self.enter(f'{self.into}.{v}', gap, f'{v}1')} + {v}r, {self.into}.{v})" for v in self.values]
+        return " / ".join(f"({p})" for p in parts)
 
-def _composed(s: _Scan):
-    """Two neighbouring summaries as one."""
 
-    def join(m: Column, r: Column) -> Column:
-        i1, il = s.name("i1"), s.name("il")
-        a, share = s.shares((m["_n"] - m[il] + r[i1]).cast("double"))
-        both = {"_n": m["_n"] + r["_n"], i1: m[i1], il: m["_n"] + r[il], s.name("A"): r[s.name("A")] * a * m[s.name("A")]}
-        for v in s.values:
-            both |= {f"{v}1": m[f"{v}1"], f"{v}B": r[s.name("A")] * (a * m[f"{v}B"] + share * r[f"{v}1"]) + r[f"{v}B"]}
-        late = {k: r[k] for k in both} | {"_n": m["_n"] + r["_n"], i1: m["_n"] + r[i1], il: m["_n"] + r[il]}
-        early = {k: m[k] for k in both} | {"_n": m["_n"] + r["_n"]}
-        pack = lambda x: F.struct(*[c.alias(k) for k, c in x.items()])
-        return F.when(m[i1].isNull(), pack(late)).when(r[i1].isNull(), pack(early)).otherwise(pack(both))
-
-    return join
+def _list(named: dict[str, str]) -> str:
+    return ", ".join(f"{text} as {k}" for k, text in named.items())
 
 
-def _moved(s: _Scan):
-    """State (values, rows since the last value) after a summary's rows."""
+def _own(keys: Sequence[str]) -> str:
+    return "".join(f"`{k}`, " for k in keys) + CHUNK
 
-    def move(state: Column, r: Column) -> Column:
-        gap = (state["gap"] + r[s.name("i1")]).cast("double")
-        moved = [(r[s.name("A")] * s.enter(state[v], gap, r[f"{v}1"]) + r[f"{v}B"]).alias(v) for v in s.values]
-        filled = F.struct(*moved, (r["_n"] - r[s.name("il")]).alias("gap"))
-        empty = F.struct(*[state[v].alias(v) for v in s.values], (state["gap"] + r["_n"]).alias("gap"))
-        return F.when(r[s.name("i1")].isNull(), empty).otherwise(filled)
 
-    return move
+def _scanned(d: DataFrame, scans: Sequence[_Scan], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Maps of all rows of a stretch from its first value on: value = a first + r."""
+    rows = max(2, math.floor(SPAN / max(s.rate for s in scans)))
+    seq = f"partition by {_own(keys)}, {STRETCH} order by _i rows between unbounded preceding and"
+    places = {s.j: f"last(if({s.values[0]} is not null, _i, null)) ignore nulls over ({seq} 1 preceding)" for s in scans}
+    steps, maps = {}, {}
+    for s in scans:
+        here, gap = f"{s.values[0]} is not null and {s.j} is not null", f"(_i - {s.j})"
+        steps |= {s.step: f"if({here}, {s.decay(gap)}, null)", **{f"{v}b": f"if({here}, {s.share(gap)} * {v}, null)" for v in s.values}}
+        up, down = f"exp({s.c} - {SPAN / 2}D)", f"exp({SPAN / 2}D - {s.c})"
+        maps |= {s.a: f"exp(-{s.c})", **{f"{v}r": f"coalesce({down} * sum({v}b * {up}) over ({seq} current row), 0D)" for v in s.values}}
+    decays = {s.c: f"coalesce(sum({s.step}) over ({seq} current row), 0D)" for s in scans}
+    gone = ", ".join(c for s in scans for c in (s.j, s.step, s.c, *[f"{v}b" for v in s.values]))
+    by = ", ".join(f"`{c}`" for c in order)
+    return d.sparkSession.sql(
+        f"""with numbered as (select *, row_number() over (partition by {_own(keys)} order by {by}) as _n from {{d}}),
+        cut as (select * except (_n), (_n - 1) div {rows} as {STRETCH}, cast((_n - 1) % {rows} + 1 as bigint) as _i from numbered),
+        last_values as (select *, {_list(places)} from cut), steps as (select *, {_list(steps)} from last_values),
+        decays as (select *, {_list(decays)} from steps), maps as (select *, {_list(maps)} from decays)
+        select * except ({gone}) from maps""",
+        d=d,
+    )
 
 
-def _packed(s: _Scan) -> Column:
-    return F.struct(F.col("_n").cast("bigint").alias("_n"), *[F.col(c).cast("bigint").alias(c) if c in (s.name("i1"), s.name("il")) else F.col(c) for c in s.summary()])
+def _summaries(d: DataFrame, scans: Sequence[_Scan], keys: Sequence[str]) -> DataFrame:
+    """One row per stretch."""
+    aggs = {"_n": "count(1)"}
+    for s in scans:
+        place = f"if({s.values[0]} is not null, _i, null)"
+        aggs |= {s.i1: f"min({place})", s.il: f"max({place})", s.a: f"min({s.a})"}
+        for v in s.values:
+            aggs |= {f"{v}1": f"min_by({v}, {place})", f"{v}B": f"max_by({v}r, _i)"}
+    return d.groupBy(*keys, CHUNK, STRETCH).agg(*[F.expr(f"{text} as {k}") for k, text in aggs.items()])
 
 
 def _entering(parts: DataFrame, scans: Sequence[_Scan], keys: Sequence[str]) -> DataFrame:
     """State before each stretch: slices compose their stretches, keys fold their slices, slices fold their stretches."""
-    before = lambda k, o: Window.partitionBy(*k).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
-    lists = [F.sort_array(F.collect_list(F.struct(STRETCH, _packed(s).alias("m")))).alias(s.name("all")) for s in scans]
-    slices = parts.groupBy(*keys, CHUNK).agg(*lists)
-    whole = {}
-    for s in scans:
-        maps = F.transform(s.at("all"), lambda x: x["m"])
-        whole[s.name("one")] = F.aggregate(F.slice(maps, 2, F.size(maps)), F.element_at(maps, 1), _composed(s))
-    slices = slices.withColumns(whole)
-    start = {s.name("at"): F.struct(*[F.lit(None).cast("double").alias(v) for v in s.values], F.lit(0).cast("bigint").alias("gap")) for s in scans}
-    carried = {s.name("at"): F.aggregate(F.collect_list(s.name("one")).over(before(keys, CHUNK)), start[s.name("at")], _moved(s)) for s in scans}
-    slices = slices.select(*keys, CHUNK, *[c.alias(k) for k, c in carried.items()])
-    both = parts.join(slices, [*keys, CHUNK])
-    into = {s.name("in"): F.aggregate(F.collect_list(_packed(s)).over(before([*keys, CHUNK], STRETCH)), s.at("at"), _moved(s)) for s in scans}
-    both = both.withColumns(into)
-    first = [f"{v}1" for s in scans for v in s.values]
-    return both.select(*keys, CHUNK, STRETCH, *[s.name(p) for s in scans for p in ("in", "i1")], *first)
+    before = "rows between unbounded preceding and 1 preceding"
+    key = ", ".join(f"`{k}`" for k in keys) or "1"
+    lists = {s.maps: f"sort_array(collect_list(struct({STRETCH}, {s.summary} as m))).m" for s in scans}
+    wholes = {s.maps: f"aggregate(slice({s.maps}, 2, size({s.maps})), {s.maps}[0], (x, y) -> {s.composed('x', 'y')})" for s in scans}
+    starts = {f"{s.into}0": f"aggregate(collect_list({s.maps}) over (partition by {key} order by {CHUNK} {before}), {s.start}, (x, y) -> {s.moved('x', 'y')})" for s in scans}
+    inner = f"partition by {_own(keys)} order by {STRETCH} {before}"
+    states = {s.into: f"aggregate(collect_list({s.summary}) over ({inner}), {s.into}0, (x, y) -> {s.moved('x', 'y')})" for s in scans}
+    kept = ", ".join([_own(keys), STRETCH, *[c for s in scans for c in (s.i1, *[f"{v}1" for v in s.values])]])
+    own, parts_ = _own(keys), "{parts}"
+    return parts.sparkSession.sql(
+        f"""with lists as (select {own}, {_list(lists)} from {parts_} group by {own}), wholes as (select {own}, {_list(wholes)} from lists),
+        starts as (select {own}, {_list(starts)} from wholes)
+        select {kept}, {_list(states)} from (select * from {parts_} join starts using ({own}))""",
+        parts=parts,
+    )
 
 
 def exponential_means(
@@ -190,19 +191,15 @@ def exponential_means(
     scans = [_Scan(out, m) for out, m in means.items()]
     xs = {s.values[0]: col(m.x).cast("double") for s, m in zip(scans, means.values())}
     df = df.withColumns(xs)
-    seeded = [(s, m) for s, m in zip(scans, means.values()) if m.seed == "sma"]
+    seeded = [(s, m.seed_rows) for s, m in zip(scans, means.values()) if m.seed == "sma"]
     if seeded:
-        df = prefix(df, {k: v for s, _ in seeded for k, v in ((s.name("k"), ("count", F.col(s.values[0]))), (s.name("m"), ("sum", F.col(s.values[0]))))}, keys, order)
-        head = {s.values[0]: F.when(s.at("k") > m.seed_rows, F.col(s.values[0])).when((s.at("k") == m.seed_rows) & F.col(s.values[0]).isNotNull(), s.at("m") / m.seed_rows) for s, m in seeded}
-        df = df.withColumns(head).drop(*[s.name(p) for s, _ in seeded for p in "km"])
+        sums = {f"{s.values[0]}{c}": (kind, F.col(s.values[0])) for s, _ in seeded for c, kind in (("k", "count"), ("m", "sum"))}
+        df = prefix(df, sums, keys, order)
+        head = {x: f"case when {x}k > {n} then {x} when {x}k = {n} and {x} is not null then {x}m / {n} end" for x, n in ((s.values[0], n) for s, n in seeded)}
+        df = df.withColumns({x: F.expr(text) for x, text in head.items()}).drop(*sums)
     df = df.withColumns({s.values[1]: F.when(F.col(s.values[0]).isNotNull(), F.lit(1.0)) for s in scans if s.sums})
     d = _scanned(df, scans, keys, order)
     entry = settle(_entering(settle(_summaries(d, scans, keys)), scans, keys))  # a row for each stretch
-    d = d.join(entry, [*keys, CHUNK, STRETCH], "left")
-    results = {}
-    for s in scans:
-        state, gap = s.at("in"), (s.at("in")["gap"] + s.at("i1")).cast("double")
-        value = [F.when(F.col("_i") >= s.at("i1"), s.at("a") * s.enter(state[v], gap, F.col(f"{v}1")) + F.col(f"{v}r")).otherwise(state[v]) for v in s.values]
-        results[s.out] = reduce(lambda a, b: a / b, value)
-    gone = [s.name(p) for s in scans for p in ("a", "in", "i1")] + [f"{v}{p}" for s in scans for v in s.values for p in ("", "r", "1")]
-    return tidy(d.withColumns(results).drop("_i", STRETCH, *gone), source)
+    d = d.join(entry, [*keys, CHUNK, STRETCH], "left").withColumns({s.out: F.expr(s.result()) for s in scans})
+    gone = [c for s in scans for c in (s.a, s.into, s.i1, *[f"{v}{p}" for v in s.values for p in ("", "r", "1")])]
+    return tidy(d.drop("_i", STRETCH, *gone), source)

@@ -18,7 +18,8 @@ from tidemark.streaming import alerts as A
 from tidemark.streaming import book as B
 from tidemark.streaming import events as E
 from tidemark.streaming import rollups as R
-from tidemark.streaming.run import fresh_path, run_available
+from tidemark.streaming import keyed as K
+from tidemark.streaming.run import counted, fresh_path, run_available, run_logged, topic_stats
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -131,7 +132,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = fresh_path(spark)
     run_available(R.latest_state(raw_ticks(event_stream(spark, sf)), ["price"]), "update", R.keep_updates(f"{path}/u"), path)
-    return ntz(R.merged(spark.read.parquet(f"{path}/u/*"), ["symbol"]), "ts")
+    return ntz(R.newest(spark.read.parquet(f"{path}/u/*")), "ts")
 
 
 def report_json():
@@ -197,18 +198,26 @@ def _(spark, sf):
 
         return save
 
-    kinds = ("click", "error", "purchase", "signup", "view")
-    run_available(event_stream(spark, sf), "append", E.route({k: saver(k) for k in kinds}, "event_type"), path)
+    kinds = ("click", "error", "purchase")
+    run_available(event_stream(spark, sf), "append", E.route({k: saver(k) for k in kinds}, "event_type", saver("other")), path)
     return spark.read.parquet(f"{path}/handled/*/*").groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("topic_lag_stats", "SELECT count(*) AS input_rows, 3::BIGINT AS batches_with_rows FROM events")
 def _(spark, sf):
-    from tidemark.streaming.run import progress_table
+    _, log = run_logged(event_stream(spark, sf).select("event_id"))
+    return log.table(spark).agg(F.sum("input_rows").alias("input_rows"), F.count_if(F.col("input_rows") > 0).alias("batches_with_rows"))
 
-    _, q = run_available(event_stream(spark, sf).select("event_id"))
-    p = progress_table(spark, q)
-    return p.agg(F.sum("input_rows").alias("input_rows"), F.count_if(F.col("input_rows") > 0).alias("batches_with_rows"))
+
+@query(
+    "topic_error_stats",
+    "SELECT event_type AS topic, count(*) AS processed, count(CASE WHEN event_id % 50 = 49 THEN 1 END) AS errors, NULL::BIGINT AS lag FROM events WHERE event_type IS NOT NULL GROUP BY 1",
+)
+def _(spark, sf):
+    kinds = sorted(r[0] for r in table(spark, sf, "events").where("event_type is not null").select("event_type").distinct().collect())
+    raw = event_stream(spark, sf).select(F.col("event_type").alias("topic"), report_json().alias("value"))
+    _, log = run_logged(counted(E.parse_events(raw), kinds).select("topic", "bad"))
+    return topic_stats(spark, log.batches, kinds)
 
 
 @query(
@@ -287,6 +296,72 @@ def _(spark, sf):
     return ntz(spark.read.parquet(f"{path}/data"), "ts")
 
 
+#: Rows whose slot of 6 hours ended before the last watermark (in milliseconds).
+_SLOT = f"time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR < date_trunc('milliseconds', {_LAST}) - INTERVAL 10 MINUTE"
+
+
+def keyed_run(stream, step):
+    """Results of a step over the stream, and late rows left out."""
+    with K.uses_rocks(stream.sparkSession):
+        path, log = run_logged(K.in_order(stream, step, slot="6 hours", keep="10 days"))
+    return stream.sparkSession.read.parquet(f"{path}/data").where("late is null").drop("late")
+
+
+def keyed_stream(spark, sf, **values):
+    """The event stream with late repeats, which change nothing."""
+    s = event_stream(spark, sf, late=True)
+    return s.select(F.col("event_type").alias("name"), "ts", "event_id", *[c.cast("double").alias(k) for k, c in values.items()])
+
+
+@query("alert_cooldown_stream", _COOL.replace("FROM events),", f"FROM events WHERE {_SLOT}),", 1))
+def _(spark, sf):
+    d = keyed_run(keyed_stream(spark, sf, value=F.col("value")), K.cooldown(60.0, 600.0, 3600.0))
+    return ntz(d.select("name", "ts", "value"), "ts")
+
+
+@query(
+    "dynamic_threshold_stream",
+    f"""WITH w AS (SELECT event_id, ts, event_type AS name, value, count(*) OVER w AS n, quantile_cont(value,0.95) OVER w AS q, avg(value) OVER w + 3*stddev_samp(value) OVER w AS s FROM events
+         WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING))
+       SELECT event_id, name, round(q,6) AS limit_pct, round(s,6) AS limit_sigma, value>q AS above_pct, value>s AS above_sigma FROM w WHERE n>=20 AND (value>q OR value>s) AND {_SLOT}""",
+)
+def _(spark, sf):
+    d = keyed_run(keyed_stream(spark, sf, value=F.col("value")), K.trailing_thresholds())
+    return rounded(d.select("event_id", "name", "limit_pct", "limit_sigma", "above_pct", "above_sigma"))
+
+
+_TRAIL = """WITH l AS (SELECT event_type AS name, ts, event_id, value AS price, CAST(json_extract_string(props,'$.k') AS DOUBLE) AS volume,
+         abs(value/nullif(lag(value) OVER o,0)-1) AS r, (epoch_us(ts)-epoch_us(lag(ts) OVER o))/1e6 AS gap, (value = lag(value) OVER o)::INT AS same, row_number() OVER o AS i FROM events WINDOW o AS (PARTITION BY event_type ORDER BY ts, event_id)),
+       w AS (SELECT *, quantile_cont(r,0.99) OVER n AS q, quantile_cont(gap,0.5) OVER n AS med, sum(same) OVER f AS still, count(volume) OVER v AS m, (volume-avg(volume) OVER v)/nullif(stddev_samp(volume) OVER v,0) AS z FROM l
+         WINDOW n AS (PARTITION BY name ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), f AS (PARTITION BY name ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), v AS (PARTITION BY name ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+       a AS (SELECT name, ts, event_id, unnest(list_filter([CASE WHEN i>=20 AND r>greatest(q,0.1) THEN 0 END, CASE WHEN m>=20 AND abs(z)>3 THEN 1 END, CASE WHEN i>=5 AND gap>3*med THEN 2 END, CASE WHEN still>=5 THEN 3 END], lambda x: x IS NOT NULL)) AS detector FROM w)
+       SELECT name, event_id, detector FROM a"""
+_VOLUME = F.get_json_object("props", "$.k")
+
+
+@query("trailing_anomalies", _TRAIL)
+def _(spark, sf):
+    m = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("name"), F.col("value").alias("price"), _VOLUME.cast("double").alias("volume"))
+    return Q.trailing_anomalies(balanced_chunks(m, ["name"], ["ts", "event_id"])).select("name", "event_id", "detector")
+
+
+@query("anomaly_detectors_stream", _TRAIL + f" WHERE {_SLOT}")
+def _(spark, sf):
+    d = keyed_run(keyed_stream(spark, sf, price=F.col("value"), volume=_VOLUME), K.trailing_anomalies())
+    return d.select("name", "event_id", "detector")
+
+
+@query(
+    "book_flow_stream",
+    f"""WITH l AS (SELECT event_id, event_type AS name, value AS price, CAST(json_extract_string(props,'$.k') AS DOUBLE) AS qty, row_number() OVER w AS i, lag(value,9) OVER w AS p9, lag(CAST(json_extract_string(props,'$.k') AS DOUBLE),4) OVER w AS q4, lag(ts,9) OVER w AS t9, ts FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+       s AS (SELECT *, CASE WHEN i>=10 THEN regr_slope(price,i) OVER (PARTITION BY name ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END AS slope FROM l)
+       SELECT event_id, name, round(price/nullif(p9,0)-1,6) AS momentum, round(slope,6) AS slope, round(qty/nullif(q4,0)-1,6) AS depth_change, round(9/nullif((epoch_us(ts)-epoch_us(t9))/1e6,0),6) AS update_rate FROM s WHERE {_SLOT}""",
+)
+def _(spark, sf):
+    d = keyed_run(keyed_stream(spark, sf, mid=F.col("value"), depth=_VOLUME), K.trailing_flow())
+    return rounded(d.select("event_id", "name", "momentum", "slope", "depth_change", "update_rate"))
+
+
 @query(
     "stream_quality_score",
     """WITH e AS (SELECT date_trunc('day',ts) AS day, event_type AS symbol, count(*) AS rows, avg((value>0.5)::INT) AS valid, avg((json_extract_string(props,'$.k') IS NOT NULL)::INT) AS complete FROM events GROUP BY 1,2)

@@ -83,14 +83,22 @@ def fan_out(tables: dict[str, Callable[[DataFrame], DataFrame]], root: str) -> C
     return write
 
 
-def route(handlers: dict[str, Callable[[DataFrame, int], None]], kind: str = "topic") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that hands each handler the rows of its type."""
+def route(handlers: dict[str, Callable[[DataFrame, int], None]], kind: str = "topic", other: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that hands each handler the rows of its type, and ``other`` all the rest, null types too.
+
+    Without ``other`` a batch with rows that no handler takes is an error.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             for name, fn in handlers.items():
                 fn(batch.where(F.col(kind) == name), batch_id)
+            rest = batch.where(~F.coalesce(F.col(kind).isin(list(handlers)), F.lit(False)))
+            if other is not None:
+                other(rest, batch_id)
+            elif not rest.isEmpty():
+                raise ValueError(f"no handler for {[r[0] for r in rest.select(kind).distinct().limit(5).collect()]}")
         finally:
             batch.unpersist()
 

@@ -53,10 +53,19 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minute
     )
 
 
-def latest_state(ticks: DataFrame, cols: Sequence[str], key: str = "symbol", order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
-    """Last row per key (update or complete mode)."""
+def latest_state(ticks: DataFrame, cols: Sequence[str], key: str = "symbol", order: Sequence[str] = ("ts", "event_id"), keep: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+    """Last row per key and span of ``keep`` (update mode); ``newest`` gives the last of all.
+
+    State is one row per key and span and goes when the watermark has passed the span, so a key that is idle holds none.
+    """
     at = F.struct(*order)
-    return ticks.groupBy(key).agg(F.max_by(F.struct(*order, *[c for c in cols if c not in order]), at).alias("_r")).select(key, "_r.*")
+    last = F.max_by(F.struct(*order, *[c for c in cols if c not in order]), at).alias("_r")
+    return ticks.withWatermark("ts", delay).groupBy(F.window("ts", keep), key).agg(last).select(key, "_r.*")
+
+
+def newest(updates: DataFrame, key: str = "symbol", order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+    """Last row of each key among the updates of all batches."""
+    return latest_version(updates, [key], list(order)).drop("batch_id")
 
 
 def keep_updates(path: str) -> Callable[[DataFrame, int], None]:
