@@ -80,11 +80,26 @@ def test_quantiles_and_ranks_match_numpy(spark):
     assert c["n"].sum() == 3000
 
 
+def test_steps_of_a_key_with_one_long_interval(spark):
+    """An interval as long as the table is one more entry of each slice, not all of its rows."""
+    from tidemark.operators.frames import balanced_chunks
+    from tidemark.operators.sequences import slice_steps
+
+    data = [("A", 10 * i, 10 * i + (100_000 if i == 3 else 25)) for i in range(2000)]
+    d = balanced_chunks(spark.createDataFrame(data, "symbol string, _s bigint, _e bigint"), ["symbol"], ["_s"], 100)
+    steps = slice_steps(d, ["symbol"], ["_s"], "symbol string")
+    slices = d.select("_chunk").distinct().count()
+    assert slices > 10 and steps.count() <= slices * (1 + 1 + 3)  # nothing, the long one, those that lie over the cut
+
+
 @pytest.mark.parametrize("rows", [7, 1000])
-def test_non_overlapping_matches_a_plain_walk(spark, rows):
+@pytest.mark.parametrize("longest", [None, 3, 150])
+def test_non_overlapping_matches_a_plain_walk(spark, rows, longest):
     rng = np.random.default_rng(9)
     starts = sorted(rng.choice(20_000, 300, replace=False).tolist())
     data = [("A" if i % 4 else "B", T0 + dt.timedelta(minutes=int(t)), T0 + dt.timedelta(minutes=int(t + rng.integers(0, 400)))) for i, t in enumerate(starts)]
+    if longest is not None:  # one interval as long as the rest of the table, in the chain that is kept or beside it
+        data[longest] = (*data[longest][:2], data[longest][1] + dt.timedelta(minutes=30_000))
     df = spark.createDataFrame(data, "symbol string, ts timestamp, exit_ts timestamp")
     got = sorted((r["symbol"], r["ts"]) for r in non_overlapping(df, rows=rows).collect())
     want, busy = [], {}
@@ -144,3 +159,16 @@ def test_orphans(spark):
     k = lambda *v: spark.createDataFrame([(x,) for x in v], "key int")
     got = {(r["key"], r["problem"]) for r in orphans(k(1, 2), k(2, 3), k(3, 4)).collect()}
     assert got == {(1, "signal_without_position"), (2, "position_without_execution"), (4, "execution_without_parent")}
+
+
+def test_long_trend_test_equals_all_pairs(spark):
+    from tidemark.operators.validation import mann_kendall
+
+    rng = np.random.default_rng(11)
+    x = np.round(np.cumsum(rng.normal(0.01, 1, 3000)), 1)
+    rows = [("A", i, float(v)) for i, v in enumerate(x)] + [("B", 0, 1.0), ("B", 1, None), ("B", 2, 1.0)]
+    got = {r.k: (r.n, r.s, r.z) for r in mann_kendall(spark.createDataFrame(rows, "k string, t int, x double"), "x", "t", ["k"]).collect()}
+    s = float(sum(np.sign(x[i + 1 :] - x[i]).sum() for i in range(len(x))))
+    n = len(x)
+    assert got["A"][:2] == (n, s) and abs(got["A"][2] - (s - np.sign(s)) / np.sqrt(n * (n - 1) * (2 * n + 5) / 18)) < 1e-9
+    assert got["B"][:2] == (2, 0.0)

@@ -264,7 +264,8 @@ def pivots_fib(df: DataFrame, n: int = 50, near: float = 0.005, keys: Sequence[s
 
 
 def order_flow(df: DataFrame, n: int = 20, q: float = 0.8, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Buy and sell volume by candle sign, imbalance, price impact per volume, large-volume flag."""
+    """Buy and sell volume by candle sign, imbalance, price impact per volume and its mean over 10 and ``n`` rows, large-volume flag,
+    spread estimated from high and low and its 10-row mean, money-flow ratio and net flow (rising against falling typical prices)."""
 
     def build(d, fr):
         up = F.col("close") > F.col("open")
@@ -276,13 +277,25 @@ def order_flow(df: DataFrame, n: int = 20, q: float = 0.8, keys: Sequence[str] =
             }
         )
         b, s = fr.sum("buy_volume", n), fr.sum("sell_volume", n)
-        return d.withColumns(
+        d = d.withColumns(
             {
                 "imbalance": (b - s) / (b + s + F.lit(EPS)),
                 "impact": F.abs("_ret") / (F.col("volume") + F.lit(EPS)),
                 "large_volume": F.col("volume") > fr.quantile("volume", q, n),
+                "spread": (F.col("high") - F.col("low")) / _nz(F.col("close")),
+                "_tp": (F.col("high") + F.col("low") + F.col("close")) / 3,
+            }
+        )
+        before = fr.lag("_tp")
+        flow = F.col("_tp") * F.col("volume")
+        d = d.withColumns({"_in": F.when(F.col("_tp") > before, flow).otherwise(0.0), "_out": F.when(F.col("_tp") < before, flow).otherwise(0.0)})
+        into, out = fr.sum("_in", n), fr.sum("_out", n)
+        return d.withColumns(
+            {
+                "illiquidity_10": fr.mean("impact", 10), f"illiquidity_{n}": fr.mean("impact", n), "spread_10": fr.mean("spread", 10),
+                "money_flow": into / (out + F.lit(EPS)), "net_flow": (into - out) / (into + out + F.lit(EPS)),
             }
-        ).drop("_ret")
+        ).drop("_ret", "_tp", "_in", "_out")
 
     return framed(df, build, before=n + 1, keys=keys)
 

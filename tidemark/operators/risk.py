@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -128,10 +129,22 @@ def var_es(returns: DataFrame, x: str, confidence: float = 0.95, by: Sequence[st
     ).drop("_cut", "_tail", "_m", "_s")
 
 
-def monte_carlo_var(returns: DataFrame, x: str, confidence: float = 0.95, draws_per_row: int = 10, seed: int = 7) -> DataFrame:
-    """VaR and shortfall of normal draws with the sample's mean and deviation; draws grow with the rows given."""
+def hash_normals(*on: Column) -> Column:
+    """A standard normal number for each value of the columns, the same on any cluster: two uniform numbers from a digest (Box-Muller)."""
+    digest = F.md5(F.concat_ws("-", *[c.cast("string") for c in on]))
+    part = lambda at: (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    return F.sqrt(F.log(part(1)) * -2.0) * F.cos(part(9) * (2 * math.pi))
+
+
+def monte_carlo_var(returns: DataFrame, x: str, confidence: float = 0.95, draws_per_row: int = 10, seed: int = 7, order: str = "ts") -> DataFrame:
+    """VaR and shortfall of normal draws with the sample's mean and deviation; draws grow with the rows given.
+
+    A draw depends on its row's ``order``, its number and the seed alone, not on partitions.
+    """
     base = returns.agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
-    sims = returns.select(F.explode(F.sequence(F.lit(1), F.lit(draws_per_row))).alias("_i")).select(F.randn(seed).alias("_z"))
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    sims = returns.select(at.alias("_t"), F.explode(F.sequence(F.lit(1), F.lit(draws_per_row))).alias("_i"))
+    sims = sims.select(hash_normals(F.lit(seed), F.col("_t"), F.col("_i")).alias("_z"))
     sims = join_stats(sims, base, []).select((F.col("_m") + F.col("_s") * F.col("_z")).alias(x))
     # var_es writes the draws down before it reads them several times
     return var_es(sims, x, confidence).select("n", F.col("var_hist").alias("var_mc"), F.col("es_hist").alias("es_mc"))

@@ -213,8 +213,8 @@ def rolling_percent_rank(df: DataFrame, x: str, n: int = 100, keys: Sequence[str
     return framed(df, build, before=n, keys=keys)
 
 
-def expanding_percentile(df: DataFrame, x: str, keys: Sequence[str] = KEYS, order: Sequence[str] = ("ts",), block: int = 512) -> DataFrame:
-    """Percentile of the current value in its whole history up to here, ties counted half; null where the value is null.
+def history_counts(df: DataFrame, x: str, keys: Sequence[str] = KEYS, order: Sequence[str] = ("ts",), block: int = 512) -> DataFrame:
+    """Rows with a value, their number from 0 (``_row``), and how many values up to here are smaller (``_below``) and not larger (``_upto``, itself included).
 
     Smaller and equal earlier values are counted in blocks that double: inside
     a block of ``block`` rows directly, then for the right half of each pair of
@@ -243,6 +243,12 @@ def expanding_percentile(df: DataFrame, x: str, keys: Sequence[str] = KEYS, orde
         out = out.withColumns({"_below": F.col("_below") + F.coalesce("_b", F.lit(0)), "_upto": F.col("_upto") + F.coalesce("_u", F.lit(0))})
         out = settle(out.drop("_b", "_u"))
         size *= 2
+    return out
+
+
+def expanding_percentile(df: DataFrame, x: str, keys: Sequence[str] = KEYS, order: Sequence[str] = ("ts",), block: int = 512) -> DataFrame:
+    """Percentile of the current value in its whole history up to here, ties counted half; null where the value is null."""
+    out = history_counts(df, x, keys, order, block)
     plus = F.when(F.col("_upto") > F.col("_below"), 1).otherwise(0)
     out = out.withColumn("percentile", (F.col("_below") + F.col("_upto") + plus) * 50.0 / (F.col("_row") + 1)).drop("_row", "_below", "_upto")
     return out.unionByName(df.where(F.col(x).isNull()).withColumn("percentile", F.lit(None).cast("double")), allowMissingColumns=True)

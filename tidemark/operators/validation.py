@@ -158,6 +158,40 @@ def mutual_information(df: DataFrame, cols: Sequence[str], target: str, bins: in
     return c.groupBy("feature").agg(F.sum("_t").alias("mi"))
 
 
+def pair_mutual_information(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
+    """Binned mutual information (nats) of every pair a < b of columns over the rows that have both, equal-width bins of each column.
+
+    Two passes: the ranges of all columns, then the joint histograms of all pairs; a row gives one code for
+    each pair, and at most bins * bins counts of a pair leave a task.
+    """
+    bounds = df.agg(*[f(c).cast("double").alias(f"_{n}{k}") for k, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))])
+    d = df.select(*[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(cols)]).crossJoin(F.broadcast(bounds))  # one row
+
+    def code(k: int) -> Column:
+        place = F.floor(div((F.col(f"_x{k}") - F.col(f"_lo{k}")) * bins, F.col(f"_hi{k}") - F.col(f"_lo{k}")))
+        return F.when(F.col(f"_x{k}").isNotNull(), F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("int")).alias(f"_k{k}")
+
+    d = d.select(*[code(k) for k in range(len(cols))])
+    order = sorted(range(len(cols)), key=lambda k: cols[k])
+    pairs = [(a, b) for i, a in enumerate(order) for b in order[i + 1 :]]
+    if not pairs:
+        return d.sparkSession.createDataFrame([], "a STRING, b STRING, n BIGINT, mi DOUBLE")
+    cells = F.array_compact(
+        F.array(*[
+            F.when(F.col(f"_k{a}").isNotNull() & F.col(f"_k{b}").isNotNull(), F.struct(F.lit(p).alias("p"), F.col(f"_k{a}").alias("bx"), F.col(f"_k{b}").alias("by")))
+            for p, (a, b) in enumerate(pairs)
+        ])
+    )
+    c = d.select(F.inline(cells)).groupBy("p", "bx", "by").agg(F.count(F.lit(1)).alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy("p"))  # at most bins * bins rows a pair
+    px, py = (F.sum("_n").over(Window.partitionBy("p", k)) / total for k in ("bx", "by"))
+    share = F.col("_n") / total
+    c = c.withColumn("_t", share * F.log(share / (px * py))).groupBy("p").agg(F.sum("_n").alias("n"), F.sum("_t").alias("mi"))
+    names = F.array(*[F.struct(F.lit(cols[a]).alias("a"), F.lit(cols[b]).alias("b")) for a, b in pairs])
+    pair = names[F.col("p")]
+    return c.select(pair["a"].alias("a"), pair["b"].alias("b"), "n", "mi")
+
+
 def label_correlations(df: DataFrame, cols: Sequence[str], label: str, limit: float = 0.8) -> DataFrame:
     """Correlation of every column with the label in one pass; above the limit it may leak the label."""
     d = long_form(df, cols, [label])
@@ -209,17 +243,19 @@ def welch_t(df: DataFrame, x: str, in_a: Column, keys: Sequence[str] = ()) -> Da
 
 
 def mann_kendall(df: DataFrame, x: str, order: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Trend test of a short series (one row per period): S, Z without tie correction, p.
+    """Trend test of a series of one row per ``order``: S, Z without tie correction, p. Null values take no part.
 
-    The series of a key is one array with one entry per period; pairs are compared inside it.
+    S is the number of rising pairs less that of falling ones: each value counts the smaller and the larger
+    ones before it, in blocks that double, so a long series is spread over the cluster.
     """
-    d = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).alias("x")))).alias("_s"))
-    pairs = F.aggregate(
-        F.transform("_s", lambda p, i: F.aggregate(F.slice("_s", i + 2, F.size("_s")), F.lit(0.0), lambda a, q: a + F.signum(q["x"] - p["x"]))),
-        F.lit(0.0), lambda a, v: a + v,
-    )
-    d = d.select(*keys, F.size("_s").alias("n"), pairs.alias("s"))
-    var = F.col("n") * (F.col("n") - 1) * (F.col("n") * 2 + 5) / 18
+    from tidemark.operators.rolling import history_counts
+
+    d = df.select(*keys, order, F.col(x).cast("double").alias("_x"))
+    d = history_counts(d, "_x", keys, [order])
+    rising = F.col("_below") - (F.col("_row") + 1 - F.col("_upto"))
+    d = d.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum(rising).cast("double").alias("s"))
+    n = F.col("n").cast("double")
+    var = n * (n - 1) * (n * 2 + 5) / 18
     z = F.when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt(var)).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt(var)).otherwise(0.0)
     return d.withColumn("z", z).withColumn("p_value", two_sided_p("z"))
 

@@ -188,6 +188,19 @@ def _(spark, sf):
     return keep(I.order_flow(b1(spark, sf, *BAR)), "buy_volume", "sell_volume", "imbalance", "impact", "large_volume", impact=10)
 
 
+@query(
+    "liquidity_proxies",
+    f"""WITH x AS (SELECT *, abs({pct('close')})/(volume+1e-8) AS i, (high-low)/nullif(close,0) AS sp, (high+low+close)/3 AS tp FROM bars),
+        y AS (SELECT *, CASE WHEN tp > {lag('tp')} THEN tp*volume ELSE 0 END AS a, CASE WHEN tp < {lag('tp')} THEN tp*volume ELSE 0 END AS b FROM x),
+        z AS (SELECT *, {mean('i', 10)} AS i10, {mean('i', 20)} AS i20, {mean('sp', 10)} AS s10, {total('a', 20)} AS ta, {total('b', 20)} AS tb FROM y)
+        SELECT symbol, ts, round(i10,10) AS illiquidity_10, round(i20,10) AS illiquidity_20, round(sp,6) AS spread, round(s10,6) AS spread_10,
+        round(ta/(tb+1e-8),6) AS money_flow, round((ta-tb)/(ta+tb+1e-8),6) AS net_flow FROM z""",
+)
+def _(spark, sf):
+    cols = ("illiquidity_10", "illiquidity_20", "spread", "spread_10", "money_flow", "net_flow")
+    return keep(I.order_flow(b1(spark, sf, *BAR)), *cols, illiquidity_10=10, illiquidity_20=10)
+
+
 @query(
     "momentum_divergence",
     f"""WITH x AS (SELECT b.*, r.rsi, {pct('close', 10).replace('PARTITION BY symbol ORDER BY ts', 'PARTITION BY b.symbol ORDER BY b.ts')} AS mom,

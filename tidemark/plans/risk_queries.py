@@ -96,9 +96,15 @@ def _(spark, sf):
     return rounded(K.var_es(K.portfolio_returns(rets(spark, sf), weights(spark, sf)), "port_ret"), 8)
 
 
-@query("monte_carlo_var")
+@query(
+    "monte_carlo_var",
+    """WITH b AS (SELECT avg(pr) AS m, stddev_samp(pr) AS s FROM port), h AS (SELECT md5('7-' || epoch_us(ts) || '-' || i) AS d FROM port, (SELECT unnest(range(1, 11)) AS i)),
+       z AS (SELECT m + s*sqrt(ln((('0x' || substr(d,1,8))::BIGINT+0.5::DOUBLE)/4294967296::DOUBLE)*-2)*cos((('0x' || substr(d,9,8))::BIGINT+0.5::DOUBLE)/4294967296::DOUBLE*6.283185307179586::DOUBLE) AS x FROM h, b),
+       c AS (SELECT list_sort(list(x)) AS xs, count(*) AS n FROM z), q AS (SELECT n, xs[CAST(floor(round(n*0.05::DOUBLE,9)) AS BIGINT)+1] AS cut FROM c)
+       SELECT n, round(-cut,8) AS var_mc, round(-coalesce((SELECT avg(x) FROM z WHERE x < cut),cut),8) AS es_mc FROM q""",
+)
 def _(spark, sf):
-    return K.monte_carlo_var(K.portfolio_returns(rets(spark, sf), weights(spark, sf)), "port_ret")
+    return rounded(K.monte_carlo_var(K.portfolio_returns(rets(spark, sf), weights(spark, sf)), "port_ret"), 8)
 
 
 @query(

@@ -522,12 +522,38 @@ def _(spark, sf):
     return fold_scores(purged_folds(f, 5, 12, 12), FEATURES, "label", 5)
 
 
-@query("pca_features")
+_Z = """WITH f AS (SELECT symbol, ts, rsi, volume_ratio, volatility, momentum FROM feats WHERE rsi IS NOT NULL AND volume_ratio IS NOT NULL AND volatility IS NOT NULL AND momentum IS NOT NULL),
+       t AS (SELECT * FROM f WHERE ts < TIMESTAMP '2024-01-20'), s AS (SELECT avg(rsi) AS a1, stddev_samp(rsi) AS b1, avg(volume_ratio) AS a2, stddev_samp(volume_ratio) AS b2, avg(volatility) AS a3, stddev_samp(volatility) AS b3, avg(momentum) AS a4, stddev_samp(momentum) AS b4 FROM t),
+       z AS (SELECT symbol, ts, (rsi-a1)/b1 AS z1, (volume_ratio-a2)/b2 AS z2, (volatility-a3)/b3 AS z3, (momentum-a4)/b4 AS z4 FROM f, s)"""
+
+
+@query("pca_features", f"{_Z} SELECT symbol, ts, round(z1*z1+z2*z2+z3*z3+z4*z4,6) AS square, 4 AS components FROM z")
+def _(spark, sf):
+    """All four components; a rotation keeps the sum of squares of a row."""
+    from tidemark.operators.models import pca_features
+
+    d, found = pca_features(features(spark, sf), FEATURES, as_ts("2024-01-20"))
+    square = sum((F.col(f"pc_{k + 1}") * F.col(f"pc_{k + 1}") for k in range(len(found.variances))), F.lit(0.0))
+    return rounded(d.select("symbol", "ts", square.alias("square"), F.lit(len(found.variances)).alias("components")))
+
+
+@query(
+    "pca_variances",
+    f"""{_Z}, c AS (SELECT corr(z1,z2) AS p, corr(z1,z3) AS q, corr(z1,z4) AS r, corr(z2,z3) AS s, corr(z2,z4) AS t, corr(z3,z4) AS u FROM z WHERE ts < TIMESTAMP '2024-01-20')
+       SELECT 4.0::DOUBLE AS total, round(4 + 2*(p*p+q*q+r*r+s*s+t*t+u*u),6) AS squares,
+       round(1 + p*p*u*u + q*q*t*t + r*r*s*s - p*p - q*q - r*r - s*s - t*t - u*u + 2*(p*q*s + p*r*t + q*r*u + s*t*u) - 2*(p*q*t*u + p*r*s*u + q*r*s*t),6) AS product FROM c""",
+)
 def _(spark, sf):
+    """Variances of the components on the training rows: their sum, sum of squares and product are those of the correlation matrix."""
     from tidemark.operators.models import pca_features
 
-    d, _ = pca_features(features(spark, sf), FEATURES, 2, as_ts("2024-01-20"))
-    return d.select("symbol", "ts", "pc_1", "pc_2")
+    d, found = pca_features(features(spark, sf), FEATURES, as_ts("2024-01-20"))
+    own = d.where(F.col("ts") < as_ts("2024-01-20")).agg(*[F.var_samp(f"pc_{k + 1}").alias(f"v{k}") for k in range(len(found.variances))])
+    v = [F.col(f"v{k}") for k in range(len(found.variances))]
+    product = v[0]
+    for x in v[1:]:
+        product = product * x
+    return rounded(own.select(sum(v, F.lit(0.0)).alias("total"), sum((x * x for x in v), F.lit(0.0)).alias("squares"), product.alias("product")))
 
 
 __all__ = ["logs", "std"]

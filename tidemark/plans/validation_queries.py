@@ -125,6 +125,18 @@ def _(spark, sf):
     return rounded(V.mutual_information(features(spark, sf), FEATURES, "future"))
 
 
+@query(
+    "feature_pair_information",
+    """WITH r AS (SELECT row_number() OVER () AS id, * FROM feats), l AS (SELECT id, unnest(['rsi','volume_ratio','volatility','momentum']) AS f, unnest([rsi,volume_ratio,volatility,momentum]) AS v FROM r),
+        s AS (SELECT f, min(v) AS lo, max(v) AS hi FROM l GROUP BY 1), k AS (SELECT id, l.f, least(floor((v-lo)*10/(hi-lo)),9) AS k FROM l JOIN s ON l.f=s.f WHERE v IS NOT NULL),
+        c AS (SELECT a.f AS a, b.f AS b, a.k AS x, b.k AS y, count(*) AS n FROM k a JOIN k b ON a.id=b.id AND a.f<b.f GROUP BY 1,2,3,4),
+        p AS (SELECT *, sum(n) OVER (PARTITION BY a,b) AS t, sum(n) OVER (PARTITION BY a,b,x) AS nx, sum(n) OVER (PARTITION BY a,b,y) AS ny FROM c)
+        SELECT a, b, sum(n)::BIGINT AS n, round(sum(n/t*ln((n/t)/(nx/t*(ny/t)))),6) AS mi FROM p GROUP BY 1,2""",
+)
+def _(spark, sf):
+    return rounded(V.pair_mutual_information(features(spark, sf), FEATURES))
+
+
 @query(
     "leakage_corr_scan",
     f"""SELECT feature, round(corr(value,label),6) AS corr, count(value) AS n, abs(corr(value,label))>0.8 AS suspect FROM ({_LONG}) GROUP BY 1
