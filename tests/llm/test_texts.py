@@ -203,11 +203,49 @@ def test_classifier_on_held_out_rows(spark, corpus):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
 
 
+def test_risk_gradient_against_differences():
+    from tidemark.llm.pu_quality import nonnegative_risk_fit, risk_gradient
+
+    rnd = np.random.default_rng(2)
+    p, u, w = rnd.normal(0.5, 1, (40, 6)), rnd.normal(0, 1, (70, 6)), rnd.normal(0, 1, 7)
+    positive, negative, gp, gn = risk_gradient(w, p, u, 0.3)
+    soft = lambda x: np.log1p(np.exp(x))
+    assert abs(positive - 0.3 * soft(-(p @ w[:-1] + w[-1])).mean()) < 1e-9
+    assert abs(negative - (soft(u @ w[:-1] + w[-1]).mean() - 0.3 * soft(p @ w[:-1] + w[-1]).mean())) < 1e-9
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-5
+        up, down = risk_gradient(w + step, p, u, 0.3), risk_gradient(w - step, p, u, 0.3)
+        assert abs((up[0] - down[0]) / 2e-5 - gp[k]) < 1e-4 and abs((up[1] - down[1]) / 2e-5 - gn[k]) < 1e-4
+    k = sum(module_sizes()) + 1
+    wide = lambda shift, n: np.column_stack([rnd.normal(shift, 1, (n, 2)), np.zeros((n, k - 2))])
+    few = wide(1, 30)  # with a prior above the truth the negative part would fall below zero: it is held there
+    model = nonnegative_risk_fit(few, np.vstack([few, wide(-1, 60)]), 0.9, Fit(steps=200))
+    assert np.isfinite(model.weights).all() and np.isfinite(model.bias)
+
+
+def module_sizes():
+    from tidemark.llm.pu_quality import SIZES
+
+    return SIZES
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.5, 0.8])
+def test_prior_from_score_tails(prior):
+    from tidemark.llm.pu_quality import class_prior
+
+    rnd = np.random.default_rng(5)
+    n = 6000
+    positive, mixed = rnd.normal(2, 1, n), np.where(rnd.random(n) < prior, rnd.normal(2, 1, n), rnd.normal(-1.5, 1, n))
+    assert abs(class_prior(positive, mixed) - prior) < 0.05
+    assert class_prior(positive, positive) > 0.9 and class_prior(positive[:0], mixed) == 0.5
+
+
 def test_classifier_edges(spark, corpus):
     docs, labels, _ = corpus
     out = quality_scores(docs.unionByName(edges.frame(spark)), labels, Fit(steps=20)).collect()
     assert len(out) == 600 + len(edges.ROWS) and all(0 <= r.score <= 1 for r in out)
     assert {r.score for r in quality_scores(edges.frame(spark), labels.limit(0)).collect()} == {0.5}
+    assert quality_scores(edges.frame(spark, []), labels).count() == 0
 
 
 @pytest.mark.parametrize("work", [quality_rules, secret_scan, lambda d: encode_decode(d, public_tokenizers.path("word_bpe_49k.json")),

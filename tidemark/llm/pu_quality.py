@@ -6,8 +6,9 @@ minimises the non-negative unbiased risk
     prior * E_pos[l(g)] + max(0, E_unl[l(-g)] - prior * E_pos[l(-g)])
 
 with logistic loss: trusted positives stand for their class, unlabelled text
-for the mixture, and no negative is trusted. The class prior is estimated as
-the share of positives among all labelled training rows, over the whole table.
+for the mixture, and no negative is trusted or used. The class prior is estimated
+from positives and unlabelled text: a first fit on half of the sample scores the
+other half, and the prior is the largest one that the tails of these scores allow.
 The fit takes a bounded sample (``Fit.positives`` and ``Fit.unlabelled`` rows,
 the smallest by a hash of the id); its features are computed in tasks and are
 the only thing that reaches the driver. All rows are scored, whole texts.
@@ -121,6 +122,11 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
 
+    def raw(self, features: np.ndarray) -> np.ndarray:
+        """Scores of feature rows before the logistic function."""
+        k = sum(SIZES)
+        return self.bias + features[:, :k] @ self.weights[:k] + _standard(features[:, k:], self.mean, self.scale) @ self.weights[k:]
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The same sums as ``features @ weights``, by adding a weight for each byte."""
         total, at = np.full(len(offsets) - 1, self.bias), 0
@@ -146,15 +152,9 @@ def nonnegative_risk_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: fl
 
     decay = fit.decay * len(w) ** 0.5 * fit.positives / len(positive)  # small samples are held tighter
 
-    def part(x: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        return np.append(slope @ x, slope.sum()) / np.float32(len(x))
-
     for step in range(1, fit.steps + 1):
-        gp, gu = (np.clip((x @ w[:-1] + w[-1]).astype(np.float64), -30, 30) for x in (p, u))
-        sp, su = ((1 / (1 + np.exp(-g))).astype(np.float32) for g in (gp, gu))
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        grad_negative = part(u, su) - prior * part(p, sp)
-        grad = prior * part(p, sp - 1) + grad_negative if negative >= 0 else -fit.back * grad_negative
+        _, negative, grad_positive, grad_negative = risk_gradient(w, p, u, prior)
+        grad = grad_positive + grad_negative if negative >= 0 else -fit.back * grad_negative
         grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= (fit.rate * 0.5 ** (step * 4 / fit.steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
@@ -164,6 +164,44 @@ def nonnegative_risk_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: fl
     return Model(raw, float(w[-1] - (raw[:k] * mean[:k]).sum()), mean[k:], scale[k:])
 
 
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Positive and negative part of the risk under the logistic loss, and their gradients; ``w`` ends with the intercept."""
+
+    def part(x: np.ndarray, slope: np.ndarray) -> np.ndarray:
+        return np.append(slope @ x, slope.sum()) / np.float32(len(x))
+
+    gp, gu = (np.clip((x @ w[:-1] + w[-1]).astype(np.float64), -30, 30) for x in (p, u))
+    sp, su = ((1 / (1 + np.exp(-g))).astype(np.float32) for g in (gp, gu))
+    positive = prior * np.logaddexp(0, -gp).mean()
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    return positive, negative, prior * part(p, sp - 1), part(u, su) - prior * part(p, sp)
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.05) -> float:
+    """Largest share of positives among the unlabelled that their scores allow, from held-apart scores of both.
+
+    Unlabelled rows are a mixture, so in any tail of scores they are at least prior times as frequent
+    as positives; the prior is at most the smallest ratio of tails, over tails with ``least``
+    of the positives or more. Tails shrink to where negatives are rare, which makes the bound tight.
+    """
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    cuts = np.quantile(positive, np.arange(0, 1 - least + 1e-9, 0.01))
+    tail = lambda x: 1 - np.searchsorted(np.sort(x), cuts, "left") / len(x)
+    p, u = tail(positive), tail(unlabelled)
+    noise = np.sqrt(u * (1 - u) / len(unlabelled)) + u / p * np.sqrt(p * (1 - p) / len(positive))
+    best = np.argmin((u + noise) / p)  # small tails vary: the tail is chosen by its ratio one deviation up
+    return float(np.clip(u[best] / p[best], 0.02, 0.98))
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, fit: Fit) -> float:
+    """``class_prior`` of the second half of the sample under a first fit on the other half."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    first = nonnegative_risk_fit(positive[::2], unlabelled[::2], 0.5, fit)
+    return class_prior(first.raw(positive[1::2]), first.raw(unlabelled[1::2]))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
@@ -184,14 +222,12 @@ def _sample(docs: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     """Fit on labelled and unlabelled rows outside the held-out fifth."""
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).select("doc_id", "quality")
-    share = known.agg(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0))).first()[0]
-    prior = min(max(share if share is not None else 0.5, 0.02), 0.98)
-    positive = _sample(docs, known.where("quality = 1"), fit.positives)
+    trusted = labels.where(~held_out(F.col("doc_id")) & (F.col("quality") == 1)).select("doc_id")
+    positive = _sample(docs, trusted, fit.positives)
     unlabelled = _sample(docs, docs.where(~held_out(F.col("doc_id"))), fit.unlabelled)
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(sum(SIZES) + N_SHAPES), 0.0, np.zeros(N_SHAPES), np.ones(N_SHAPES))
-    return nonnegative_risk_fit(positive, unlabelled, prior, fit)
+    return nonnegative_risk_fit(positive, unlabelled, estimated_prior(positive, unlabelled, fit), fit)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
