@@ -11,7 +11,7 @@ from tidemark.plans.report_queries import rounded
 from tidemark.plans.sqltext import pct, std
 from tidemark.plans.validation_queries import FEATURES, features
 from tidemark.plans.window_queries import b1
-from tidemark.session import prepare
+from tidemark.session import materialize, prepare
 from tidemark.sources.scan import as_ts
 from tidemark.sources.standins import bars, logs, round_trips, table, ticks
 from tidemark.streaming import alerts as A
@@ -513,13 +513,32 @@ def _(spark, sf):
     return d
 
 
-@query("fold_model_scoring")
-def _(spark, sf):
+def scored_folds(spark, sf):
+    """Scores of the models, written once per application."""
     from tidemark.operators.models import fold_scores
     from tidemark.operators.validation import purged_folds
 
     f = features(spark, sf).where("label IS NOT NULL")
-    return fold_scores(purged_folds(f, 5, 12, 12), FEATURES, "label", 5)
+    return materialize(spark, f"scored_folds:{sf}", lambda: fold_scores(purged_folds(f, 5, 12, 12), FEATURES, "label", 5))
+
+
+@query("fold_model_scoring")
+def _(spark, sf):
+    return scored_folds(spark, sf)
+
+
+@query(
+    "fold_model_rows",
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts)-1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM feats WHERE label IS NOT NULL)
+       SELECT symbol, ts, least(i // (n//5), 4)::INT AS fold, label, true AS in_range, true AS mixed FROM n WHERE rsi IS NOT NULL AND volume_ratio IS NOT NULL AND volatility IS NOT NULL AND momentum IS NOT NULL""",
+)
+def _(spark, sf):
+    """Every row with features is scored once, in the fold of its block; scores are probabilities and the mean lies between the models'."""
+    d = scored_folds(spark, sf)
+    scores = [F.col(c) for c in ("score_forest", "score_boosted", "score")]
+    inside = scores[0].between(0, 1) & scores[1].between(0, 1)
+    mixed = scores[2].between(F.least(*scores[:2]) - 1e-9, F.greatest(*scores[:2]) + 1e-9)
+    return d.select("symbol", "ts", "fold", "label", inside.alias("in_range"), mixed.alias("mixed"))
 
 
 _Z = """WITH f AS (SELECT symbol, ts, rsi, volume_ratio, volatility, momentum FROM feats WHERE rsi IS NOT NULL AND volume_ratio IS NOT NULL AND volatility IS NOT NULL AND momentum IS NOT NULL),
