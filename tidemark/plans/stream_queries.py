@@ -336,18 +336,21 @@ _TRAIL = """WITH l AS (SELECT event_type AS name, ts, event_id, value AS price,
          WINDOW n AS (PARTITION BY name ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), f AS (PARTITION BY name ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), v AS (PARTITION BY name ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
        a AS (SELECT name, ts, event_id, unnest(list_filter([CASE WHEN i>=20 AND r>greatest(q,0.1) THEN 0 END, CASE WHEN m>=20 AND abs(z)>3 THEN 1 END, CASE WHEN i>=5 AND gap>3*med THEN 2 END, CASE WHEN still>=5 THEN 3 END], lambda x: x IS NOT NULL)) AS detector FROM w)
        SELECT name, event_id, detector FROM a"""
-_VOLUME = F.get_json_object("props", "$.k")
+
+
+def volume_of():
+    return F.get_json_object("props", "$.k")
 
 
 @query("trailing_anomalies", _TRAIL)
 def _(spark, sf):
-    m = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("name"), F.col("value").alias("price"), _VOLUME.cast("double").alias("volume"))
+    m = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("name"), F.col("value").alias("price"), volume_of().cast("double").alias("volume"))
     return Q.trailing_anomalies(balanced_chunks(m, ["name"], ["ts", "event_id"])).select("name", "event_id", "detector")
 
 
 @query("anomaly_detectors_stream", _TRAIL + f" WHERE {_SLOT}")
 def _(spark, sf):
-    d = keyed_run(keyed_stream(spark, sf, price=F.col("value"), volume=_VOLUME), K.trailing_anomalies())
+    d = keyed_run(keyed_stream(spark, sf, price=F.col("value"), volume=volume_of()), K.trailing_anomalies())
     return d.select("name", "event_id", "detector")
 
 
@@ -358,7 +361,7 @@ def _(spark, sf):
        SELECT event_id, name, round(price/nullif(p9,0)-1,6) AS momentum, round(slope,6) AS slope, round(qty/nullif(q4,0)-1,6) AS depth_change, round(9/nullif((epoch_us(ts)-epoch_us(t9))/1e6,0),6) AS update_rate FROM s WHERE {_SLOT}""",
 )
 def _(spark, sf):
-    d = keyed_run(keyed_stream(spark, sf, mid=F.col("value"), depth=_VOLUME), K.trailing_flow())
+    d = keyed_run(keyed_stream(spark, sf, mid=F.col("value"), depth=volume_of()), K.trailing_flow())
     return rounded(d.select("event_id", "name", "momentum", "slope", "depth_change", "update_rate"))
 
 
