@@ -161,5 +161,5 @@ def test_rows_without_a_handler(spark, tmp_path):
 
 
 def test_paths(spark, feed):
-    path, _ = run_available(feed([rows_of("A", 3)]))
+    path, _ = run_available(feed([rows_of("A", 60)[:3]]))
     assert len(pdf(spark.read.parquet(f"{path}/data"), "event_id")) == 3
