@@ -27,6 +27,7 @@ from tidemark.llm.pieces import NUMBER, OTHER, SPACE, Merges, OffsetTable, Point
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 REMEMBER = 1_000_000
+BLOCK = 1 << 19  # bytes of text at once; a worker's largest arrays follow it
 
 
 def normal(text: str, whole: bool) -> str | None:
@@ -177,7 +178,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder, n, told, back = shared.value, [], [], []
-        for lo, hi, points in point_blocks(batch.column("text"), tuple(encoder.merges.specials), normal):
+        for lo, hi, points in point_blocks(batch.column("text"), tuple(encoder.merges.specials), normal, BLOCK):
             ids, rows, count = encoder.tokens(points)
             each = np.bincount(rows, weights=count, minlength=hi - lo).astype(np.int64)
             upto = np.cumsum(each)
