@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -42,6 +42,8 @@ REGISTERS = 256
 BASE = 1.1
 SHIFT = 25  # register value of a minimum of 1
 BROADCAST_IDS = 1_000_000  # 8 bytes each, counted before they are broadcast; more are joined by a shuffle
+HOT = 1000  # shingles with this part of all rows are dealt out apart; there can't be more of them than this
+BLOCK = 1000  # rows of a hot shingle that a task joins with as many others
 SKETCHES = "doc_id bigint, n bigint, hi bigint, lo bigint, sketch binary"
 
 
@@ -245,18 +247,49 @@ def _unmet(active: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"node": pa.array(np.full(len(own), node)), "shingle": pa.array(own)})
 
     rows = settle(sets.mapInArrow(run, "node bigint, shingle bigint").distinct())
-    often = rows.groupBy("shingle").agg(F.count("*").alias("k"))
     order = Window.partitionBy("node").orderBy("k", "shingle")
-    placed = rows.join(often, "shingle").withColumn("at", F.row_number().over(order) - 1).join(active, "node")
+    placed = _with_shingle(rows, []).withColumn("at", F.row_number().over(order) - 1).join(active, "node")
     prefix = placed.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * t / 100)) & (F.col("k") > 1))
     prefix = settle(prefix.select("shingle", "node", "c", "n", "at"))
-    by = prefix.groupBy("shingle").agg(F.min("n").alias("n0"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-    enough = lambda least, n: least * (100 + t) >= n * t
-    able = settle(prefix.join(by.select("shingle", "n0"), "shingle").where(enough(F.col("n") - F.col("at"), F.col("n") + F.col("n0"))).drop("n0"))
-    x, y = (able.select("shingle", *(F.col(k).alias(f"{k}_{i}") for k in ("node", "c", "n", "at"))) for i in "ab")
+    by = _with_shingle(prefix, [F.min("n").alias("n0"), F.min("c").alias("c0"), F.max("c").alias("c1")]).where("c0 < c1")
+    able = settle(by.where(_enough(F.col("n") - F.col("at"), F.col("n") + F.col("n0"), t)).select("shingle", "node", "c", "n", "at"))
+    return _met(able, t)
+
+
+def _enough(least: Column, n: Column, percent: int) -> Column:
+    return least * (100 + percent) >= n * percent
+
+
+def _hot(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of ``sizes`` (shingle, k) of shingles with a ``HOT``-th of all rows or more: at most ``HOT``, whatever the input."""
+    return settle(sizes.where(F.col("k") * HOT >= rows.count()))
+
+
+def _with_shingle(rows: DataFrame, values: list[Column]) -> DataFrame:
+    """Rows with ``k``, the number of rows of their shingle, and aggregates over them. Hot shingles get theirs by broadcast, so their rows aren't dealt by shingle."""
+    sizes = rows.groupBy("shingle").agg(F.count("*").alias("k"), *values)
+    hot = _hot(rows, sizes)
+    rest = rows.join(F.broadcast(hot.select("shingle")), "shingle", "left_anti").join(sizes, "shingle")
+    return rows.join(F.broadcast(hot), "shingle").unionByName(rest)
+
+
+def _met(able: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b) of rows (shingle, node, c, n, at) of a shingle, in different components, that have enough left behind it.
+
+    A hot shingle's rows are dealt into blocks of about ``block``; a task joins one block with another.
+    """
+    sizes = able.groupBy("shingle").agg(F.count("*").alias("k"))
+    hot = _hot(able, sizes).select("shingle", F.ceil(F.col("k") / block).alias("blocks"))
+    dealt = able.join(F.broadcast(hot), "shingle", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+
+    def side(i: str, own: str, other: str) -> DataFrame:
+        return dealt.select("shingle", F.col("own").alias(own), F.col("other").alias(other), *(F.col(k).alias(f"{k}_{i}") for k in ("node", "c", "n", "at")))
+
     left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    met = (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & enough(left, F.col("n_a") + F.col("n_b"))
-    return x.join(y, "shingle").where(met).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    met = (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & _enough(left, F.col("n_a") + F.col("n_b"), percent)
+    both = side("a", "row", "column").join(side("b", "column", "row"), ["shingle", "row", "column"])
+    return both.where(met).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_components(docs: DataFrame, near: Near = Near()) -> DataFrame:
