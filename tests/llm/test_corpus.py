@@ -5,10 +5,8 @@ from collections import Counter
 
 import edges
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import setsketch
 from tidemark.llm.components import components
 from tidemark.llm.decontaminate import Leak, leaks
 from tidemark.llm.line_runs import without_later_copies
@@ -60,28 +58,6 @@ def test_chain_of_near_copies_and_wide_bands(spark):
         assert {r.doc_id: r.component_id for r in near_components(edges.frame(spark, rows), Near(band=band)).collect()} == want
 
 
-@pytest.mark.parametrize("block", [3, 1000])
-def test_hot_shingles_meet_in_blocks(spark, block):
-    rnd = random.Random(block)
-    rows = [(s, i, rnd.randrange(4), 10 + i % 5, rnd.randrange(6)) for s in range(3) for i in range(60) if s == 0 or i % 7 == s]
-    able = spark.createDataFrame(rows, "shingle bigint, node bigint, c bigint, n bigint, at bigint")
-    near = lambda x, y: 180 * min(x[3] - x[4], y[3] - y[4]) >= 80 * (x[3] + y[3])
-    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] != y[2] and near(x, y)}
-    got = [tuple(r) for r in setsketch._met(able, 80, block).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and want
-
-
-def test_counts_of_hot_and_other_shingles(spark, monkeypatch):
-    monkeypatch.setattr(setsketch, "HOT", 4)
-    rows = [(0, i, i % 3) for i in range(50)] + [(s, i, i) for s in range(1, 9) for i in range(s)]
-    df = spark.createDataFrame(rows, "shingle bigint, node bigint, c bigint")
-    got = setsketch._with_shingle(df, [F.max("c").alias("top")]).collect()
-    ks, tops = {}, {}
-    for s, _, c in rows:
-        ks[s], tops[s] = ks.get(s, 0) + 1, max(tops.get(s, 0), c)
-    assert sorted((r.shingle, r.node, r.k, r.top) for r in got) == sorted((s, i, ks[s], tops[s]) for s, i, _ in rows)
-
-
 def test_near_edges(spark):
     got = {}
     for r in near_components(edges.frame(spark)).collect():
