@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from helpers import T0, bars_frame, close_to, pdf, walk
 from pyspark.sql import functions as F
@@ -133,6 +134,25 @@ def test_multiple_testing_monotone(spark):
     close_to(got["bh"], [0.028, 0.028, 0.028, 0.5], 1e-12)
 
 
+def test_multiple_testing_carries_from_slice_to_slice(spark):
+    n = 30_000
+    d = spark.range(n).select(F.col("id").alias("i"), F.round(F.pmod(F.col("id") * 7919, F.lit(n)) / (2.0 * n), 4).alias("p"))
+    adjusted = V.adjust_p_values(d, "p", tie=["i"], rows=7_000)
+    got = adjusted.toPandas().sort_values(["p", "i"])
+    place = np.arange(1, n + 1)
+    bh = np.minimum(1, got["p"].to_numpy() * n / place)
+    close_to(got["bh"], np.minimum.accumulate(bh[::-1])[::-1], 1e-12)
+    close_to(got["holm"], np.maximum.accumulate(np.minimum(1, got["p"].to_numpy() * (n - place + 1))), 1e-12)
+    # such a frame is run through anew for each row
+    assert "unboundedfollowing" not in adjusted._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_multiple_testing_families_with_nulls(spark):
+    d = spark.createDataFrame([(f, i, p) for f in (None, "a") for i, p in enumerate([0.5, None, 0.01])], "f string, i int, p double")
+    got = V.adjust_p_values(d, "p", ["f"], ["i"], rows=1).orderBy("f", "i").collect()
+    assert [(r["f"], r["bonferroni"], r["bh_plain"]) for r in got if r["p"] is not None] == [(None, 1.0, 0.75), (None, 0.03, 0.03), ("a", 1.0, 0.75), ("a", 0.03, 0.03)]
+
+
 def test_var_and_profit_factor(spark):
     d = spark.createDataFrame([(float(x),) for x in range(-10, 90)], "r double")
     v = K.var_es(d, "r").first()

@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 
 from tidemark.functions.candles import normal_cdf, two_sided_p
 from tidemark.functions.core import col, div, epoch_s, ladder
-from tidemark.operators.frames import with_row_number
+from tidemark.operators.frames import CHUNK, balanced_chunks, prefix, with_row_number
 from tidemark.operators.order_stats import VALUE, average_rank, exact_quantiles, join_stats, ordered_counts
 from tidemark.operators.quality import long_form
+from tidemark.session import settle
 from tidemark.sources.scan import as_ts
 
 
@@ -260,26 +261,35 @@ def mann_kendall(df: DataFrame, x: str, order: str, keys: Sequence[str] = ()) ->
     return d.withColumn("z", z).withColumn("p_value", two_sided_p("z"))
 
 
-def adjust_p_values(df: DataFrame, p: str, family: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:
+TEST_ROWS = 50_000  # tests in a slice
+
+
+def adjust_p_values(df: DataFrame, p: str, family: Sequence[str] = (), tie: Sequence[str] = (), rows: int = TEST_ROWS) -> DataFrame:
     """Bonferroni, Holm and Benjamini-Hochberg values, with the monotone steps (``*_plain`` without them).
 
-    One row per test; a family is a set of tests, not of data rows.
+    One row per test; a family is a set of tests, not of data rows. Tests are cut into slices of about ``rows``
+    in order of p (nulls last); places, the running maximum and the running minimum from behind are carried from slice to slice.
     """
-    up = Window.partitionBy(*family).orderBy(p, *tie)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*family))
-    i = F.row_number().over(up)
-    d = df.withColumns({"_m": m, "_i": i})
+    last = {f"_null_{k}": F.col(c).isNull() for k, c in enumerate((p, *tie))}
+    order = [c for pair in zip(last, (p, *tie)) for c in pair]
+    keys = ["_family"] if family else []
+    d = df.withColumns(last | {k: F.struct(*family) for k in keys})  # a struct of nulls can be joined
+    d = balanced_chunks(settle(d), keys, order, rows)
+    d = join_stats(d, d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")), keys)
+    d = settle(prefix(d, {"_i": ("count", F.lit(1))}, keys, order))
     one = F.lit(1.0)
     d = d.withColumns(
         {
             "bonferroni": F.least(one, F.col(p) * F.col("_m")),
             "holm_plain": F.least(one, F.col(p) * (F.col("_m") - F.col("_i") + 1)),
             "bh_plain": F.least(one, F.col(p) * F.col("_m") / F.col("_i")),
+            "_back": -F.col("_i"),
         }
     )
-    so_far = Window.partitionBy(*family).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    to_come = Window.partitionBy(*family).orderBy("_i").rowsBetween(0, Window.unboundedFollowing)
-    return d.withColumns({"holm": F.max("holm_plain").over(so_far), "bh": F.min("bh_plain").over(to_come)}).drop("_m", "_i")
+    # a frame that ends at unbounded following would be run through anew for each row
+    d = prefix(d, {"holm": ("max", F.col("holm_plain"))}, keys, ["_i"])
+    d = prefix(d, {"bh": ("min", F.col("bh_plain"))}, keys, ["_back"], chunk=-F.col(CHUNK))
+    return d.drop("_m", "_i", "_back", CHUNK, *keys, *last)
 
 
 def _draw_words(ids: Sequence[str], words: int) -> np.ndarray:
