@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
-from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.candles import normal_cdf, two_sided_p
 from tidemark.functions.core import col, div, epoch_s, ladder
+from tidemark.operators.draws import draws
 from tidemark.operators.frames import CHUNK, balanced_chunks, prefix, with_row_number
 from tidemark.operators.order_stats import VALUE, average_rank, exact_quantiles, join_stats, ordered_counts
 from tidemark.operators.quality import long_form
@@ -292,12 +293,6 @@ def adjust_p_values(df: DataFrame, p: str, family: Sequence[str] = (), tie: Sequ
     return d.drop("_m", "_i", "_back", CHUNK, *keys, *last)
 
 
-def _draw_words(ids: Sequence[str], words: int) -> np.ndarray:
-    """32-bit numbers, ``words`` for each id: word w is the quarter w % 4 of md5 of "<w // 4>|<id>"."""
-    raw = b"".join(md5(f"{k}|{i}".encode()).digest() for i in ids for k in range(-(-words // 4)))
-    return np.frombuffer(raw, ">u4").reshape(len(ids), -1)[:, :words]
-
-
 def _key_groups(batch: pa.RecordBatch, keys: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray]]:
     rows: dict[tuple, list[int]] = {}
     for i, k in enumerate(zip(*(batch.column(c).to_pylist() for c in keys)) if keys else [()] * batch.num_rows):
@@ -306,7 +301,11 @@ def _key_groups(batch: pa.RecordBatch, keys: Sequence[str]) -> Iterator[tuple[tu
         yield k, np.array(at)
 
 
-DRAW_ROWS = 2_000  # rows whose draws are held at once
+DRAW_ROWS = 100_000  # rows whose draws a task adds up
+
+
+def _draw_tasks(df: DataFrame) -> int:
+    return max(1, -(-df.count() // DRAW_ROWS))
 
 
 def sign_flip_test(df: DataFrame, x: str, row_id: str, sims: int = 10_000, keys: Sequence[str] = ()) -> DataFrame:
@@ -322,25 +321,30 @@ def sign_flip_test(df: DataFrame, x: str, row_id: str, sims: int = 10_000, keys:
     schema = T.StructType([d.schema[k] for k in keys] + [T.StructField("sim", T.IntegerType()), T.StructField("_sum", T.DoubleType()), T.StructField("_wins", T.LongType())])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
+        sums: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
         kinds: list[pa.DataType] = []
         for batch in batches:
             kinds = [batch.schema.field(k).type for k in keys]
             for key, rows in _key_groups(batch, keys):
-                ids, values = batch.column("_id").take(pa.array(rows)).to_pylist(), batch.column("_x").to_numpy()[rows]
-                got = sums.setdefault(key, np.zeros((2, words * 32)))
-                for at in range(0, len(ids), DRAW_ROWS):
-                    bits = (_draw_words(ids[at : at + DRAW_ROWS], words)[:, :, None] >> np.arange(32, dtype=np.uint32) & 1).reshape(-1, words * 32)
-                    v = values[at : at + DRAW_ROWS]
-                    signs = 1.0 - 2.0 * bits
-                    got[0] += v @ signs
-                    got[1] += (v > 0).astype(float) @ (1.0 - bits) + (v < 0).astype(float) @ bits.astype(float)
-        for key, got in sums.items():
+                ids, v = batch.column("_id").take(pa.array(rows)).to_pylist(), batch.column("_x").to_numpy()[rows]
+                got, nonzero = sums.setdefault(key, (np.zeros((2, words, 32)), np.zeros(1)))
+                up = (v > 0).astype(float) - (v < 0)
+                nonzero += np.count_nonzero(up)
+                both = np.stack([v, up])
+                for at, numbers, drawn in draws(ids, words):
+                    x = both[:, at]
+                    for number, word in zip(numbers, drawn):
+                        bits = np.unpackbits(word.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+                        got[:, number] += x @ (1 - 2 * bits.view(np.int8)).astype(float)
+        for key, (got, nonzero) in sums.items():
+            total, signs = got.reshape(2, -1)[:, :sims]
             columns = [pa.array([k] * sims, t) for k, t in zip(key, kinds)]
-            columns += [pa.array(np.arange(sims), pa.int32()), pa.array(got[0, :sims]), pa.array(got[1, :sims].astype(np.int64))]
+            columns += [pa.array(np.arange(sims), pa.int32()), pa.array(total), pa.array(((nonzero + signs) / 2).astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, "sim", "_sum", "_wins"])
 
-    null = d.mapInArrow(add_up, schema).groupBy(*keys, "sim").agg(F.sum("_sum").alias("_sum"), F.sum("_wins").alias("_wins"))
+    # cut by rows, as the work per row is large; few keys in a task, so few rows leave it
+    dealt = d.repartitionByRange(_draw_tasks(d), *keys, "_id")
+    null = dealt.mapInArrow(add_up, schema).groupBy(*keys, "sim").agg(F.sum("_sum").alias("_sum"), F.sum("_wins").alias("_wins"))
     seen = d.groupBy(*keys).agg(
         F.avg("_x").alias("observed"), F.count("_x").alias("n"), F.sum(F.col("_x") * F.col("_x")).alias("_sq"),
         F.avg((F.col("_x") > 0).cast("double")).alias("win_rate"), (F.avg("_x") / F.stddev_samp("_x")).alias("sharpe"),
@@ -368,22 +372,22 @@ POISSON_CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9
 def bootstrap_difference(df: DataFrame, x: str, row_id: str, in_a: Column, reps: int = 1_000, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Interval of the difference of two means by Poisson-weighted resampling; weights come from hash words of (rep, row).
 
-    Tasks add up all repetitions as matrix products and send one row per repetition and side.
+    Tasks add up all repetitions as matrix products and send one row per repetition and side. Rows without an id have no weight.
     """
-    d = df.where(F.col(x).isNotNull()).select(F.col(row_id).cast("string").alias("_id"), F.col(x).cast("double").alias("_x"), F.coalesce(in_a, F.lit(False)).alias("_a"))
+    d = df.where(F.col(x).isNotNull() & F.col(row_id).isNotNull()).select(F.col(row_id).cast("string").alias("_id"), F.col(x).cast("double").alias("_x"), F.coalesce(in_a, F.lit(False)).alias("_a"))
+    cuts = [np.uint32(math.ceil(c * 2**32)) for c in POISSON_CUTS]  # word / 2**32 >= c
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((4, reps))
         for batch in batches:
-            ids, values, side = batch.column("_id").to_pylist(), batch.column("_x").to_numpy(), np.array(batch.column("_a").to_pylist(), float)
-            for at in range(0, len(ids), DRAW_ROWS):
-                part = slice(at, at + DRAW_ROWS)
-                weights = np.searchsorted(POISSON_CUTS, _draw_words(ids[part], reps) / 4294967296.0, side="right").astype(float)
-                a, v = side[part], values[part]
-                sums += np.stack([(a * v) @ weights, a @ weights, ((1 - a) * v) @ weights, (1 - a) @ weights])
+            v, a = batch.column("_x").to_numpy(), np.array(batch.column("_a").to_pylist(), bool)
+            sides = np.stack([np.where(a, v, 0), a, np.where(a, 0, v), ~a])
+            for at, numbers, drawn in draws(batch.column("_id").to_pylist(), reps):
+                weights = sum((drawn >= cut).view(np.uint8) for cut in cuts)
+                sums[:, numbers] += sides[:, at] @ weights.T.astype(float)
         yield pa.RecordBatch.from_pydict({"rep": pa.array(np.arange(reps), pa.int32()), **{n: pa.array(s) for n, s in zip(("va", "wa", "vb", "wb"), sums)}})
 
-    per_task = d.mapInArrow(add_up, "rep int, va double, wa double, vb double, wb double")
+    per_task = d.repartition(_draw_tasks(d), "_id").mapInArrow(add_up, "rep int, va double, wa double, vb double, wb double")
     sums = per_task.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("va", "wa", "vb", "wb")])
     sums = sums.withColumn("_d", div("va", "wa") - div("vb", "wb"))
     # ``reps`` rows are left, so the built-in percentile is enough
