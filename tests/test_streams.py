@@ -73,6 +73,17 @@ def test_malformed_json_goes_to_quarantine(spark):
     assert str(f["quantity"]) == "1.50000000"
 
 
+def test_texts_are_parsed_once(spark):
+    good = '{"event_id": 1, "symbol": "A", "orders": [{"order_id": "o"}], "fills": [{"fill_id": "f", "quantity": 1.5}, {"fill_id": "g"}]}'
+    raw = spark.createDataFrame([(good,), ("{broken",), (None,), ('{"event_id": 2, "fills": []}',)], "value string")
+    p = E.parse_events(raw)
+    views = E.report_fills(p), E.report_orders(p), E.good_events(p, "event.event_id", "event.symbol")
+    for d in views:
+        assert d._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [r["fill_id"] for r in views[0].collect()] == ["f", "g"] and [r["order_id"] for r in views[1].collect()] == ["o"]
+    assert sorted(tuple(r) for r in views[2].collect()) == [(1, "A"), (2, None)]
+
+
 def test_cooldown_state_survives_batches(spark, feed):
     schema = "name string, ts timestamp, value double"
     s = feed(

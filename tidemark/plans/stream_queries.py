@@ -24,7 +24,7 @@ from tidemark.streaming.run import counted, fresh_path, run_available, run_logge
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-FILE_ROWS = 1_000_000
+FILE_ROWS = 100_000  # a file is one task at most
 _files: dict[tuple, tuple[str, int]] = {}
 
 
@@ -162,11 +162,12 @@ def _(spark, sf):
     raw = event_stream(spark, sf).select(report_json().alias("value"))
     path = fresh_path(spark)
     derive = {
-        "fills": lambda b: E.report_fills(E.parse_events(b)),
-        "orders": lambda b: E.report_orders(E.parse_events(b)),
-        "quarantine": lambda b: E.parse_events(b).where("bad").select("value"),
+        "fills": E.report_fills,
+        "orders": E.report_orders,
+        "quarantine": lambda b: b.where("bad").select("value"),
     }
-    run_available(raw, "append", E.fan_out(derive, path), path)
+    parsed = E.parse_events(raw).select("event", "bad", F.when(F.col("bad"), F.col("value")).alias("value"))  # parsed once for all tables
+    run_available(parsed, "append", E.fan_out(derive, path), path)
     out = None
     for t in ("fills", "orders"):
         d = spark.read.parquet(f"{path}/{t}").groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.sum("quantity").cast("double").alias("quantity"))
@@ -182,8 +183,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     raw = event_stream(spark, sf).select(report_json().alias("value"))
-    good = E.parse_events(raw).where(~F.col("bad"))
-    path, _ = run_available(good.select("event.symbol", F.element_at("event.fills", 1)["price"].cast("double").alias("value")))
+    price = F.element_at("event.fills", 1)["price"].cast("double").alias("value")
+    path, _ = run_available(E.good_events(E.parse_events(raw), "event.symbol", price))
     d = spark.read.parquet(f"{path}/data").groupBy("symbol")
     return rounded(d.agg(F.count(F.lit(1)).alias("parsed"), F.sum("value").alias("total")))
 

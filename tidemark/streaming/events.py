@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: topic names
@@ -56,18 +56,23 @@ def parse_events(raw: DataFrame, schema: str = REPORT_SCHEMA, value: str = "valu
     return d.withColumn("bad", F.col("event").isNull() | F.col("event._corrupt").isNotNull() | F.col("event.event_id").isNull())
 
 
+def good_events(parsed: DataFrame, *cols: Column | str) -> DataFrame:
+    """``cols`` of the events that are not bad. A filter would be pushed below the parser and parse each text again for each of its terms."""
+    return parsed.select(F.inline(F.when(~F.col("bad"), F.array(F.struct(*cols)))))
+
+
 def report_orders(parsed: DataFrame) -> DataFrame:
-    return parsed.where(~F.col("bad")).select("event.event_id", "event.timestamp", "event.symbol", F.inline("event.orders"))
+    return parsed.select("event.event_id", "event.timestamp", "event.symbol", F.inline(F.when(~F.col("bad"), F.col("event.orders"))))
 
 
 def report_fills(parsed: DataFrame) -> DataFrame:
-    return parsed.where(~F.col("bad")).select("event.event_id", "event.timestamp", "event.symbol", F.inline("event.fills"))
+    return parsed.select("event.event_id", "event.timestamp", "event.symbol", F.inline(F.when(~F.col("bad"), F.col("event.fills"))))
 
 
 def fan_out(tables: dict[str, Callable[[DataFrame], DataFrame]], root: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that appends each derived table below ``root``.
 
-    The batch is kept in memory while its tables are written. Each write goes to
+    The batch is kept in memory while its tables are written: what several of them need, such as parsed events, belongs into it. Each write goes to
     its own batch folder and overwrites it, so a batch that is run again after
     a failure leaves no double rows.
     """
