@@ -27,7 +27,7 @@ from tidemark.llm.pieces import NUMBER, OTHER, SPACE, Merges, OffsetTable, Point
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 REMEMBER = 1_000_000
-BLOCK = 1 << 19  # bytes of text at once; a worker's largest arrays follow it
+BLOCK = 1 << 18  # bytes of text at once; a worker's largest arrays follow it
 
 
 def normal(text: str, whole: bool) -> str | None:

@@ -7,6 +7,7 @@ space and \\t..\\r, which is the same on bytes and on code points of UTF-8.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -186,14 +187,28 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim  # glibc only
+except (AttributeError, OSError):
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed buffers to the system: workers live on, and the next stage needs the memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def over_texts(docs: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """Apply ``work`` to record batches of (doc_id, text); nothing is shuffled. Sets small batches for the session."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what the stages before left
         for batch in batches:
             if batch.num_rows:
                 yield work(batch)
-        pa.default_memory_pool().release_unused()  # a worker that idles afterwards keeps no buffers
+                give_back()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
